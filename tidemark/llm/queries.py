@@ -1,0 +1,38 @@
+"""Registered queries of the corpus operators."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tidemark.llm import formatdup, neardup
+from tidemark.llm.common import table
+
+
+def contents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(id, content) over the log and the curated entries."""
+    log = table(spark, sf_dir, "memory_log").select(F.col("line_num").alias("id"), "content")
+    core = table(spark, sf_dir, "core_tagged").select(F.col("core_id").alias("id"), "content")
+    return log.unionByName(core)
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.found(contents(spark, sf_dir))
+
+
+def p4_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.groups(contents(spark, sf_dir))
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return formatdup.found(table(spark, sf_dir, "memory_log"))
+
+
+def p5_collapsed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return formatdup.collapsed(table(spark, sf_dir, "memory_log"))
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return {name: f for name, f in sorted(globals().items()) if name[:1] == "p" and name[1:2].isdigit() and callable(f)}
