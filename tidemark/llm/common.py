@@ -67,3 +67,18 @@ def tag_set(tags: Column) -> Column:
     """Sorted letter keys of the tags; null and empty ones are left out, a null array is empty."""
     keys = F.transform(F.coalesce(tags, F.array().cast("array<string>")), lambda t: letter_key(F.coalesce(t, F.lit(""))))
     return F.array_sort(F.array_distinct(F.filter(keys, lambda t: t != "")))
+
+
+def expand(members: DataFrame, links: DataFrame) -> DataFrame:
+    """All pairs (id_a, id_b), id_a < id_b, from classes and their links.
+
+    members: (id, rep, members), every row with its class; links: (rep_a, rep_b).  Only classes that
+    have several members or a link are kept for the joins.
+    """
+    linked = links.selectExpr("explode(array(rep_a, rep_b)) as rep").distinct().withColumn("linked", F.lit(True))
+    inside = staged(members.join(linked, "rep", "left").where("members > 1 or linked").select("id", "rep"), "members")
+    same = inside.alias("a").join(inside.alias("b"), F.expr("a.rep = b.rep and a.id < b.id")).selectExpr("a.id as id_a", "b.id as id_b")
+    a = inside.select(F.col("rep").alias("rep_a"), F.col("id").alias("x"))
+    b = inside.select(F.col("rep").alias("rep_b"), F.col("id").alias("y"))
+    across = links.join(a, "rep_a").join(b, "rep_b").where("x <> y").selectExpr("least(x, y) as id_a", "greatest(x, y) as id_b")
+    return same.unionByName(across).distinct()

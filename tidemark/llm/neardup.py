@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import staged, word_hashes, words
+from tidemark.llm.common import expand, staged, word_hashes, words
 from tidemark.llm.signatures import SIGNED, classes, may_overlap, needed, postings, signer, word_counts
 
 MIN_WORDS = 12
@@ -61,14 +61,7 @@ def near_classes(rows: DataFrame, min_words: int = MIN_WORDS, num: int = NUM, de
 
 def found(rows: DataFrame) -> DataFrame:
     """All pairs (id_a, id_b), id_a < id_b, of rows that say nearly the same."""
-    members, links = near_classes(rows)
-    linked = links.selectExpr("explode(array(rep_a, rep_b)) as rep").distinct()
-    inside = staged(members.join(linked.withColumn("linked", F.lit(True)), "rep", "left").where("members > 1 or linked").select("id", "rep"), "members")
-    same = inside.alias("a").join(inside.alias("b"), F.expr("a.rep = b.rep and a.id < b.id")).selectExpr("a.id as id_a", "b.id as id_b")
-    a = inside.select(F.col("rep").alias("rep_a"), F.col("id").alias("x"))
-    b = inside.select(F.col("rep").alias("rep_b"), F.col("id").alias("y"))
-    across = links.join(a, "rep_a").join(b, "rep_b").where("x <> y").selectExpr("least(x, y) as id_a", "greatest(x, y) as id_b")
-    return same.unionByName(across).distinct()
+    return expand(*near_classes(rows))
 
 
 def groups(rows: DataFrame) -> DataFrame:

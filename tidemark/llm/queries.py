@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import formatdup, neardup
+from tidemark.llm import formatdup, neardup, setjoin, twopoisson
 from tidemark.llm.common import table
 
 
@@ -18,6 +18,22 @@ def contents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return log.unionByName(core)
 
 
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return twopoisson.found(table(spark, sf_dir, "memory_log"))
+
+
+def p1_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return twopoisson.beside_stale(table(spark, sf_dir, "memory_log"), table(spark, sf_dir, "idf_weights"))
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return setjoin.found(table(spark, sf_dir, "memory_log"), table(spark, sf_dir, "core_tagged"))
+
+
+def p2_linked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return setjoin.linked(table(spark, sf_dir, "memory_log"), table(spark, sf_dir, "core_tagged"))
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.found(contents(spark, sf_dir))
 

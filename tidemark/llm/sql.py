@@ -20,9 +20,29 @@ sets AS (
   FROM texts WHERE content IS NOT NULL AND id IS NOT NULL),
 big AS (SELECT id, w, len(w) AS n FROM sets WHERE len(w) >= 12)"""
 
+_TAGGED = f"""
+tagged AS (
+  SELECT line_num AS id, {_TAG_SET} AS s FROM memory_log UNION ALL SELECT core_id, {_TAG_SET} FROM core_tagged),
+big AS (SELECT DISTINCT id, s, len(s) AS n FROM tagged WHERE len(s) >= 6 AND id IS NOT NULL)"""
+
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "p2_found": f"""
+WITH {_TAGGED},
+pairs AS (
+  SELECT a.id AS id_a, b.id AS id_b, a.n + b.n AS total, len(list_intersect(a.s, b.s)) AS common
+  FROM big a JOIN big b ON a.id < b.id)
+SELECT DISTINCT id_a, id_b FROM pairs WHERE common * 10 >= 6 * (total - common)""",
+        "p2_linked": f"""
+WITH {_TAGGED},
+classes AS (SELECT s, min(id) AS class_id, count(*) AS class_size FROM big GROUP BY s),
+pairs AS (
+  SELECT a.class_id AS x, b.class_id AS y, len(a.s) + len(b.s) AS total, len(list_intersect(a.s, b.s)) AS common
+  FROM classes a JOIN classes b ON a.class_id <> b.class_id),
+degree AS (SELECT x, count(*) AS n FROM pairs WHERE common * 10 >= 6 * (total - common) GROUP BY x)
+SELECT id, class_id, class_size, coalesce(degree.n, 0) AS n_links
+FROM big JOIN classes USING (s) LEFT JOIN degree ON x = class_id""",
         "p4_found": f"""
 WITH {_CONTENTS},
 pairs AS (
