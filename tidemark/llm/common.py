@@ -53,9 +53,17 @@ def words(content: Column) -> Column:
     return F.filter(split, lambda w: w != "")
 
 
-def word_hashes(content: Column) -> Column:
-    """Distinct words as 64-bit hashes."""
-    return F.array_distinct(F.transform(words(content), lambda w: F.xxhash64(w)))
+#: Most keys that are ever broadcast (8 bytes each and the hash table about them: some 32 MB).
+BROADCAST_KEYS = 500_000
+
+
+def only(rows: DataFrame, keys: DataFrame, key: str) -> DataFrame:
+    """The rows whose key is among the keys (a long column).  The keys are counted first: up to
+    BROADCAST_KEYS are broadcast, so that rows are dropped before any shuffle; more are joined by shuffle."""
+    keys = staged(keys.select(key).distinct(), "keys")
+    if keys.count() <= BROADCAST_KEYS:
+        keys = F.broadcast(keys)
+    return rows.join(keys, key, "left_semi")
 
 
 def letter_key(text: Column) -> Column:

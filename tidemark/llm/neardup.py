@@ -15,8 +15,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import expand, staged, word_hashes, words
-from tidemark.llm.signatures import SIGNED, classes, may_overlap, needed, postings, signer, word_counts
+from tidemark.llm.common import expand, only, staged, words
+from tidemark.llm.signatures import CLASS, SIGNED, classes, may_overlap, needed, postings, signer, word_counts
 
 MIN_WORDS = 12
 NUM, DEN = 8, 10
@@ -24,7 +24,8 @@ NUM, DEN = 8, 10
 
 def verified(pairs: DataFrame, texts: DataFrame, num: int = NUM, den: int = DEN) -> DataFrame:
     """The pairs (id_a, id_b) whose texts (id, content) share num / den of their distinct words."""
-    bag = texts.select("id", "content")
+    pairs = staged(pairs, "candidates")
+    bag = only(texts.select("id", "content"), pairs.selectExpr("explode(array(id_a, id_b)) as id"), "id")
     a = bag.select(F.col("id").alias("id_a"), F.col("content").alias("content_a"))
     b = bag.select(F.col("id").alias("id_b"), F.col("content").alias("content_b"))
     both = pairs.join(a, "id_a").join(b, "id_b")
@@ -38,25 +39,23 @@ def near_classes(rows: DataFrame, min_words: int = MIN_WORDS, num: int = NUM, de
       members (id, rep, members): every row of min_words or more distinct words and its class of equal word sets,
       links (rep_a, rep_b): the pairs of different classes with a similarity of num / den or more.
 
-    Null, empty and short contents are in no class.  An id that comes twice counts once for each content.
+    Null, empty and short contents are in no class.  Ids are taken as unique.
     """
     spark = rows.sparkSession
     rows = rows.select(F.col("id").cast("long"), F.col("content").cast("string")).where("id is not null and content is not null")
-    sets = rows.select("id", word_hashes(F.col("content")).alias("hashes")).where(F.size("hashes") >= min_words)
-    counts = spark.sparkContext.broadcast(word_counts(sets))
-    signed = staged(sets.mapInArrow(signer(counts, num, den), SIGNED), "signed")
+    counts = spark.sparkContext.broadcast(word_counts(rows, min_words))
+    signed = staged(rows.mapInArrow(signer(counts, num, den, min_words), SIGNED), "signed")
     groups = classes(signed)
-    posted = postings(groups, ["rep"])
+    members, visitors = postings(groups, num, den)
     pairs = (
-        posted.alias("a")
-        .join(posted.alias("b"), on=F.expr(f"a.tile = b.tile and (a.n < b.n or a.rep < b.rep) and {may_overlap(num, den)}"))
+        members.alias("a")
+        .join(visitors.alias("b"), on=F.expr(f"a.tile = b.tile and (a.n < b.n or a.rep < b.rep) and {may_overlap(num, den)}"))
         .selectExpr("least(a.rep, b.rep) as id_a", "greatest(a.rep, b.rep) as id_b")
         .distinct()
     )
     links = staged(verified(pairs, rows, num, den).selectExpr("id_a as rep_a", "id_b as rep_b"), "links")
-    key = ["class_key", "n", "bitmap"]
-    members = signed.select("id", *key).join(groups.select(*key, "rep", "members"), key).select("id", "rep", "members")
-    return members, links
+    rows_of = signed.select("id", *CLASS).join(groups.select(*CLASS, "rep", "members"), CLASS).select("id", "rep", "members")
+    return rows_of, links
 
 
 def found(rows: DataFrame) -> DataFrame:

@@ -1,109 +1,120 @@
 """Signatures of word sets for overlap joins: rare-first prefixes, bitmaps and class keys.
 
-A set of n hashed words gets
-  * ``class_key``   64-bit hash of the sorted set; with n and the bitmap it names the set,
-  * ``bitmap``      64 bits, one set bit per word hash; differing bits bound the overlap from above,
+A set of n distinct words gets
+  * ``class_key``   64-bit hash of the sorted word hashes; with n and the bitmap it names the set,
+  * ``bitmap``      64 bits, one set bit per word; differing bits bound the overlap from above,
   * ``prefix``      its first n - ceil(t n) + 1 words in the global order rare to frequent; two sets
                     with a Jaccard similarity of t or more share a word of their prefixes.
 
 The global order is that of word counts over the whole collection, held in a table of a fixed number
 of hashed cells (``CELLS``), so what is broadcast has a fixed size at any scale.  Words that share a
-cell share its count; ties fall to the hash.  Any fixed order keeps the join exact, the counts only
-make it fast.
+cell share its count; ties fall to the 64-bit hash.  Any fixed order keeps the join exact, the counts
+only make it fast.  In prefixes a word stands as the upper 32 bits of its hash: words that share
+them only add candidates, which are verified on the words themselves.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import xxhash
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 CELLS = 1 << 18
 
-SIGNED = "id long, class_key long, n int, bitmap long, prefix array<long>"
+_WORD = re.compile(r"\w+")
 
 
-def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Values and offsets of a list<int64> column."""
-    offsets = np.asarray(column.offsets).astype(np.int64)
-    values = np.asarray(column.values)[offsets[0] : offsets[-1]]
-    return values, offsets - offsets[0]
+def bags(texts: pa.Array, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """Word hashes of the texts, one after the other, and the number of each; texts of fewer than
+    `least` distinct words have none."""
+    find, digest = _WORD.findall, xxhash.xxh3_64_intdigest
+    flat: list[int] = []
+    n = np.zeros(len(texts), np.int64)
+    for i, text in enumerate(texts.to_pylist()):
+        if text is not None:
+            found = set(find(text.lower()))
+            if len(found) >= least:
+                n[i] = len(found)
+                flat += map(digest, found)
+    return np.array(flat, np.uint64), n
 
 
 def _cell(h: np.ndarray) -> np.ndarray:
-    return (h.view(np.uint64) >> np.uint64(46)).astype(np.int64)  # the upper 18 bits
+    return (h >> np.uint64(46)).astype(np.int64)  # the upper 18 bits
 
 
-def word_counts(sets: DataFrame) -> np.ndarray:
-    """How many sets have a word of each cell; partial sums come from the tasks."""
+def word_counts(texts: DataFrame, least: int) -> np.ndarray:
+    """How many of the texts (id, content) have a word of each cell; the tasks send partial sums."""
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(CELLS, np.int64)
         for b in batches:
-            values, _ = _flat(b.column(0))
-            total += np.bincount(_cell(values), minlength=CELLS)
+            total += np.bincount(_cell(bags(b.column(0), least)[0]), minlength=CELLS)
         cells = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(cells), pa.array(total[cells])], names=["cell", "n"])
 
-    rows = sets.select("hashes").mapInArrow(partial, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n"))
-    table = rows.toArrow()
+    rows = texts.select("content").mapInArrow(partial, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n"))
+    table = rows.toArrow()  # at most CELLS rows
     out = np.zeros(CELLS, np.int64)
     out[np.asarray(table["cell"])] = np.asarray(table["n"])
     return np.minimum(out, 2**31 - 1).astype(np.int32)
 
 
-def _bit(h: np.ndarray) -> np.ndarray:
-    return np.uint64(1) << ((h.view(np.uint64) >> np.uint64(7)) & np.uint64(63))
-
-
-def signer(counts, num: int, den: int, per: int = 1) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """For mapInArrow over (id, hashes): the signatures for a threshold of num / den.
-    counts: a broadcast of word_counts()."""
+def signer(counts, num: int, den: int, least: int, keep_small: bool = False) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """For mapInArrow over (id, content, ...): id, class_key, n, bitmap, prefix and the further columns,
+    for a threshold of num / den.  counts: a broadcast of word_counts().  Texts of fewer than `least`
+    words are left out, or have n = 0 and no prefix where keep_small is set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rank = counts.value
         for b in batches:
-            values, at = _flat(b.column(1))
-            n = np.diff(at)
-            row = np.repeat(np.arange(len(n)), n)
-            if len(values) == 0:
+            values, n = bags(b.column(1), least)
+            if not keep_small:
+                b = b.filter(pa.array(n > 0))
+                n = n[n > 0]
+            if not len(n):
                 continue
-            by_hash = np.lexsort((values, row))
-            h = values[by_hash]
-            place = (np.arange(len(h)) - at[:-1][row]).astype(np.uint64)
-            with np.errstate(over="ignore"):
-                mixed = (h.view(np.uint64) ^ (h.view(np.uint64) >> np.uint64(29))) * (place * np.uint64(2) + np.uint64(0x9E3779B97F4A7C15))
-                mixed ^= mixed >> np.uint64(32)
-                some = n > 0
-                key = np.zeros(len(n), np.uint64)
-                key[some] = np.add.reduceat(mixed, at[:-1][some])
-            bitmap = np.zeros(len(n), np.uint64)
-            bitmap[some] = np.bitwise_or.reduceat(_bit(h), at[:-1][some])
-            rare_first = np.lexsort((values, rank[_cell(values)], row))
-            ordered = values[rare_first]
-            length = np.where(n > 0, n - (num * n + den - 1) // den + 1, 0)
-            pos = np.arange(len(ordered)) - at[:-1][row]
+            first = np.cumsum(n) - n
+            row = np.repeat(np.arange(len(n)), n)
+            h = values[np.lexsort((values, row))]
+            place = (np.arange(len(h)) - first[row]).astype(np.uint64)
+            some = n > 0
+            key, bitmap = np.zeros(len(n), np.uint64), np.zeros(len(n), np.uint64)
+            if len(h):
+                with np.errstate(over="ignore"):
+                    mixed = (h ^ (h >> np.uint64(29))) * (place * np.uint64(2) + np.uint64(0x9E3779B97F4A7C15))
+                    mixed ^= mixed >> np.uint64(32)
+                    key[some] = np.add.reduceat(mixed, first[some])
+                bitmap[some] = np.bitwise_or.reduceat(np.uint64(1) << ((h >> np.uint64(7)) & np.uint64(63)), first[some])
+            ordered = values[np.lexsort((values, rank[_cell(values)], row))]
+            length = np.where(some, n - (num * n + den - 1) // den + 1, 0)
+            chosen = ordered[(np.arange(len(ordered)) - first[row]) < length[row]]
             prefix = pa.ListArray.from_arrays(
-                pa.array(np.concatenate([[0], np.cumsum(length)]).astype(np.int32)), pa.array(ordered[pos < length[row]])
+                pa.array(np.concatenate([[0], np.cumsum(length)]).astype(np.int32)),
+                pa.array((chosen >> np.uint64(32)).astype(np.uint32).view(np.int32)),
             )
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(key.view(np.int64)), pa.array(n.astype(np.int32)), pa.array(bitmap.view(np.int64)), prefix],
-                names=["id", "class_key", "n", "bitmap", "prefix"],
+                [b.column(0), pa.array(key.view(np.int64)), pa.array(n.astype(np.int32)), pa.array(bitmap.view(np.int64)), prefix, *b.columns[2:]],
+                names=["id", "class_key", "n", "bitmap", "prefix", *b.schema.names[2:]],
             )
 
     return run
 
 
-def classes(signed: DataFrame) -> DataFrame:
-    """One row for each distinct set: (rep, members, class_key, n, bitmap, prefix).
+SIGNED = "id long, class_key long, n int, bitmap long, prefix array<int>"
+CLASS = ["class_key", "n", "bitmap"]
+
+
+def classes(signed: DataFrame, *more: Column) -> DataFrame:
+    """One row for each distinct set: (class_key, n, bitmap, rep, members, prefix).
 
     Partial aggregation leaves one row of a large class for each task."""
-    return signed.groupBy("class_key", "n", "bitmap").agg(
-        F.min("id").alias("rep"), F.count("*").alias("members"), F.first("prefix").alias("prefix")
-    )
+    return signed.groupBy(*CLASS).agg(F.min("id").alias("rep"), F.count("*").alias("members"), F.first("prefix").alias("prefix"), *more)
 
 
 def needed(n_a: str, n_b: str, num: int, den: int) -> str:
@@ -111,31 +122,29 @@ def needed(n_a: str, n_b: str, num: int, den: int) -> str:
     return f"(({num} * ({n_a} + {n_b}) + {num + den - 1}) div {num + den})"
 
 
-def postings(sets: DataFrame, carried: list[str]) -> DataFrame:
-    """A row for each prefix word and size band in which its set may meet a partner.
+_BAND = "cast(floor(log2(n)) as int)"
 
-    Bands double in size.  A set belongs to the band of its size and visits the band below where
-    a smaller partner may lie, so the partner of at most its size is met in the band of that partner.
-    (tile: hash of word and band.)
+
+def postings(sets: DataFrame, num: int, den: int) -> tuple[DataFrame, DataFrame]:
+    """The two sides of the tiles: (tile, rep, n, pos, bitmap).
+
+    A tile is a prefix word and a band of sizes; bands double in size.  Members are posted in the band of
+    their size, under as many words as they need against partners of at least their size,
+    n - ceil(2t/(1+t) n) + 1.  Visitors are posted under their whole prefix, also in the band below
+    if a partner of t n words would lie there.
     """
-    band = "cast(floor(log2(n)) as int)"
-    return (
-        sets.select(*carried, "n", "bitmap", F.posexplode("prefix").alias("pos", "word"))
-        .withColumn("band", F.explode(F.expr(f"if({band} > 0 and n * 4 < 5 * shiftleft(1, {band}), array({band}, {band} - 1), array({band}))")))
-        .select(F.xxhash64("word", "band").alias("tile"), *carried, F.expr("n").alias("n"), "pos", "bitmap", "band")
-    )
+    rows = sets.select("rep", "n", "bitmap", F.posexplode("prefix").alias("pos", "word"))
+    columns = ["rep", "n", "pos", "bitmap"]
+    members = rows.where(f"pos <= n - (({2 * num} * n + {num + den - 1}) div {num + den})").select(F.expr(f"hash(word, {_BAND})").alias("tile"), *columns)
+    bands = f"if({_BAND} > 0 and n * {num} < {den} * shiftleft(1, {_BAND}), array({_BAND}, {_BAND} - 1), array({_BAND}))"
+    visitors = rows.withColumn("band", F.explode(F.expr(bands))).select(F.expr("hash(word, band)").alias("tile"), *columns)
+    return members, visitors
 
 
 def may_overlap(num: int, den: int) -> str:
-    """SQL condition on two postings a, b of one tile with n_a <= n_b: sizes, places and bit counts allow the similarity.
-
-    The shorter set needs its first n - ceil(2t/(1+t) n) + 1 words only.
-    """
+    """SQL condition on a member a and a visitor b of one tile: sizes, places and bit counts allow the similarity."""
     need = needed("a.n", "b.n", num, den)
     return (
-        f"a.n <= b.n and b.n * {num} <= a.n * {den}"
-        f" and a.n < shiftleft(2, b.band)"
-        f" and a.pos <= least(a.n, b.n) - (({2 * num} * least(a.n, b.n) + {num + den - 1}) div {num + den})"
+        f"a.n <= b.n and b.n * {num} <= a.n * {den} and bit_count(a.bitmap ^ b.bitmap) <= a.n + b.n - 2 * {need}"
         f" and least(a.n - a.pos, b.n - b.pos) >= {need}"
-        f" and bit_count(a.bitmap ^ b.bitmap) <= a.n + b.n - 2 * {need}"
     )
