@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import formatdup, neardup, setjoin, twopoisson
+from tidemark.llm import formatdup, history, neardup, setjoin, twopoisson
 from tidemark.llm.common import table
 
 
@@ -34,6 +34,10 @@ def p2_linked(spark: SparkSession, sf_dir: str) -> DataFrame:
     return setjoin.linked(table(spark, sf_dir, "memory_log"), table(spark, sf_dir, "core_tagged"))
 
 
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return history.found(table(spark, sf_dir, "memory_log"))
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.found(contents(spark, sf_dir))
 
