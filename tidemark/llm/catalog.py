@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import formatdup, history, neardup, setjoin, twopoisson
+from tidemark.llm import cutoff, formatdup, history, neardup, setjoin, twopoisson
 from tidemark.llm.common import table
 
 
@@ -54,5 +54,13 @@ def p5_collapsed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return formatdup.collapsed(table(spark, sf_dir, "memory_log"))
 
 
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cutoff.found(table(spark, sf_dir, "memory_log"))
+
+
+def p6_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cutoff.shares(table(spark, sf_dir, "memory_log"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in sorted(globals().items()) if name[:1] == "p" and name[1:2].isdigit() and callable(f)}
