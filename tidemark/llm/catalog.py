@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import cutoff, formatdup, history, neardup, setjoin, twopoisson
+from tidemark.llm import cutoff, formatdup, history, neardup, pii, setjoin, twopoisson
 from tidemark.llm.common import table
 
 
@@ -62,5 +62,13 @@ def p6_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cutoff.shares(table(spark, sf_dir, "memory_log"))
 
 
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.found(table(spark, sf_dir, "documents"), table(spark, sf_dir, "team_roster"))
+
+
+def p9_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.redacted(table(spark, sf_dir, "documents"), table(spark, sf_dir, "team_roster"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in sorted(globals().items()) if name[:1] == "p" and name[1:2].isdigit() and callable(f)}
