@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import cutoff, formatdup, history, neardup, pii, setjoin, twopoisson
+from tidemark.llm import cutoff, formatdup, history, mixing, neardup, packing, pii, setjoin, twopoisson
 from tidemark.llm.common import table
 
 
@@ -62,6 +62,23 @@ def p6_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cutoff.shares(table(spark, sf_dir, "memory_log"))
 
 
+def p7_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.containers(table(spark, sf_dir, "documents"), table(spark, sf_dir, "container_sizes"))
+
+
+def p7_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.fill(table(spark, sf_dir, "documents"), table(spark, sf_dir, "container_sizes"))
+
+
+def p8_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mixture(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))
+    return mixed.where("uses > 0").select("doc_id", "source", "n_tokens", "uses")
+
+
+def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.shares(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))
+
+
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.found(table(spark, sf_dir, "documents"), table(spark, sf_dir, "team_roster"))
 
