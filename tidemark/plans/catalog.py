@@ -1,19 +1,356 @@
-"""Registered queries over the driver's tables."""
+"""Registered queries over the driver's tables.
+
+Every query runs over whole tables.  Searches take as queries the rows whose id is divisible by 100, against all rows.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tidemark.config import DEFAULT
+from tidemark.functions import text as T
+from tidemark.operators import capture, corpus, dedup, events, inject, score, search
+from tidemark.plans import context
+from tidemark.plans.oracle import oracle_sql as _oracle
+from tidemark.sources import readers
+
+DAY = 86_400
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _log(s, d):
+    return table(s, d, "memory_log")
+
+
+def _core(s, d):
+    return table(s, d, "core_tagged")
+
+
+def _indexes(s, d):
+    return search.build(_log(s, d), _core(s, d), table(s, d, "aliases"))
+
+
+def _prompts(s, d):
+    return table(s, d, "documents").where("doc_id % 100 = 0").select(F.col("doc_id").alias("query_id"), F.col("text").alias("prompt"), "session_id")
+
+
+def _intents(s, d):
+    return inject.admitted(_prompts(s, d)).select("query_id", F.col("intent").alias("text"))
+
+
+def _asking(s, d, start: int | None = None):
+    """Log entries as queries."""
+    c = F.col("content") if start is None else F.substring("content", 1, start)
+    return _log(s, d).where("line_num % 100 = 0 and content is not null").select(F.col("line_num").alias("query_id"), c.alias("text"))
+
+
+def idf_stats(s, d):
+    return corpus.idf(corpus.log_entries(_log(s, d)), corpus.core_entries(_core(s, d))).select("token", "df", F.round("weight", 6).alias("weight"))
+
+
+def token_postings(s, d):
+    return corpus.postings(corpus.surfacing(corpus.log_entries(_log(s, d))))
+
+
+def vocab_stems(s, d):
+    return corpus.vocabulary(corpus.log_entries(_log(s, d)))
+
+
+def soundex_codes(s, d):
+    return corpus.vocabulary(corpus.log_entries(_log(s, d))).select("token", T.soundex(F.col("token")).alias("code"))
+
+
+def quality_gate(s, d):
+    return _log(s, d).select("line_num", T.worth_surfacing(F.col("content")).alias("surfacing"), T.worth_storing(F.col("content")).alias("storing"))
+
+
+def content_hashes(s, d):
+    return _log(s, d).where("content is not null").select("line_num", T.content_hash(F.col("content")).alias("hash"))
+
+
+def decay_curve(s, d):
+    age = T.age_days(T.iso_time(F.col("logged_at")), DEFAULT.now)
+    return _log(s, d).select("line_num", F.round(age, 6).alias("age_days"), F.round(F.exp(-DEFAULT.decay_rate * age), 6).alias("decay"))
+
+
+def query_token_topk(s, d):
+    log, _ = _indexes(s, d)
+    return search.tokens_of(_intents(s, d), log).select("query_id", "token", F.round("weight", 6).alias("weight"))
+
+
+def partial_matches(s, d):
+    log, _ = _indexes(s, d)
+    return score.partial_matches(search.tokens_of(_intents(s, d), log), log.vocabulary)
+
+
+def search_prefilter_candidates(s, d):
+    log, _ = _indexes(s, d)
+    return search.prefiltered(_intents(s, d), log)
+
+
+_PICK = ["query_id", "entry_id", "score", "rank"]
+
+
+def search_exact_topk(s, d):
+    log, _ = _indexes(s, d)
+    return search.search(_intents(s, d), log, only_exact=True).select(*_PICK)
+
+
+def search_log_topk(s, d):
+    log, _ = _indexes(s, d)
+    return search.search(_intents(s, d), log).select(*_PICK, "match", "n_exact")
+
+
+def search_core_topk(s, d):
+    _, core = _indexes(s, d)
+    return search.search(_intents(s, d), core).select(*_PICK)
+
+
+def two_pass_rescore(s, d):
+    log, _ = _indexes(s, d)
+    texts = _intents(s, d)
+    return search.rescored(search.search(texts, log, 20), texts, log)
+
+
+def expanded_recall(s, d):
+    log, _ = _indexes(s, d)
+    texts = _intents(s, d)
+    return search.search(search.expanded(texts, search.alias_expansions(texts, log.aliases)), log).select(*_PICK)
+
+
+def exact_match_counts(s, d):
+    log, _ = _indexes(s, d)
+    texts = _intents(s, d)
+    return search.exact_counts(search.search(texts, log), texts, log.entries).select("query_id", "entry_id", "exact_matches")
+
+
+def _path(s, d):
+    log, core = _indexes(s, d)
+    return context.read_path(_prompts(s, d), log, core)
+
+
+def fused_merge_topk(s, d):
+    return _path(s, d).fused.select(*_PICK, "exact_matches")
+
+
+def tiered_results(s, d):
+    return _path(s, d).tiers.select("query_id", "entry_id", "tier", "rank")
+
+
+def cluster_merge(s, d):
+    return _path(s, d).clusters.select("query_id", "place", "entry_id", "related", "content")
+
+
+def budgeted_context(s, d):
+    return _path(s, d).block
+
+
+def core_context(s, d):
+    return _path(s, d).core_block
+
+
+def assembled_context(s, d):
+    log, core = _indexes(s, d)
+    summaries = capture.last_session(_log(s, d), _prompts(s, d))
+    return context.assembled(context.read_path(_prompts(s, d), log, core, summaries), summaries)
+
+
+def ack_markers(s, d):
+    path = _path(s, d)
+    return inject.ack_markers(path.clusters, path.prompts)
+
+
+def gate_first_block(s, d):
+    """Errors set a marker for their user; the first event within the time to live is blocked."""
+    e = table(s, d, "events").where("ts is not null and user_id is not null").select("event_id", F.col("user_id").cast("string").alias("session_id"), F.col("ts").cast("timestamp").alias("ts"), "event_type")
+    markers = e.where("event_type = 'error'").select("session_id", F.col("ts").alias("created_at"), F.lit(1).cast("long").alias("count"))
+    from dataclasses import replace
+
+    return inject.gate(markers, e.where("event_type <> 'error'"), replace(DEFAULT, gate_seconds=DAY)).select("session_id", "event_id")
+
+
+def prompt_filter(s, d):
+    prompts = table(s, d, "documents").select(F.col("doc_id").alias("query_id"), F.col("text").alias("prompt"), "session_id")
+    return inject.admitted(prompts).select("query_id")
+
+
+def intent_extraction(s, d):
+    return table(s, d, "documents").where("text is not null").select("doc_id", T.intent(F.col("text")).alias("intent"))
+
+
+def dedup_exact_hash(s, d):
+    return dedup.hash_duplicates(_log(s, d))
+
+
+def dedup_decision(s, d):
+    return dedup.tail_decisions(_log(s, d))
+
+
+def dedup_summary(s, d):
+    return dedup.tail_decisions(_log(s, d)).groupBy("decision").agg(F.count("*").alias("n"))
+
+
+def superseded_log(s, d):
+    return dedup.superseded(_log(s, d), dedup.tail_decisions(_log(s, d)))
+
+
+def near_dup_pairs(s, d):
+    return dedup.near_pairs(_log(s, d))
+
+
+def dup_by_search(s, d):
+    log, _ = _indexes(s, d)
+    return search.search(_asking(s, d, 80), log, 1).where(F.col("score") > DEFAULT.same).select("query_id", "entry_id", "score")
+
+
+def repetition_check(s, d):
+    log, _ = _indexes(s, d)
+    return capture.repetition(_asking(s, d), log)
+
+
+def store_stats(s, d):
+    return capture.stats(_log(s, d))
+
+
+def tail_scan(s, d):
+    return readers.tail(_log(s, d).select("line_num", F.coalesce("content", F.lit("")).alias("line")), "line_num", DEFAULT.tail_bytes).select("line_num")
+
+
+def jsonl_entries(s, d):
+    lines = table(s, d, "entry_cache").select("line_num", F.col("raw_json").alias("line"))
+    e = readers.parsed_entries(lines)
+    return e.select("line_num", "type", "content", F.array_join(F.coalesce("tags", F.array().cast("array<string>")), "|", "").alias("tags"), "session_id")
+
+
+def cache_staleness(s, d):
+    log = _log(s, d).select("line_num", T.content_hash(F.col("content")).alias("now_hash"))
+    cache = table(s, d, "entry_cache").select("line_num", "content_hash")
+    state = F.expr("case when content_hash is null and cached is null then 'missing' when content_hash is null then 'unhashed' when content_hash = now_hash then 'fresh' else 'stale' end")
+    return log.join(cache.withColumn("cached", F.lit(True)), "line_num", "left").select(state.alias("state")).groupBy("state").agg(F.count("*").alias("n"))
+
+
+def idf_staleness(s, d):
+    now = corpus.idf(corpus.log_entries(_log(s, d)), corpus.core_entries(_core(s, d)))
+    old = table(s, d, "idf_weights").select("token", F.col("weight").alias("old_weight"))
+    return now.join(old, "token", "full_outer").select("token", F.round("weight", 6).alias("weight"), F.round("old_weight", 6).alias("old_weight"), F.coalesce(F.abs(F.col("weight") - F.col("old_weight")) > 0.01, F.lit(True)).alias("stale"))
+
+
+def transcript_lines(s, d):
+    """Transcripts from documents: lines of a user stand behind [USER]."""
+    docs = table(s, d, "documents").where("kind = 'transcript' and text is not null").select("doc_id", "text")
+    return readers.transcript_tail(docs, 200)
+
+
+def session_summary(s, d):
+    return capture.last_session(_log(s, d), _prompts(s, d))
+
+
+def session_topics(s, d):
+    return capture.topics(_log(s, d))
+
+
+def session_checkpoints(s, d):
+    return capture.checkpoints(_log(s, d))
+
+
+def _as_prompts(s, d):
+    return _log(s, d).where("line_num is not null").select(F.col("line_num").alias("query_id"), F.col("content").alias("prompt"))
+
+
+def corrections_extracted(s, d):
+    return capture.corrections(_as_prompts(s, d)).select("query_id", "type", "content")
+
+
+def correction_gate(s, d):
+    return _as_prompts(s, d).where("prompt is not null").select("query_id", capture.has_signals(F.col("prompt")).alias("signals"), capture.weak_signals(F.col("prompt")).alias("weak"))
+
+
+def correction_pipeline(s, d):
+    log, _ = _indexes(s, d)
+    return capture.pipeline(_as_prompts(s, d).where("query_id % 100 = 0"), log)
+
+
+def smart_tags(s, d):
+    return capture.corrections(_as_prompts(s, d)).select("query_id", F.array_join(T.smart_tags(F.col("content"), F.col("full_prompt")), ",").alias("tags"))
+
+
+def decisions_extracted(s, d):
+    return capture.decisions(table(s, d, "documents"))
+
+
+def plan_reasoning(s, d):
+    return capture.plan_reasoning(table(s, d, "documents").where("kind = 'plan'"))
+
+
+def incremental_tail(s, d):
+    docs = table(s, d, "documents")
+    return capture.incremental(docs, docs.select("doc_id", F.expr("n_chars div 2").alias("offset")))
+
+
+def validate_learnings(s, d):
+    return capture.validated(table(s, d, "entry_cache").select(F.col("line_num").alias("id"), F.col("raw_json").alias("response"))).select("id", "type", "content", "tags")
+
+
+def _calls(s, d):
+    return events.from_events(table(s, d, "events"))
+
+
+def _acts(s, d):
+    return events.activities(_calls(s, d))
+
+
+def activities(s, d):
+    return _acts(s, d).select("event_id", "session_id", "category", "description")
+
+
+def activity_summary(s, d):
+    return events.summaries(_acts(s, d))
+
+
+def error_resolution(s, d):
+    return events.resolutions(_acts(s, d), DAY)
+
+
+def error_resolution_any(s, d):
+    """Resolutions whoever caused them: one stream, cut into hours that are independent but for the 300 seconds before."""
+    return events.resolutions(_acts(s, d), DEFAULT.fix_seconds)
+
+
+def test_results(s, d):
+    return events.test_results(_calls(s, d), DAY)
+
+
+def signal_retry_success(s, d):
+    return events.retry_success(_acts(s, d))
+
+
+def signal_config_breakthrough(s, d):
+    return events.config_breakthrough(_acts(s, d))
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    return assembled_context(spark, sf_dir)
+
+
+_NAMES = """idf_stats token_postings vocab_stems soundex_codes quality_gate content_hashes decay_curve query_token_topk partial_matches
+search_prefilter_candidates search_exact_topk search_log_topk search_core_topk two_pass_rescore expanded_recall exact_match_counts
+fused_merge_topk tiered_results cluster_merge budgeted_context core_context assembled_context ack_markers gate_first_block
+prompt_filter intent_extraction dedup_exact_hash dedup_decision dedup_summary superseded_log near_dup_pairs dup_by_search
+repetition_check store_stats tail_scan jsonl_entries cache_staleness idf_staleness transcript_lines session_summary session_topics
+session_checkpoints corrections_extracted correction_gate correction_pipeline smart_tags decisions_extracted plan_reasoning
+incremental_tail validate_learnings activities activity_summary error_resolution error_resolution_any test_results
+signal_retry_success signal_config_breakthrough""".split()
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return {name: globals()[name] for name in _NAMES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return _oracle()
