@@ -76,7 +76,7 @@ def content_hashes(s, d):
 
 def decay_curve(s, d):
     age = T.age_days(T.iso_time(F.col("logged_at")), DEFAULT.now)
-    return _log(s, d).select("line_num", F.round(age, 6).alias("age_days"), F.round(F.exp(-DEFAULT.decay_rate * age), 6).alias("decay"))
+    return _log(s, d).select("line_num", F.round(age * 86400).cast("long").alias("age_seconds"), F.round(F.exp(-DEFAULT.decay_rate * age), 6).alias("decay"))
 
 
 def query_token_topk(s, d):

@@ -1,5 +1,426 @@
+"""The same queries as DuckDB statements over the same tables, written from the definitions, not from the plans.
+
+Matching is done the plain way here: substrings by comparing every query token with every word, near duplicates by comparing
+every pair, tails by a window over the whole log.
+"""
+
 from __future__ import annotations
 
+from tidemark.config import DEFAULT
+from tidemark.functions import fixed
+from tidemark.functions.text import ISO, SPACE, stem_sql
+from tidemark.operators.capture import portable
+
+DAY = 86_400
+
+
+def _quoted(values) -> str:
+    return ", ".join("'" + v.replace("'", "''") + "'" for v in values)
+
+
+def _lit(s: str) -> str:
+    return "'" + s.replace("'", "''") + "'"
+
+
+def _toks(e: str) -> str:
+    return f"list_distinct(regexp_extract_all(lower({e}), '[\\p{{L}}\\p{{N}}_]{{3,}}'))"
+
+
+def _words(e: str) -> str:
+    return f"list_distinct(regexp_extract_all(lower({e}), '[\\p{{L}}\\p{{N}}_]+'))"
+
+
+def _strip(e: str) -> str:
+    return f"regexp_replace({e}, '^{SPACE}+|{SPACE}+$', '', 'g')"
+
+
+def _any(e: str, values) -> str:
+    return "(" + " OR ".join(f"contains({e}, {_lit(v)})" for v in values) + ")"
+
+
+def _preview(c: str) -> str:
+    lines = f"string_split({c}, chr(10))"
+    return f"substring(array_to_string({lines}[1:2], ' '), 1, 150) || CASE WHEN length({c}) > 150 THEN '...' ELSE '' END"
+
+
+_SPLIT = f"list_filter(string_split_regex(coalesce(content, ''), '{SPACE}+'), lambda w: w <> '')"
+_STORING = (
+    f"(len({_SPLIT}) >= 5 AND len(list_distinct(list_transform(list_filter({_SPLIT}, lambda w: length(w) > 3), lambda w: lower(w)))) >= 3"
+    f" AND (NOT regexp_matches(coalesce(content, ''), '^\\p{{Ll}}') OR regexp_matches(coalesce(content, ''), '^(?:{'|'.join(fixed.COMMANDS)})')))"
+)
+_SURFACING = f"(length(coalesce(content, '')) >= 20 AND {_STORING})"
+_HASH = "substring(md5(lower(content)), 1, 16)"
+_TAGS = "array_to_string(list_transform(coalesce(tags, []), lambda t: coalesce(t, '')), ' ')"
+_OFFSET = f"regexp_extract(logged_at, '{ISO}', 2)"
+_MINUTES = f"CASE WHEN {_OFFSET} IN ('', 'Z') THEN 0 ELSE CAST(substring({_OFFSET}, 1, 1) || '1' AS INT) * (CAST(substring({_OFFSET}, 2, 2) AS INT) * 60 + CAST(substring({_OFFSET}, 5, 2) AS INT)) END"
+_NOW = DEFAULT.now.rstrip("Z").replace("T", " ")
+_AGE = f"coalesce(greatest((epoch_us(TIMESTAMP '{_NOW}') - (epoch_us(try_cast(regexp_extract(logged_at, '{ISO}', 1) AS TIMESTAMP)) - CAST({_MINUTES} AS BIGINT) * 60000000)) / 86400e6, 0.0), 0.0)"
+
+_CORPUS = f"""
+log0 AS (
+  SELECT line_num AS entry_id, type AS kind, coalesce(content, '') AS content, {_TAGS} AS tags_text, CAST(NULL AS VARCHAR) AS section,
+    0 AS priority, {_AGE} AS age_days, {_toks(f"coalesce(content, '') || ' ' || {_TAGS} || ' ' || coalesce(type, '')")} AS tokens
+  FROM memory_log WHERE line_num IS NOT NULL),
+core0 AS (
+  SELECT core_id AS entry_id, type AS kind, coalesce(content, '') AS content, {_TAGS} AS tags_text, section,
+    coalesce(priority, 0) AS priority, 0.0 AS age_days, {_toks(f"coalesce(content, '') || ' ' || {_TAGS} || ' ' || coalesce(type, '') || ' ' || coalesce(section, '')")} AS tokens
+  FROM core_tagged WHERE core_id IS NOT NULL),
+weights AS (
+  SELECT token, count(*) AS df, ln(1 + (SELECT (SELECT count(*) FROM log0) + (SELECT count(*) FROM core0)) / count(*)) AS weight
+  FROM (SELECT unnest(tokens) AS token FROM log0 UNION ALL SELECT unnest(tokens) FROM core0) GROUP BY token),
+log AS (SELECT * FROM log0 WHERE {_SURFACING} AND len(tokens) > 0),
+core AS (SELECT * FROM core0 WHERE {_SURFACING} AND len(tokens) > 0),
+alias_pairs AS (SELECT DISTINCT alias_key AS token, alias FROM (SELECT alias_key, unnest(expansions) AS alias FROM aliases) WHERE alias_key IS NOT NULL AND alias IS NOT NULL)"""
+
+
+def _intents(where: str) -> str:
+    stops = _quoted(fixed.INTENT_STOP_WORDS)
+    return f"""
+iwords AS (
+  SELECT doc_id, unnest(ws) AS w, generate_subscripts(ws, 1) AS p FROM (
+    SELECT doc_id, string_split_regex(regexp_replace(lower(regexp_replace(regexp_replace(text, '"[^"]{{20,}}"', ' ', 'g'), '```[\\s\\S]{{20,}}?```', ' ', 'g')), '[^\\p{{L}}\\p{{N}}_\\-]', ' ', 'g'), ' +') AS ws
+    FROM documents WHERE text IS NOT NULL AND {where})),
+ikept AS (SELECT doc_id, w, min(p) AS p FROM iwords WHERE length(w) >= 3 AND w NOT IN ({stops}) GROUP BY doc_id, w),
+itext AS (SELECT doc_id, string_agg(w, ' ' ORDER BY p) AS words FROM ikept GROUP BY doc_id),
+intents AS (
+  SELECT d.doc_id, d.session_id, d.text, coalesce(words, substring({_strip('d.text')}, 1, 50)) AS intent
+  FROM documents d LEFT JOIN itext USING (doc_id) WHERE d.text IS NOT NULL AND {where.replace('doc_id', 'd.doc_id')}),
+admitted AS (
+  SELECT doc_id AS query_id, session_id, intent AS text FROM intents
+  WHERE length(text) >= 15 AND NOT starts_with({_strip('text')}, '/') AND NOT starts_with(regexp_replace(text, '^{SPACE}+', ''), '{fixed.TASK_NOTIFICATION}')
+    AND NOT {_any('substring(text, 1, 100)', fixed.SYSTEM_MARKERS)} AND length(intent) >= 3)"""
+
+
+def _search(p: str, texts: str, entries: str, keep: int | None = 10, only_exact: bool = False, only_pairs: str | None = None) -> str:
+    """CTEs {p}_q (query tokens), {p}_ev (evidence), {p}_scored and {p}_top (with rank, unlimited)."""
+    within = f" SEMI JOIN {only_pairs} USING (query_id, entry_id)" if only_pairs else ""
+    kinds = _quoted(fixed.PRIORITY_TYPES)
+    more = "" if only_exact else f"""
+  UNION
+  SELECT query_id, entry_id, 's', {p}_st.stem, {p}_st.weight FROM {p}_st JOIN {p}_vocab v ON v.stem = {p}_st.stem JOIN {p}_post USING (token)
+  UNION
+  SELECT query_id, entry_id, 'p', n.token, n.weight FROM {p}_near n JOIN {p}_post o ON o.token = n.other"""
+    return f"""
+{p}_all AS (
+  SELECT query_id, t.token, coalesce(w.weight, 1.0) AS weight, coalesce(w.weight, (SELECT max(weight) FROM weights), 1.0) AS rank_weight
+  FROM (SELECT query_id, unnest({_toks('text')}) AS token FROM {texts}) t LEFT JOIN weights w USING (token)),
+{p}_q AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rank_weight DESC, token) AS place FROM {p}_all) WHERE place <= {keep or 10**9}),
+{p}_post AS (SELECT entry_id, unnest(tokens) AS token FROM {entries}),
+{p}_vocab AS (SELECT token, {stem_sql('token')} AS stem FROM (SELECT DISTINCT token FROM {p}_post)),
+{p}_st AS (
+  SELECT query_id, s.stem, coalesce(w.weight, 1.0) AS weight
+  FROM (SELECT DISTINCT query_id, {stem_sql('token')} AS stem FROM {p}_q) s LEFT JOIN weights w ON w.token = s.stem),
+{p}_pairs AS (
+  SELECT q.token, v.token AS other FROM (SELECT DISTINCT token FROM {p}_q) q JOIN {p}_vocab v
+  ON q.token <> v.token AND (contains(v.token, q.token) OR contains(q.token, v.token)) AND 2 * least(length(q.token), length(v.token)) >= greatest(length(q.token), length(v.token))),
+{p}_near AS (
+  SELECT q.query_id, q.token, q.weight, x.other FROM {p}_q q JOIN {p}_pairs x USING (token)
+  WHERE NOT EXISTS (SELECT 1 FROM {p}_q o WHERE o.query_id = q.query_id AND o.token = x.other)),
+{p}_ev AS (SELECT * FROM (
+  SELECT query_id, entry_id, 'x' AS part, token, weight FROM {p}_q JOIN {p}_post USING (token)
+  UNION
+  SELECT query_id, entry_id, 'a', q.token, q.weight FROM {p}_q q JOIN alias_pairs a ON a.token = q.token JOIN {p}_post o ON o.token = a.alias{more}){within}),
+{p}_exact AS (SELECT query_id, entry_id, token, max(weight) AS weight FROM {p}_ev WHERE part IN ('x', 'a') GROUP BY ALL),
+{p}_sums AS (
+  SELECT query_id, entry_id, sum(ew) AS ew, sum(n_exact) AS n_exact, sum(direct) AS direct, sum(sw) AS sw, sum(n_stem) AS n_stem, sum(only_w) AS only_w, sum(pw) AS pw FROM (
+    SELECT query_id, entry_id, weight AS ew, 1 AS n_exact, 0 AS direct, 0.0 AS sw, 0 AS n_stem, 0.0 AS only_w, 0.0 AS pw FROM {p}_exact
+    UNION ALL SELECT query_id, entry_id, 0, 0, 1, 0, 0, 0, 0 FROM {p}_ev WHERE part = 'x'
+    UNION ALL SELECT query_id, entry_id, 0, 0, 0, weight, 1, 0, 0 FROM {p}_ev WHERE part = 's'
+    UNION ALL SELECT query_id, entry_id, 0, 0, 0, 0, 0, weight, 0 FROM {p}_ev e WHERE part = 's'
+      AND NOT EXISTS (SELECT 1 FROM {p}_exact x WHERE x.query_id = e.query_id AND x.entry_id = e.entry_id AND {stem_sql('x.token')} = e.token)
+    UNION ALL SELECT query_id, entry_id, 0, 0, 0, 0, 0, 0, weight FROM {p}_ev e WHERE part = 'p'
+      AND NOT EXISTS (SELECT 1 FROM {p}_exact x WHERE x.query_id = e.query_id AND x.entry_id = e.entry_id AND x.token = e.token)) GROUP BY ALL),
+{p}_tot AS (SELECT query_id, sum(weight) AS total, count(*) AS n_query, list(token) AS query FROM {p}_q GROUP BY query_id),
+{p}_m AS (
+  SELECT *, CASE WHEN n_exact > 0 THEN (ew + 0.7 * only_w + 0.25 * pw) / total WHEN n_stem > 0 THEN 0.7 * sw / total ELSE 0.5 * pw / total END AS match
+  FROM {p}_sums JOIN {p}_tot USING (query_id) JOIN {entries} USING (entry_id)),
+{p}_scored AS (SELECT * FROM (
+  SELECT query_id, entry_id, round(match, 6) AS match, CAST(n_exact AS INT) AS n_exact, round(match
+    * CASE WHEN (round(match, 9) >= 0.3 OR (round(match, 9) >= 0.15 AND n_exact > 0)) AND n_query >= 3
+      THEN CASE WHEN len(list_intersect(query, {_toks('tags_text')})) > 0 THEN 2.0 ELSE 1.0 END * CASE WHEN lower(coalesce(kind, '')) IN ({kinds}) THEN 1.5 ELSE 1.0 END ELSE 1.0 END
+    * (1 + 0.1 * priority) * exp(-{DEFAULT.decay_rate} * age_days)
+    * CASE WHEN n_exact > 0 AND len(tokens) > 3 THEN least(greatest(3.0 * direct / sqrt(len(tokens)), 0.15), 1.0) ELSE 1.0 END, 6) AS score
+  FROM {p}_m) WHERE score > 0),
+{p}_top AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, entry_id) AS INT) AS rank FROM {p}_scored)"""
+
+
+def _counted(p: str, results: str, texts: str, entries: str) -> str:
+    return f"""
+{p} AS (
+  SELECT r.*, CAST(len(list_intersect({_toks('t.text')}, {_toks("e.content || ' ' || e.tags_text")})) AS INT) AS exact_matches
+  FROM {results} r JOIN {texts} t USING (query_id) JOIN {entries} e USING (entry_id))"""
+
+
+_EVERY = "doc_id % 100 = 0"
+_BASE = f"WITH {_CORPUS}, {_intents(_EVERY)}"
+_TIER = f"CASE WHEN exact_matches < 2 THEN NULL WHEN score >= {DEFAULT.hot} THEN 'HOT' WHEN score >= {DEFAULT.warm} THEN 'WARM' END"
+_EXPANDED = f"""
+extra AS (
+  SELECT query_id, string_agg(alias, ' ' ORDER BY alias) AS extra FROM (
+    SELECT DISTINCT query_id, alias FROM (SELECT query_id, unnest({_words('text')}) AS token FROM admitted) JOIN alias_pairs USING (token)) GROUP BY query_id),
+wide AS (SELECT query_id, concat_ws(' ', text, extra) AS text FROM admitted LEFT JOIN extra USING (query_id))"""
+_PATH = f"""{_BASE}, {_EXPANDED}, {_search('c', 'admitted', 'core')}, {_search('k', 'admitted', 'log')}, {_search('w', 'wide', 'log')},
+w5 AS (SELECT query_id, entry_id, rank AS place FROM w_top WHERE rank <= 5),
+{_search('r', 'admitted', 'log', None, only_pairs='w5')},
+{_counted('cres', '(SELECT * FROM c_top WHERE rank <= 5)', 'admitted', 'core')},
+seen AS (SELECT DISTINCT query_id, lower(substring(content, 1, 80)) AS key FROM cres JOIN core USING (entry_id)),
+branches AS (
+  SELECT query_id, entry_id, score, 0 AS branch, rank AS place FROM k_top WHERE rank <= 5
+  UNION ALL SELECT query_id, entry_id, score, 1, place FROM r_scored JOIN w5 USING (query_id, entry_id)),
+once AS (
+  SELECT *, row_number() OVER (PARTITION BY query_id, substring(content, 1, 80) ORDER BY score DESC, branch, place) AS n
+  FROM branches b JOIN log USING (entry_id) WHERE NOT EXISTS (SELECT 1 FROM seen s WHERE s.query_id = b.query_id AND s.key = lower(substring(content, 1, 80)))),
+fused0 AS (SELECT query_id, entry_id, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, branch, place) AS INT) AS rank FROM once WHERE n = 1),
+{_counted('fused', '(SELECT * FROM fused0 WHERE rank <= 5)', 'admitted', 'log')},
+tiers AS (SELECT * FROM (SELECT *, {_TIER} AS tier FROM fused) WHERE tier IS NOT NULL),
+ctiers AS (SELECT * FROM (SELECT *, {_TIER} AS tier FROM cres) JOIN core USING (entry_id) WHERE tier IS NOT NULL)"""
+_CORE_BLOCK = f"""
+chot AS (
+  SELECT query_id, 'HOT' AS tier, rank AS place, '**[' || coalesce(section, '') || ']** ' || CASE WHEN length(content) > 300 THEN substring(content, 1, 297) || '...' ELSE content END AS entry
+  FROM ctiers WHERE tier = 'HOT'),
+chot2 AS (SELECT *, sum(length(entry)) OVER (PARTITION BY query_id ORDER BY place) AS upto FROM chot QUALIFY upto <= {DEFAULT.budget}),
+cwarm AS (
+  SELECT query_id, 'WARM' AS tier, rank AS place, '- [' || coalesce(section, '') || '] ' || {_preview('content')} AS entry FROM ctiers WHERE tier = 'WARM'),
+cwarm2 AS (
+  SELECT w.*, coalesce(h.spent, 0) + sum(length(entry)) OVER (PARTITION BY query_id ORDER BY place) AS upto
+  FROM cwarm w LEFT JOIN (SELECT query_id, max(upto) AS spent FROM chot2 GROUP BY query_id) h USING (query_id) QUALIFY upto <= {DEFAULT.budget})"""
+
+_DECISION = f"""
+placed AS (
+  SELECT line_num, content, length(content) AS length, octet_length(encode(content)) + 1 AS bytes, {_words('content')} AS words, lower(substring(content, 1, 80)) AS start,
+    row_number() OVER (ORDER BY line_num) AS pos FROM (SELECT line_num, coalesce(content, '') AS content FROM memory_log WHERE line_num IS NOT NULL)),
+met AS (
+  SELECT a.line_num, a.pos, a.length, b.pos AS old_pos, b.line_num AS old_line, b.length AS old_length, a.start = b.start AS same_start,
+    len(list_intersect(a.words, b.words)) AS common, len(a.words) + len(b.words) - len(list_intersect(a.words, b.words)) AS total,
+    sum(b.bytes) OVER (PARTITION BY a.pos ORDER BY b.pos DESC) AS upto
+  FROM placed a JOIN placed b ON b.pos BETWEEN a.pos - {DEFAULT.tail_rows + 1} AND a.pos - 1 WHERE a.length > 0),
+best AS (
+  SELECT line_num, bool_or(pos - old_pos <= {DEFAULT.tail_rows} AND (same_start OR (total > 0 AND common > {DEFAULT.duplicate} * total))) AS same,
+    max(CASE WHEN total > 0 AND common > 0 AND common >= {DEFAULT.supersede_from} * total AND common <= {DEFAULT.duplicate} * total AND length >= old_length THEN old_line END) AS target
+  FROM met WHERE upto < {DEFAULT.tail_bytes} GROUP BY line_num),
+hashes AS (
+  SELECT line_num, min(line_num) OVER (PARTITION BY {_HASH}) AS first_line FROM memory_log WHERE content IS NOT NULL AND line_num IS NOT NULL),
+decided AS (
+  SELECT p.line_num, CASE WHEN p.length = 0 THEN 'APPEND' WHEN h.line_num IS NOT NULL OR same THEN 'SKIP' WHEN target IS NOT NULL THEN 'SUPERSEDE' ELSE 'APPEND' END AS decision, target
+  FROM placed p LEFT JOIN best USING (line_num) LEFT JOIN (SELECT line_num FROM hashes WHERE line_num > first_line) h USING (line_num)),
+decisions AS (SELECT line_num, decision, CASE WHEN decision = 'SUPERSEDE' THEN target END AS target FROM decided)"""
+
+
+def _soundex() -> str:
+    digits = f"translate(regexp_replace(upper(replace(token, 'ß', 'ss')), '[0-9]', '', 'g'), '{fixed.SOUNDEX_LETTERS}', '{fixed.SOUNDEX_DIGITS}')"
+    digits = f"regexp_replace({digits}, '[^1-6]', '', 'g')"
+    for d in "123456":
+        digits = f"regexp_replace({digits}, '{d}+', '{d}', 'g')"
+    first = "substring(upper(replace(token, 'ß', 'ss')), 1, 1)"
+    return f"CASE WHEN NOT regexp_matches({first}, '^\\p{{L}}') THEN '' ELSE rpad({first} || substring(CASE WHEN contains('{fixed.SOUNDEX_LETTERS}', {first}) THEN substring({digits}, 2) ELSE {digits} END, 1, 3), 4, '0') END"
+
+
+def _corrections() -> str:
+    options = []
+    for pattern, group, kind in fixed.CORRECTION_PATTERNS:
+        got = f"regexp_replace({_strip(f'regexp_extract(p, {_lit(portable(pattern))}, {group}, {_lit("is")})')}, '{SPACE}+', ' ', 'g')"
+        options.append((got, kind))
+    case = "CASE " + " ".join(f"WHEN length(c{i}) >= 10 THEN {{{i}}}" for i in range(len(options))) + " END"
+    columns = ", ".join(f"{got} AS c{i}" for i, (got, _) in enumerate(options))
+    content = case.format(*[f"c{i}" for i in range(len(options))])
+    kind = case.format(*[_lit(k) for _, k in options])
+
+    def at(ch: str) -> str:
+        p = f"(CASE WHEN instr(substring(c, 41), '{ch}') > 0 THEN instr(substring(c, 41), '{ch}') + 40 ELSE 0 END)"
+        return f"CASE WHEN {p} > 41 AND {p} < 201 THEN {p} END"
+
+    return f"""
+cp AS (SELECT line_num AS query_id, content AS prompt, {_strip('content')} AS p FROM memory_log WHERE content IS NOT NULL AND line_num IS NOT NULL),
+cc AS (SELECT query_id, prompt, {columns} FROM cp),
+ck AS (SELECT query_id, prompt, {kind} AS type, {content} AS c FROM cc),
+ce AS (SELECT *, coalesce({at('.')}, {at('!')}, {at('?')}) AS e FROM ck WHERE c IS NOT NULL),
+corr AS (SELECT query_id, type, substring(CASE WHEN length(c) > 120 AND e IS NOT NULL THEN substring(c, 1, e) ELSE c END, 1, 300) AS content, substring(prompt, 1, 500) AS full_prompt FROM ce)"""
+
+
+def _smart(rows: str) -> str:
+    return f"""
+plain AS (SELECT query_id, regexp_replace(regexp_replace(lower(content || ' ' || full_prompt), '[^\\p{{L}}\\p{{N}}\\x00-\\x7f]', ' ', 'g'), '[^\\x00-\\x7f]', 'X', 'g') AS t FROM {rows}),
+tagw AS (SELECT query_id, unnest(m) AS tag, generate_subscripts(m, 1) AS posn FROM (SELECT query_id, regexp_extract_all(t, '\\b[a-z][a-z0-9_-]{{2,}}\\b') AS m FROM plain)),
+tagf AS (SELECT query_id, tag, min(posn) AS posn FROM tagw WHERE tag NOT IN ({_quoted(fixed.TAG_STOP_WORDS)}) GROUP BY ALL),
+tagk AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY posn) AS n FROM tagf),
+smart AS (SELECT query_id, string_agg(tag, ',' ORDER BY n) AS tags FROM tagk WHERE n <= 8 GROUP BY query_id)"""
+
+
+def _decisions(most: int = 10) -> str:
+    parts = []
+    for n, (pattern, kind) in enumerate(fixed.DECISION_PATTERNS):
+        parts.append(f"SELECT doc_id, {n} AS pattern, generate_subscripts(m, 1) AS posn, '{kind}' AS type, unnest(m) AS raw FROM (SELECT doc_id, regexp_extract_all(coalesce(text, ''), {_lit(portable(pattern))}, 1, 'i') AS m FROM documents WHERE doc_id IS NOT NULL)")
+    verb = rf"regexp_matches(content, '[\p{{L}}\p{{N}}_](?:{fixed.VERB_LIKE})(?:[^\p{{L}}\p{{N}}_]|$)', 'i')"
+    return f"""
+WITH raw AS ({' UNION ALL '.join(parts)}),
+cut AS (SELECT doc_id, pattern, posn, type, substring(regexp_replace({_strip('raw')}, '[\\n\\r]+', ' ', 'g'), 1, 300) AS content FROM raw),
+good AS (SELECT *, row_number() OVER (PARTITION BY doc_id, lower(substring(content, 1, 50)) ORDER BY pattern, posn) AS n FROM cut WHERE length(content) >= 50 AND {verb}),
+ranked AS (SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY pattern, posn) AS INT) AS place, type, content FROM good WHERE n = 1)
+SELECT * FROM ranked WHERE place <= {most}"""
+
+
+_K = "coalesce(CAST(json_extract_string(props, '$.k') AS BIGINT), 0)"
+_COMMAND = f"CASE WHEN {_K} % 3 = 0 THEN 'pytest suite_' || {_K} WHEN {_K} % 5 = 0 THEN 'pip install pkg_' || {_K} ELSE 'make target_' || {_K} END"
+_ACTS = f"""
+acts AS (
+  SELECT event_id, CAST(user_id AS VARCHAR) AS session_id, ts, {_K} AS k, {_COMMAND} AS cmd,
+    CASE event_type WHEN 'click' THEN 'CHANGED' WHEN 'error' THEN 'TRIED-FAILED' ELSE 'INFRA' END AS category,
+    CASE event_type WHEN 'click' THEN 'Edited mod_' || {_K} || '.py' WHEN 'error' THEN 'Command failed: ' || {_COMMAND} || ' -> Error: exit of step ' || {_K} || ' failed' ELSE 'Ran: ' || {_COMMAND} END AS description
+  FROM events WHERE event_type IN ('click', 'error', 'purchase') AND event_id IS NOT NULL AND user_id IS NOT NULL AND ts IS NOT NULL),
+placed_acts AS (SELECT *, CAST(row_number() OVER (PARTITION BY session_id ORDER BY ts, event_id) AS INT) AS place FROM acts)"""
+_RETRY = """
+flags AS (
+  SELECT a.session_id, a.event_id, a.place,
+    count(*) FILTER (b.category = 'TRIED-FAILED') >= 2 AND max(b.place) FILTER (b.category <> 'TRIED-FAILED') > max(b.place) FILTER (b.category = 'TRIED-FAILED') AS retry
+  FROM placed_acts a JOIN placed_acts b ON b.session_id = a.session_id AND b.place BETWEEN a.place - 7 AND a.place WHERE a.place >= 3 GROUP BY ALL)"""
+
+
+def _resolved(seconds: int) -> str:
+    return f"""
+WITH {_ACTS},
+fixes AS (
+  SELECT e.event_id, f.event_id AS fixed_by, e.k, f.description, e.ts AS failed_at, f.ts AS fixed_at, row_number() OVER (PARTITION BY e.event_id ORDER BY f.place) AS n
+  FROM placed_acts e JOIN placed_acts f ON f.session_id = e.session_id AND f.place > e.place AND f.category <> 'TRIED-FAILED' AND length(f.description) >= 15 AND f.ts - e.ts <= INTERVAL {seconds} SECOND
+  WHERE e.category = 'TRIED-FAILED')
+SELECT event_id, fixed_by, 'Resolved ''Error: exit of step ' || k || ' failed'' by: ' || description AS content FROM fixes WHERE n = 1"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    pick = "query_id, entry_id, score, rank"
+    return {
+        "idf_stats": f"WITH {_CORPUS} SELECT token, df, round(weight, 6) AS weight FROM weights",
+        "token_postings": f"WITH {_CORPUS} SELECT entry_id, unnest(tokens) AS token FROM log",
+        "vocab_stems": f"WITH {_CORPUS} SELECT token, {stem_sql('token')} AS stem FROM (SELECT DISTINCT unnest(tokens) AS token FROM log0)",
+        "soundex_codes": f"WITH {_CORPUS} SELECT token, {_soundex()} AS code FROM (SELECT DISTINCT unnest(tokens) AS token FROM log0)",
+        "quality_gate": f"SELECT line_num, {_SURFACING} AS surfacing, {_STORING} AS storing FROM memory_log",
+        "content_hashes": f"SELECT line_num, {_HASH} AS hash FROM memory_log WHERE content IS NOT NULL",
+        "decay_curve": f"SELECT line_num, CAST(round({_AGE} * 86400) AS BIGINT) AS age_seconds, round(exp(-{DEFAULT.decay_rate} * {_AGE}), 6) AS decay FROM memory_log",
+        "query_token_topk": f"{_BASE}, {_search('k', 'admitted', 'log')} SELECT query_id, token, round(weight, 6) AS weight FROM k_q",
+        "partial_matches": f"{_BASE}, {_search('k', 'admitted', 'log')} SELECT DISTINCT token, other FROM k_pairs",
+        "search_prefilter_candidates": f"{_BASE}, {_search('k', 'admitted', 'log')} SELECT DISTINCT query_id, entry_id FROM k_ev WHERE part <> 'p'",
+        "search_exact_topk": f"{_BASE}, {_search('k', 'admitted', 'log', only_exact=True)} SELECT {pick} FROM k_top WHERE rank <= 5",
+        "search_log_topk": f"{_BASE}, {_search('k', 'admitted', 'log')} SELECT {pick}, match, n_exact FROM k_top WHERE rank <= 5",
+        "search_core_topk": f"{_BASE}, {_search('k', 'admitted', 'core')} SELECT {pick} FROM k_top WHERE rank <= 5",
+        "two_pass_rescore": f"{_BASE}, {_search('k', 'admitted', 'log')}, k20 AS (SELECT query_id, entry_id FROM k_top WHERE rank <= 20), {_search('r', 'admitted', 'log', None, only_pairs='k20')} SELECT query_id, entry_id, score FROM r_scored",
+        "expanded_recall": f"{_BASE}, {_EXPANDED}, {_search('k', 'wide', 'log')} SELECT {pick} FROM k_top WHERE rank <= 5",
+        "exact_match_counts": f"{_BASE}, {_search('k', 'admitted', 'log')}, {_counted('r', '(SELECT * FROM k_top WHERE rank <= 5)', 'admitted', 'log')} SELECT query_id, entry_id, exact_matches FROM r",
+        "fused_merge_topk": f"{_PATH} SELECT {pick}, exact_matches FROM fused",
+        "tiered_results": f"{_PATH} SELECT query_id, entry_id, tier, rank FROM tiers",
+        "core_context": f"{_PATH}, {_CORE_BLOCK} SELECT query_id, tier, place, entry, CAST(upto AS BIGINT) AS upto FROM chot2 UNION ALL SELECT query_id, tier, place, entry, CAST(upto AS BIGINT) FROM cwarm2",
+        "gate_first_block": f"""
+WITH calls AS (SELECT event_id, CAST(user_id AS VARCHAR) AS session_id, ts, event_type FROM events WHERE ts IS NOT NULL AND user_id IS NOT NULL),
+last AS (
+  SELECT c.session_id, c.event_id, c.ts, max(m.ts) AS posn FROM calls c JOIN calls m ON m.session_id = c.session_id AND m.event_type = 'error' AND m.ts <= c.ts
+  WHERE c.event_type <> 'error' GROUP BY ALL),
+firsts AS (SELECT *, row_number() OVER (PARTITION BY session_id, posn ORDER BY ts, event_id) AS n FROM last WHERE ts - posn <= INTERVAL {DAY} SECOND)
+SELECT session_id, event_id FROM firsts WHERE n = 1""",
+        "prompt_filter": f"WITH {_intents('true')} SELECT query_id FROM admitted",
+        "intent_extraction": f"WITH {_intents('true')} SELECT doc_id, intent FROM intents",
+        "dedup_exact_hash": f"SELECT line_num, first_line FROM (SELECT line_num, min(line_num) OVER (PARTITION BY {_HASH}) AS first_line FROM memory_log WHERE content IS NOT NULL AND line_num IS NOT NULL) WHERE line_num > first_line",
+        "dedup_decision": f"WITH {_DECISION} SELECT * FROM decisions",
+        "dedup_summary": f"WITH {_DECISION} SELECT decision, count(*) AS n FROM decisions GROUP BY decision",
+        "superseded_log": f"""
+WITH {_DECISION},
+versions AS (SELECT coalesce(target, d.line_num) AS line_num, content, d.line_num AS version FROM decisions d JOIN memory_log USING (line_num) WHERE decision <> 'SKIP')
+SELECT line_num, arg_max(content, version) FILTER (content IS NOT NULL) AS content, max(version) AS version FROM versions GROUP BY line_num""",
+        "near_dup_pairs": f"""
+WITH sets AS (
+  SELECT words, min(line_num) AS id, len(words) AS n FROM (SELECT line_num, list_sort({_words('content')}) AS words FROM memory_log WHERE content IS NOT NULL AND line_num IS NOT NULL) WHERE len(words) > 0 GROUP BY words),
+met AS (SELECT a.id AS id_a, b.id AS id_b, a.n + b.n AS both_n, len(list_intersect(a.words, b.words)) AS common FROM sets a JOIN sets b ON a.id < b.id AND 2 * a.n > b.n AND 2 * b.n > a.n)
+SELECT id_a, id_b, round(common / (both_n - common), 6) AS similarity FROM met WHERE 2 * common > both_n - common""",
+        "dup_by_search": f"""
+WITH {_CORPUS}, ask AS (SELECT line_num AS query_id, substring(content, 1, 80) AS text FROM memory_log WHERE line_num % 100 = 0 AND content IS NOT NULL), {_search('k', 'ask', 'log')}
+SELECT query_id, entry_id, score FROM k_top WHERE rank = 1 AND score > {DEFAULT.same}""",
+        "repetition_check": f"""
+WITH {_CORPUS}, ask AS (SELECT line_num AS query_id, content AS text FROM memory_log WHERE line_num % 100 = 0 AND content IS NOT NULL), {_search('k', 'ask', 'log')},
+best AS (SELECT query_id, max(score) AS best FROM k_top JOIN log USING (entry_id) WHERE rank <= 3 AND kind IN ({_quoted(fixed.CORRECTION_TYPES)}) GROUP BY query_id)
+SELECT query_id, coalesce(best, 0.0) AS best FROM ask LEFT JOIN best USING (query_id)""",
+        "store_stats": "SELECT count(*) AS log_entries, arg_max(logged_at, line_num) FILTER (coalesce(logged_at, '') <> '') AS last_entry_date FROM memory_log",
+        "tail_scan": f"SELECT line_num FROM (SELECT line_num, sum(octet_length(encode(coalesce(content, ''))) + 1) OVER (ORDER BY line_num DESC) AS upto FROM memory_log) WHERE upto < {DEFAULT.tail_bytes}",
+        "jsonl_entries": """
+WITH ok AS (SELECT line_num, CAST(raw_json AS JSON) AS j FROM entry_cache WHERE json_valid(raw_json) AND starts_with(trim(raw_json), '{'))
+SELECT line_num, j ->> 'type' AS type, j ->> 'content' AS content, array_to_string(list_transform(coalesce(CAST(j -> 'tags' AS VARCHAR[]), []), lambda t: coalesce(t, '')), '|') AS tags, coalesce(j ->> 'session_id', 'unknown') AS session_id FROM ok""",
+        "cache_staleness": f"""
+SELECT CASE WHEN content_hash IS NULL AND c.line_num IS NULL THEN 'missing' WHEN content_hash IS NULL THEN 'unhashed' WHEN content_hash = {_HASH} THEN 'fresh' ELSE 'stale' END AS state, count(*) AS n
+FROM memory_log m LEFT JOIN entry_cache c ON c.line_num = m.line_num GROUP BY 1""",
+        "idf_staleness": f"""
+WITH {_CORPUS}
+SELECT token, round(w.weight, 6) AS weight, round(i.weight, 6) AS old_weight, coalesce(abs(w.weight - i.weight) > 0.01, true) AS stale FROM weights w FULL JOIN idf_weights i USING (token)""",
+        "transcript_lines": f"""
+WITH t AS (SELECT doc_id, list_filter(string_split(text, chr(10)), lambda x: {_strip('x')} <> '') AS l FROM documents WHERE kind = 'transcript' AND text IS NOT NULL),
+u AS (SELECT doc_id, l[greatest(len(l) - 199, 1):] AS l FROM t)
+SELECT doc_id, CAST(len(l) AS INT) AS n_lines, CAST(len(list_filter(l, lambda x: starts_with(x, '[USER] '))) AS INT) AS n_user, array_to_string(l, chr(10)) AS text FROM u""",
+        "session_summary": """
+WITH points AS (SELECT substring(session_id, 1, 8) AS sid, line_num, coalesce(content, '') AS content FROM memory_log WHERE type = 'SESSION_CHECKPOINT' AND session_id IS NOT NULL AND session_id <> 'unknown' AND line_num IS NOT NULL),
+asking AS (SELECT DISTINCT session_id FROM documents WHERE doc_id % 100 = 0)
+SELECT session_id, substring(coalesce((SELECT arg_max(content, line_num) FROM points WHERE sid <> substring(session_id, 1, 8)), ''), 1, 250) AS summary FROM asking""",
+        "session_topics": f"""
+WITH r AS (SELECT session_id, line_num, content, tags FROM memory_log WHERE session_id IS NOT NULL AND session_id NOT IN ('', 'unknown') AND line_num IS NOT NULL),
+t AS (SELECT session_id, tag, max((line_num, -posn)) AS seen FROM (SELECT session_id, line_num, unnest(tags) AS tag, generate_subscripts(tags, 1) AS posn FROM r) WHERE tag IS NOT NULL AND lower(tag) NOT IN ({_quoted(fixed.SUMMARY_SKIPPED_TAGS)}) GROUP BY ALL),
+k AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY seen DESC, tag) AS n FROM t),
+top AS (SELECT session_id, string_agg(tag, ', ' ORDER BY n) AS tags FROM k WHERE n <= 8 GROUP BY session_id),
+three AS (SELECT session_id, substring(coalesce(content, ''), 1, 40) AS part, row_number() OVER (PARTITION BY session_id ORDER BY line_num DESC) AS n FROM r),
+parts AS (SELECT session_id, string_agg(part, ' | ' ORDER BY n) AS parts FROM three WHERE n <= 3 GROUP BY session_id)
+SELECT session_id, substring(CASE WHEN tags IS NOT NULL THEN 'Last session topics: ' || tags ELSE 'Last session: ' || parts END, 1, 250) AS summary FROM parts LEFT JOIN top USING (session_id)""",
+        "session_checkpoints": f"""
+WITH r AS (SELECT session_id, line_num, content, tags FROM memory_log WHERE session_id IS NOT NULL AND session_id <> '' AND line_num IS NOT NULL),
+three AS (SELECT session_id, substring(coalesce(content, ''), 1, 100) AS part, row_number() OVER (PARTITION BY session_id ORDER BY line_num) AS n FROM r),
+parts AS (SELECT session_id, string_agg(part, ' | ' ORDER BY n) AS parts FROM three WHERE n <= 3 GROUP BY session_id),
+t AS (SELECT session_id, tag, min((line_num, posn)) AS seen FROM (SELECT session_id, line_num, unnest(tags) AS tag, generate_subscripts(tags, 1) AS posn FROM r) WHERE tag IS NOT NULL AND lower(tag) NOT IN ({_quoted(fixed.CHECKPOINT_SKIPPED_TAGS)}) GROUP BY ALL),
+k AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY seen, tag) AS n FROM t),
+five AS (SELECT session_id, string_agg(tag, ',' ORDER BY n) AS tags FROM k WHERE n <= 5 GROUP BY session_id)
+SELECT session_id, substring('Session ' || substring(session_id, 1, 8) || ': ' || parts, 1, 500) AS content, concat_ws(',', 'session_checkpoint', tags) AS tags FROM parts LEFT JOIN five USING (session_id)""",
+        "corrections_extracted": f"WITH {_corrections()} SELECT query_id, type, content FROM corr",
+        "correction_gate": f"SELECT line_num AS query_id, {_any('lower(content)', fixed.CORRECTION_SIGNALS)} AS signals, length(content) >= 50 AND {_any('lower(content)', fixed.WEAK_SIGNALS)} AS weak FROM memory_log WHERE content IS NOT NULL AND line_num IS NOT NULL",
+        "smart_tags": f"WITH {_corrections()}, {_smart('corr')} SELECT query_id, coalesce(tags, '') AS tags FROM corr LEFT JOIN smart USING (query_id)",
+        "correction_pipeline": f"""
+WITH {_CORPUS}, {_corrections()},
+able AS (
+  SELECT c.* FROM corr c JOIN memory_log m ON m.line_num = c.query_id
+  WHERE c.query_id % 100 = 0 AND length(m.content) >= 20 AND {_any('lower(m.content)', fixed.CORRECTION_SIGNALS)}),
+ask AS (SELECT query_id, content AS text FROM (SELECT * FROM able) WHERE {_STORING}),
+{_search('k', 'ask', 'log')},
+best AS (SELECT query_id, max(score) AS best FROM k_top JOIN log USING (entry_id) WHERE rank <= 3 AND kind IN ({_quoted(fixed.CORRECTION_TYPES)}) GROUP BY query_id),
+{_smart('able')},
+kept AS (SELECT query_id, coalesce(best, 0.0) AS best FROM ask LEFT JOIN best USING (query_id) WHERE coalesce(best, 0.0) <= {DEFAULT.same})
+SELECT query_id, CASE WHEN best > {DEFAULT.repeat} THEN 'REPEATED_CORRECTION' ELSE type END AS type, content,
+  concat_ws(',', tags, 'user_correction', 'auto_detected', CASE WHEN best > {DEFAULT.repeat} THEN 'repeated' END) AS tags
+FROM able JOIN kept USING (query_id) LEFT JOIN smart USING (query_id)""",
+        "validate_learnings": f"""
+WITH ok AS (SELECT line_num AS id, CAST(raw_json AS JSON) AS j FROM entry_cache WHERE json_valid(raw_json) AND starts_with(trim(raw_json), '{{')),
+p AS (SELECT id, {_strip("coalesce(j ->> 'content', '')")} AS content, {_strip("coalesce(j ->> 'type', '')")} AS type, coalesce(CAST(j -> 'tags' AS VARCHAR[]), []) AS tags FROM ok)
+SELECT id, CASE WHEN type IN ({_quoted(fixed.VALID_TYPES)}) THEN type ELSE 'WORKING_SOLUTION' END AS type, substring(content, 1, 500) AS content,
+  array_to_string(list_filter(list_transform(list_filter(tags, lambda t: t IS NOT NULL), lambda t: lower({_strip('t')})), lambda t: length(t) >= 2)[1:8], ',') AS tags
+FROM p WHERE length(content) >= 20""",
+        "decisions_extracted": _decisions(),
+        "incremental_tail": """
+WITH p AS (
+  SELECT d.doc_id, CASE WHEN o > 0 AND o < length(text) THEN substring(text, CAST(o AS INT) + 1) ELSE text END AS part
+  FROM (SELECT *, n_chars // 2 AS o FROM documents) d WHERE doc_id IS NOT NULL AND text IS NOT NULL)
+SELECT doc_id, part FROM p WHERE length(part) >= 100""",
+        "activities": f"WITH {_ACTS} SELECT event_id, session_id, category, description FROM acts",
+        "activity_summary": f"""
+WITH {_ACTS},
+late AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY place DESC) AS n FROM placed_acts)
+SELECT session_id, string_agg('[' || category || '] ' || substring(description, 1, 60), chr(10) ORDER BY place) AS summary FROM late WHERE n <= 10 GROUP BY session_id""",
+        "error_resolution": _resolved(DAY),
+        "error_resolution_any": _resolved(DEFAULT.fix_seconds),
+        "test_results": f"""
+WITH {_ACTS},
+edits AS (SELECT session_id, ts, event_id, 'mod_' || k || '.py' AS file, 'mod_' || k || '.py: limit = ' || k || ' -> limit = ' || (k + 1) AS text FROM acts WHERE category = 'CHANGED'),
+runs AS (SELECT event_id, session_id, ts, category FROM acts WHERE category <> 'CHANGED' AND contains(cmd, 'pytest')),
+met AS (
+  SELECT r.event_id, r.category, e.file, e.text, row_number() OVER (PARTITION BY r.event_id ORDER BY e.ts, e.event_id) AS n
+  FROM runs r JOIN edits e ON e.session_id = r.session_id AND e.ts <= r.ts AND r.ts - e.ts < INTERVAL {DAY} SECOND)
+SELECT event_id, CASE category WHEN 'INFRA' THEN 'pass' ELSE 'fail' END AS result, string_agg(DISTINCT file, ', ' ORDER BY file) AS files,
+  string_agg(text, '; ' ORDER BY n) FILTER (n <= 5) AS changes, CAST(count(*) AS INT) AS n_edits FROM met GROUP BY event_id, category""",
+        "signal_retry_success": f"WITH {_ACTS}, {_RETRY} SELECT session_id, event_id, place FROM (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY place) AS n FROM flags WHERE retry) WHERE n = 1",
+        "signal_config_breakthrough": f"""
+WITH {_ACTS}, {_RETRY},
+config AS (
+  SELECT DISTINCT a.session_id, a.event_id, a.place FROM placed_acts a
+  JOIN placed_acts b ON b.session_id = a.session_id AND b.place BETWEEN a.place - 7 AND a.place AND b.category = 'TRIED-FAILED' AND {_any('b.cmd', fixed.CONFIG_WORDS)}
+  JOIN placed_acts c ON c.session_id = a.session_id AND c.place > b.place AND c.place <= a.place AND c.category = 'INFRA' WHERE a.place >= 3),
+hits AS (SELECT c.* FROM config c JOIN flags f USING (session_id, event_id) WHERE NOT coalesce(f.retry, false))
+SELECT session_id, event_id, place FROM (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY place) AS n FROM hits) WHERE n = 1""",
+    }
