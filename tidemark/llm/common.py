@@ -1,4 +1,4 @@
-"""What the corpus operators share: staged tables, word sets and class keys.
+"""What the corpus operators share: folders, words, keys and the expansion of classes into pairs.
 
 Every operator selects the columns it needs by name first, so extra columns of any name
 are harmless.  A row without an id takes no part.
@@ -6,12 +6,15 @@ are harmless.  A row without an id takes no part.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.operators.staging import shared_dir, staged
+
+__all__ = ["expand", "letter_key", "new_folder", "only", "shared_dir", "staged", "table", "tag_set", "words"]
+
 #: Java regex for what separates words (letters, digits and ``_`` of any script are words).
 NOT_WORD = r"[^\p{L}\p{N}_]+"
 
@@ -20,16 +23,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: the session's spark.checkpoint.dir; where it is unset
-    (tests on one machine) a temporary one, set for the session."""
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
-        where = "file://" + tempfile.mkdtemp(prefix="tidemark-")
-        spark.conf.set("spark.checkpoint.dir", where)
-    return where.rstrip("/")
-
-
 def new_folder(spark: SparkSession, name: str) -> str:
     """A fresh folder below the shared one, deleted when the driver's JVM ends."""
     where = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
@@ -38,15 +31,6 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return where
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder and read it back: lineage ends there, and a lost
-    executor costs nothing that was already staged."""
-    spark = df.sparkSession
-    where = new_folder(spark, name)
-    df.write.parquet(where)
-    return spark.read.schema(df.schema).parquet(where)
-
-
 def words(content: Column) -> Column:
     """The words of a text in order, lower-cased; null gives no words."""
     split = F.split(F.lower(F.coalesce(content, F.lit(""))), NOT_WORD)

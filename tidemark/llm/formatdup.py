@@ -11,7 +11,6 @@ Rows of one final group have equal invariants, so no group is ever torn by level
 from __future__ import annotations
 
 import hashlib
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import staged
+from tidemark.llm.signatures import stripped
 
 MIN_KEY_LENGTH = 20
 
@@ -39,11 +39,6 @@ def _byte_classes() -> np.ndarray:
 _BYTE_CLASS = _byte_classes()
 #: One odd multiplier for each class: the weighted count is a hash of the histogram.
 _WEIGHTS = np.random.default_rng(20).integers(1, 2**62, _CLASSES, dtype=np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
-_STRIP = re.compile(r"[\W_]+")
-
-
-def stripped(text: str) -> str:
-    return _STRIP.sub("", text.lower())
 
 
 def _histogram_of(text: str) -> np.ndarray:

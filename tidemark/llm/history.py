@@ -23,8 +23,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from tidemark.llm.common import BROADCAST_KEYS, letter_key, new_folder, staged
+from tidemark.llm.common import new_folder, staged
 from tidemark.llm.neardup import DEN, MIN_WORDS, NUM, verified
 from tidemark.llm.signatures import CLASS, SIGNED, classes, may_overlap, signer, word_counts
 
@@ -32,6 +33,8 @@ MIN_KEY_LENGTH = 20
 BUCKETS = 16
 #: Into how many consecutive portions a whole log is fed.
 PORTIONS = 2
+#: Up to so many late rows of a portion are named in its filter; more are joined.
+FEW = 500
 
 
 def batches(log: DataFrame) -> DataFrame:
@@ -74,11 +77,9 @@ class History:
 
     def sign(self, rows: DataFrame) -> DataFrame:
         """Signatures and letter keys of rows (id, content); of these alone all later steps are made."""
-        rows = rows.select(F.col("id").cast("long"), F.coalesce(F.col("content").cast("string"), F.lit("")).alias("content"))
-        key = letter_key(F.col("content"))
-        keyed = rows.select("*", F.when(F.length(key) >= MIN_KEY_LENGTH, F.unhex(F.md5(key))).alias("key"))
-        run = signer(self._ranks(rows), self.num, self.den, self.min_words, keep_small=True)
-        return staged(keyed.mapInArrow(run, f"{SIGNED}, key binary"), "signed")
+        rows = rows.select(F.col("id").cast("long"), F.col("content").cast("string"))
+        run = signer(self._ranks(rows), self.num, self.den, self.min_words, min_key=MIN_KEY_LENGTH)
+        return staged(rows.mapInArrow(run, f"{SIGNED}, key binary"), "signed")
 
     def ingest(self, signed: DataFrame, batch_of: DataFrame, texts: DataFrame) -> DataFrame:
         """Decide signed rows of whole batches, all later than those before.
@@ -137,32 +138,32 @@ class History:
             old = old.unionByName(rows.join(known_keys, "key", "left_semi").select("id"))
         old = staged(old.distinct(), "old")
 
+        # (id, batch, group, own): the groups each row is in (own) or is linked to
         fresh = rows.join(old, "id", "left_anti")
-        own = staged(_groups(fresh), "own")
-        watch = own.unionByName(fresh.join(inside, "rep").select("id", "batch", _set_group("other").alias("group")))
-        watch = staged(watch, "watch")
-        accepted = own.limit(0).select("group", F.col("batch").alias("taken"))
-        cases = [old]
-        while watch.limit(1).count():
-            waiting = own.groupBy("group").agg(F.min("batch").alias("waits"))
-            settled = (
-                watch.join(waiting, "group", "left")
-                .join(accepted, "group", "left")
-                .groupBy("id", "batch")
-                .agg(F.min("taken").alias("taken"), F.min("waits").alias("waits"))
-                .selectExpr("id", "case when taken < batch then 1 when waits >= batch then 0 end as is_case")
-                .where("is_case is not null")
-            )
-            settled = staged(settled, "settled")
-            cases.append(settled.where("is_case = 1").select("id"))
-            more = own.join(settled.where("is_case = 0"), "id", "left_semi").select("group", F.col("batch").alias("taken"))
-            accepted = staged(accepted.unionByName(more).groupBy("group").agg(F.min("taken").alias("taken")), "accepted")
-            watch = staged(watch.join(settled, "id", "left_anti"), "watch")
-            own = staged(own.join(settled, "id", "left_anti"), "own")
+        watched = fresh.join(inside, "rep").select("id", "batch", _set_group("other").alias("group"), F.lit(False).alias("own"))
+        watch = _groups(fresh).withColumn("own", F.lit(True)).unionByName(watched)
+        taken, cases = None, [old]
+        while True:
+            # one table a round: every row of the open groups with its decision, null where it must wait
+            waiting = watch.where("own").groupBy("group").agg(F.min("batch").alias("waits"))
+            seen = watch.join(waiting, "group", "left")
+            if taken is None:
+                seen = seen.withColumn("taken", F.lit(None).cast("long"))
+            else:
+                seen = seen.join(taken.groupBy("group").agg(F.min("batch").alias("taken")), "group", "left")
+            each = Window.partitionBy("id")
+            state = seen.select("id", "batch", "group", "own", F.min("waits").over(each).alias("waits"), F.min("taken").over(each).alias("taken"))
+            decided = staged(state.selectExpr("id", "batch", "group", "own", "case when taken < batch then true when waits >= batch then false end as is_case"), "round")
+            cases.append(decided.where("is_case").select("id"))
+            fixed = decided.where("own and not is_case").select("group", "batch")
+            taken = fixed if taken is None else taken.unionByName(fixed)
+            watch = decided.where("is_case is null").drop("is_case")
+            if not watch.limit(1).count():
+                break
         out = cases[0]
         for c in cases[1:]:
             out = out.unionByName(c)
-        return staged(out, "cases")
+        return staged(out.distinct(), "cases")
 
 
 def _set_group(rep: str) -> Column:
@@ -191,10 +192,14 @@ def found(log: DataFrame, portions: int = PORTIONS) -> DataFrame:
         part = rest
         if cut is not None:
             # a batch is never later than its rows: beyond the cut only late rows of earlier batches belong here
-            late = staged(batch_of.where(F.col("id") > cut).where(F.col("batch") <= cut).select("id", F.lit(True).alias("late")), "late")
-            marked = rest.join(F.broadcast(late) if late.count() <= BROADCAST_KEYS else late, "id", "left")
-            part = marked.where((F.col("id") <= cut) | F.col("late")).drop("late")
-            rest = marked.where((F.col("id") > cut) & F.col("late").isNull()).drop("late")
+            late = staged(batch_of.where(F.col("id") > cut).where(F.col("batch") <= cut).select("id"), "late")
+            few = [r["id"] for r in late.limit(FEW + 1).collect()]
+            if len(few) <= FEW:
+                is_late = F.col("id").isin(few) if few else F.lit(False)
+                part, rest = rest.where((F.col("id") <= cut) | is_late), rest.where((F.col("id") > cut) & ~is_late)
+            else:
+                part = rest.where(F.col("id") <= cut).unionByName(rest.where(F.col("id") > cut).join(late, "id", "left_semi"))
+                rest = rest.where(F.col("id") > cut).join(late, "id", "left_anti")
         cases = history.ingest(part, batch_of, texts)
         out = cases if out is None else out.unionByName(cases)
     return out.distinct()

@@ -1,20 +1,21 @@
 """Signatures of word sets for overlap joins: rare-first prefixes, bitmaps and class keys.
 
 A set of n distinct words gets
-  * ``class_key``   64-bit hash of the sorted word hashes; with n and the bitmap it names the set,
+  * ``class_key``   64-bit sum of mixed word hashes; with n and the bitmap it names the set,
   * ``bitmap``      64 bits, one set bit per word; differing bits bound the overlap from above,
   * ``prefix``      its first n - ceil(t n) + 1 words in the global order rare to frequent; two sets
                     with a Jaccard similarity of t or more share a word of their prefixes.
 
 The global order is that of word counts over the whole collection, held in a table of a fixed number
 of hashed cells (``CELLS``), so what is broadcast has a fixed size at any scale.  Words that share a
-cell share its count; ties fall to the 64-bit hash.  Any fixed order keeps the join exact, the counts
+cell share its count; ties fall to the hash.  Any fixed order keeps the join exact, the counts
 only make it fast.  In prefixes a word stands as the upper 32 bits of its hash: words that share
 them only add candidates, which are verified on the words themselves.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Callable, Iterator
 
@@ -25,8 +26,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 CELLS = 1 << 18
+_ROWS = 1 << 14  # rows signed at once: with 18 bits for the cell and 32 for the hash they fill 64
 
 _WORD = re.compile(r"\w+")
+#: For ASCII texts: letters to lower case, all but letters, digits and _ to spaces.
+_PLAIN = bytes(ord(chr(c).lower()) if chr(c).isalnum() or c == 95 else 32 for c in range(128)) + bytes([32] * 128)
 
 
 def bags(texts: pa.Array, least: int) -> tuple[np.ndarray, np.ndarray]:
@@ -37,13 +41,33 @@ def bags(texts: pa.Array, least: int) -> tuple[np.ndarray, np.ndarray]:
     n = np.zeros(len(texts), np.int64)
     for i, text in enumerate(texts.to_pylist()):
         if text is not None:
-            found = set(find(text.lower()))
+            if text.isascii():
+                found = set(text.encode().translate(_PLAIN).split())
+            else:
+                found = {w.encode() for w in find(text.lower())}
             if len(found) >= least:
                 n[i] = len(found)
                 flat += map(digest, found)
     return np.array(flat, np.uint64), n
 
 
+_NOT_KEY = re.compile(r"[\W_]+")
+_NOT_KEY_BYTES = bytes(c for c in range(128) if not chr(c).isalnum())
+
+
+def stripped(text: str) -> str:
+    """The letter key of a text: its letters and digits only, lower-cased."""
+    if text.isascii():
+        return text.lower().encode().translate(None, _NOT_KEY_BYTES).decode()
+    return _NOT_KEY.sub("", text.lower())
+
+
+def letter_keys(texts: pa.Array, least: int) -> pa.Array:
+    """128-bit digests of the letter keys of `least` or more characters, else null."""
+    keys = (stripped(t) if t is not None else "" for t in texts.to_pylist())
+    return pa.array([hashlib.blake2b(k.encode(), digest_size=16).digest() if len(k) >= least else None for k in keys], pa.binary())
+
+
 def _cell(h: np.ndarray) -> np.ndarray:
     return (h >> np.uint64(46)).astype(np.int64)  # the upper 18 bits
 
@@ -65,43 +89,41 @@ def word_counts(texts: DataFrame, least: int) -> np.ndarray:
     return np.minimum(out, 2**31 - 1).astype(np.int32)
 
 
-def signer(counts, num: int, den: int, least: int, keep_small: bool = False) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """For mapInArrow over (id, content, ...): id, class_key, n, bitmap, prefix and the further columns,
-    for a threshold of num / den.  counts: a broadcast of word_counts().  Texts of fewer than `least`
-    words are left out, or have n = 0 and no prefix where keep_small is set."""
+def signer(counts, num: int, den: int, least: int, min_key: int | None = None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """For mapInArrow over (id, content): id, class_key, n, bitmap, prefix for a threshold of num / den.
+    counts: a broadcast of word_counts().  Texts of fewer than `least` words are left out.  With min_key the digest of
+    the letter key comes as well (null where it is shorter), and short texts stay, with n = 0 and no prefix."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rank = counts.value
-        for b in batches:
+        # the place of each cell in the order rare to frequent, in as many bits as there are cells
+        place = np.empty(CELLS, np.uint64)
+        place[np.lexsort((np.arange(CELLS), counts.value))] = np.arange(CELLS, dtype=np.uint64)
+        for b in (whole.slice(i, _ROWS) for whole in batches for i in range(0, whole.num_rows, _ROWS)):
             values, n = bags(b.column(1), least)
-            if not keep_small:
+            if min_key is None:
                 b = b.filter(pa.array(n > 0))
                 n = n[n > 0]
             if not len(n):
                 continue
             first = np.cumsum(n) - n
-            row = np.repeat(np.arange(len(n)), n)
-            h = values[np.lexsort((values, row))]
-            place = (np.arange(len(h)) - first[row]).astype(np.uint64)
+            row = np.repeat(np.arange(len(n), dtype=np.uint64), n)
             some = n > 0
             key, bitmap = np.zeros(len(n), np.uint64), np.zeros(len(n), np.uint64)
-            if len(h):
-                with np.errstate(over="ignore"):
-                    mixed = (h ^ (h >> np.uint64(29))) * (place * np.uint64(2) + np.uint64(0x9E3779B97F4A7C15))
-                    mixed ^= mixed >> np.uint64(32)
-                    key[some] = np.add.reduceat(mixed, first[some])
-                bitmap[some] = np.bitwise_or.reduceat(np.uint64(1) << ((h >> np.uint64(7)) & np.uint64(63)), first[some])
-            ordered = values[np.lexsort((values, rank[_cell(values)], row))]
+            if len(values):
+                with np.errstate(over="ignore"):  # a sum, so that the order of the words does not matter
+                    mixed = (values ^ (values >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15)
+                    mixed = (mixed ^ (mixed >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+                    key[some] = np.add.reduceat(mixed ^ (mixed >> np.uint64(32)), first[some])
+                bitmap[some] = np.bitwise_or.reduceat(np.uint64(1) << ((values >> np.uint64(7)) & np.uint64(63)), first[some])
+            # row, place of the cell and upper half of the hash in one number
+            ordered = np.sort(row << np.uint64(50) | place[_cell(values)] << np.uint64(32) | values >> np.uint64(32))
             length = np.where(some, n - (num * n + den - 1) // den + 1, 0)
-            chosen = ordered[(np.arange(len(ordered)) - first[row]) < length[row]]
-            prefix = pa.ListArray.from_arrays(
-                pa.array(np.concatenate([[0], np.cumsum(length)]).astype(np.int32)),
-                pa.array((chosen >> np.uint64(32)).astype(np.uint32).view(np.int32)),
-            )
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(key.view(np.int64)), pa.array(n.astype(np.int32)), pa.array(bitmap.view(np.int64)), prefix, *b.columns[2:]],
-                names=["id", "class_key", "n", "bitmap", "prefix", *b.schema.names[2:]],
-            )
+            chosen = ordered[np.arange(len(ordered)) - np.repeat(first, n) < np.repeat(length, n)]
+            prefix = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(length)]).astype(np.int32)), pa.array(chosen.astype(np.uint32).view(np.int32)))
+            out = {"id": b.column(0), "class_key": pa.array(key.view(np.int64)), "n": pa.array(n.astype(np.int32)), "bitmap": pa.array(bitmap.view(np.int64)), "prefix": prefix}
+            if min_key is not None:
+                out["key"] = letter_keys(b.column(1), min_key)
+            yield pa.RecordBatch.from_arrays(list(out.values()), names=list(out))
 
     return run
 
