@@ -39,6 +39,8 @@ WHOLE = 4
 #: A context counts if it was seen so often besides the content in question.
 SEEN, SEEN_WHOLE = 6, 2
 DEPTH = 6
+#: A word counts as cut if words that go on from it are so many times as frequent.
+FAR_RARER = 20
 CELLS = 1 << 20
 #: Log odds of a cut before any evidence, and what single signs add.
 PRIOR, CUT_WORD, OPEN_QUOTE, BROKEN = 0.3, 6.0, 2.0, 10.0
@@ -230,23 +232,23 @@ def _counts(common, wanted):
 
 
 def _trie(vocabulary: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Nodes (node): every proper prefix of up to DEPTH letters; leaves (node, word): longer words by their node."""
-    nodes = vocabulary.select(F.explode(F.expr(f"transform(sequence(1, least(length(word) - 1, {DEPTH})), k -> substring(word, 1, k))")).alias("node"))
-    leaves = vocabulary.where(F.length("word") > DEPTH + 1).select(F.substring("word", 1, DEPTH).alias("node"), "word")
-    return nodes.distinct(), leaves
+    """Nodes (node, n): every proper prefix of up to DEPTH letters and how often words go on from it; leaves (node, longer, n):
+    longer words under their node."""
+    nodes = vocabulary.select(F.explode(F.expr(f"transform(sequence(1, least(length(word) - 1, {DEPTH})), k -> substring(word, 1, k))")).alias("node"), "n")
+    leaves = vocabulary.where(F.length("word") > DEPTH + 1).select(F.substring("word", 1, DEPTH).alias("node"), F.col("word").alias("longer"), "n")
+    return nodes.groupBy("node").agg(F.sum("n").alias("n")), leaves
 
 
-def _cut_words(tails: DataFrame, vocabulary: DataFrame) -> DataFrame:
-    """(word) of the final words that are unknown and go on in known words."""
-    words = vocabulary.where(F.length("word") > 1)
-    ends = tails.where("word <> ''").select("word").distinct()
-    unknown = staged(ends.join(vocabulary.select("word"), "word", "left_anti"), "unknown")
-    nodes, leaves = _trie(words)
-    short = unknown.where(F.length("word") <= DEPTH).join(nodes, F.col("word") == F.col("node"), "left_semi")
-    long = unknown.where(F.length("word") > DEPTH).withColumn("node", F.substring("word", 1, DEPTH))
-    leaves = leaves.withColumnRenamed("word", "longer")
-    long = long.join(leaves, (long["node"] == leaves["node"]) & F.expr("startswith(longer, word) and longer <> word"), "left_semi").select("word")
-    return short.unionByName(long)
+def _cut_words(tails: DataFrame, vocabulary: DataFrame, least: float) -> DataFrame:
+    """(word) of the final words that are unknown, or rare beside the words that go on from them (FAR_RARER).  A word that
+    is the open end of many contents is known."""
+    nodes, leaves = _trie(vocabulary.where("n > 0 and length(word) > 1").select("word", "n"))
+    ends = tails.where("word <> ''").select("word").distinct().join(vocabulary, "word", "left").where(f"coalesce(n_last, 0) < {least}")
+    ends = staged(ends.select("word", F.coalesce("n", F.lit(0)).alias("own")), "ends")
+    short = ends.where(F.length("word") <= DEPTH).join(nodes, F.col("word") == F.col("node"))
+    long = ends.where(F.length("word") > DEPTH).withColumn("node", F.substring("word", 1, DEPTH))
+    long = long.join(leaves, "node").where("startswith(longer, word) and longer <> word").groupBy("word", "own").agg(F.sum("n").alias("n"))
+    return short.select("word", "own", "n").unionByName(long).where(f"n >= {FAR_RARER} * own").select("word")
 
 
 def _limits(tails: DataFrame) -> DataFrame:
@@ -284,7 +286,7 @@ def scored(log: DataFrame) -> DataFrame:
         .groupBy("line_num")
         .agg(F.min(F.expr("ln((goes_on + 0.5) / (ends + open_ends - 0.5))")).alias("weight"))
     )
-    cut_words = _cut_words(tails, vocabulary.where(f"n > 0 or n_last >= {least}").select("word")).withColumn("cut_word", F.lit(True))
+    cut_words = _cut_words(tails, vocabulary, least).withColumn("cut_word", F.lit(True))
     out = (
         tails.join(contexts, "line_num", "left")
         .join(cut_words, "word", "left")

@@ -90,7 +90,7 @@ class History:
         """
         num, den = self.num, self.den
         known, known_keys, rejected = self._table("postings"), self._table("keys"), self._table("rejected")
-        sets = classes(signed.where("n > 0"))
+        sets = staged(classes(signed.where("n > 0")), "sets")
         posted = sets.select("rep", "n", "bitmap", F.posexplode("prefix").alias("pos", "word")).withColumn("old", F.lit(False))
         every = posted
         if known is not None:
