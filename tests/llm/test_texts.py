@@ -149,6 +149,7 @@ PEOPLE = [(g, f) for g, f in zip("Ketzia Liskara Ada Bo Cy Di Eve Finn Gil".spli
         ("SSN# 925-81-5247 and passport no. X 4241032, tax id 83/287/67789, (997-69-9572)", [("identity", "925-81-5247"), ("identity", "X 4241032"), ("identity", "83/287/67789"), ("identity", "997-69-9572")]),
         ("At 12B Elm Street, 16 rue de Quillridge, Calle Luna 33 and Hauptstr. 5.", [("address", "12B Elm Street"), ("address", "16 rue de Quillridge"), ("address", "Calle Luna 33"), ("address", "Hauptstr. 5")]),
         ("Dr. Zed Ferrivar, Dunnamere, Ketzia, K. Hexenquist and ADA FERRIMERE; Redwood Cache", [("name", "Zed Ferrivar"), ("name", "Dunnamere, Ketzia"), ("name", "K. Hexenquist"), ("name", "ADA FERRIMERE")]),
+        ("as ketzia dunnaquist noted, raised by k. hexenmere, dunnamere, ada; by Dunnamere", [("name", "ketzia dunnaquist"), ("name", "k. hexenmere"), ("name", "dunnamere, ada")]),
         ("", []),
     ],
 )

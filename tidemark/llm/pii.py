@@ -36,6 +36,7 @@ _STREETS = "Street|St\\.|St|Avenue|Ave\\.|Ave|Road|Rd\\.|Rd|Lane|Ln\\.|Ln|Drive|
 _STREETS_BEFORE = "Calle|Plaza|Avenida|Paseo|Via|Piazza|Camino|Carrer"
 _STREETS_JOINED = ("straße", "strasse", "str.", "weg", "allee", "gasse", "platz", "damm", "ufer", "ring")
 _NOT_GIVEN = frozenset("The A An Ask Ping By From To For And Or But If In On At Is Was Mr Mrs Ms Dr Prof Regards Thanks Hi Hello Dear Team Owner Name".split())
+_SMALL_WORDS = frozenset("that from with says said thanks name this reviewed raised paired reported signed noted ask ping dear".split())
 _LABELS = r"(?:ssn|soc(?:ial)?\.? sec(?:urity|\.)?(?: (?:number|no\.?))?|passport(?: (?:number|no\.?))?|(?:national|personal|identity|id)(?: card)?(?: (?:id|number|no\.?))?|tax(?:payer)?[ -]?(?:id|number|no\.?)|tin|nif|dni|nin)"
 # ---------------------------------------------------------------------------------------------------
 
@@ -214,6 +215,8 @@ class Names:
         self.stems = {s for s, n in stems.items() if n >= least}
         self.ends = {e for e, s in ends.items() if len(s & self.stems) >= least}
         self.known: dict[str, bool] = {}
+        heads = sorted(self.stems | {f for f in self.family if not any(f.startswith(x) for x in self.stems)})
+        self.lower = re.compile("(?:" + "|".join(map(re.escape, heads)) + r")[\w'’]*") if heads else None
 
     def is_family(self, word: str) -> bool:
         w = word.lower()
@@ -228,6 +231,8 @@ class Names:
         return word.lower() in self.given
 
 
+_BEFORE = re.compile(r"(?<![\w.@\-/])([a-z]{2,}|[a-z]\.) $")
+_AFTER = re.compile(r", ([a-z]+)(?![\w@])")
 _PART = r"[A-ZÀ-Þ][a-zà-ÿ'’]+|[A-ZÀ-Þ]{2,}"
 _PAIR = re.compile(rf"(?<![\w.@\-/])({_PART}|[A-ZÀ-Þ]\.)(,? )(?=({_PART})(?![\w@]|\.\w))")
 _TITLE = re.compile(r"(?:\b(?:Mr|Mrs|Ms|Dr|Prof|Herr|Frau|Mme|Sr|Sra)\.? |\b[Mm]y name is |\bName: |\bReported-by: |\bsigned off: |\bassignee = )$")
@@ -249,6 +254,14 @@ def _names(t: str, names: Names) -> Iterator[tuple[int, int]]:
             ok = not a.endswith(".") and names.is_family(a) and (names.is_given(b) or b not in _NOT_GIVEN and b.istitle() and not names.is_family(b))
         if ok:
             yield m.start(), m.end(3)
+    for m in names.lower.finditer(t) if names.lower else ():  # the same in small letters
+        if not names.is_family(m[0]) or t[m.end() : m.end() + 1] == "@":
+            continue
+        before, after = _BEFORE.search(t, max(0, m.start() - 24), m.start()), _AFTER.match(t, m.end())
+        if before and (names.is_given(before[1]) or before[1].endswith(".") or before[1] not in _SMALL_WORDS and len(before[1]) > 3):
+            yield before.start(1), m.end()
+        elif after and names.is_given(after[1]) and not t[m.start() - 1 : m.start()].strip():
+            yield m.start(), after.end(1)
 
 
 def detect(source: str, names: Names) -> list[tuple[int, int, str]]:
