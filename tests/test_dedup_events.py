@@ -15,11 +15,11 @@ LOG = "line_num long, content string"
 def test_decisions(spark):
     base = "one two three four five six seven eight nine ten"
     rows = [
-        (1, base), (2, base.upper()), (3, base + " eleven"), (4, "one two three four five a b c d e f g h longer than before"), (5, ""), (6, None), (7, "quite different text"), (8, base),
+        (1, base), (2, base.upper()), (3, base + " eleven"), (4, "one two three four five six a b c d e longer indeed than"), (5, ""), (6, None), (7, "quite different text"), (8, base),
     ]
     got = {r["line_num"]: (r["decision"], r["target"]) for r in dedup.tail_decisions(spark.createDataFrame(rows, LOG)).collect()}
     assert got[1] == ("APPEND", None) and got[2] == ("SKIP", None) and got[3] == ("SKIP", None)
-    assert got[4][0] == "SUPERSEDE" and got[4][1] == 2 and got[5] == got[6] == got[7] == ("APPEND", None) and got[8] == ("SKIP", None)
+    assert got[4] == ("SUPERSEDE", 3) and got[5] == got[6] == got[7] == ("APPEND", None) and got[8] == ("SKIP", None)
     assert dedup.tail_decisions(spark.createDataFrame([], LOG)).count() == 0
 
 
@@ -171,3 +171,15 @@ def test_streamed_resolutions_and_gate(spark, tmp_path):
     q = stateful.gate(stream).writeStream.format("memory").queryName("blocked").option("checkpointLocation", str(tmp_path / "c2")).trigger(availableNow=True).start()
     q.awaitTermination()
     assert [r["event_id"] for r in spark.table("blocked").collect()] == [2]
+
+
+def test_cache_sync(spark, tmp_path):
+    from tidemark.operators import cache
+
+    schema = "line_num long, type string, content string, tags array<string>"
+    rows = [(1, "A", "Deploying gateways", ["Ops team", None]), (2, None, None, None), (3, "B", "x", [])]
+    path = str(tmp_path / "cache")
+    assert cache.sync(spark.createDataFrame(rows[:2], schema), path).count() == 2
+    got = {r["line_num"]: r for r in cache.sync(spark.createDataFrame(rows, schema), path).collect()}
+    assert sorted(got) == [1, 2, 3] and got[1]["stems"] == "deplo gateway ops team" and got[1]["tag_tokens"] == "ops team"
+    assert cache.sync(spark.createDataFrame(rows[:1], schema), path).count() == 1

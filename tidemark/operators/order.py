@@ -15,17 +15,15 @@ def positions(rows: DataFrame, by: str, name: str = "pos") -> DataFrame:
     Rows are range-partitioned, numbered inside their partition and shifted by the rows of the partitions before;
     the driver sees one number for each partition.
     """
-    part = staged(rows.repartitionByRange(by).sortWithinPartitions(by).withColumn("part", F.spark_partition_id()), "ordered")
-    counts = part.groupBy("part").agg(F.count("*").alias("n")).orderBy("part").collect()
-    shift, before = [], 0
+    part = staged(rows.repartitionByRange(by).sortWithinPartitions(by).withColumn("_part", F.spark_partition_id()), "ordered")
+    counts = part.groupBy("_part").agg(F.count("*").alias("n")).orderBy("_part").collect()
+    starts, before = [], 0
     for r in counts:
-        shift.append((r["part"], before))
+        starts.append((r["_part"], before))
         before += r["n"]
-    inside = part.withColumn("in_part", F.row_number().over(Window.partitionBy("part").orderBy(by)))
-    if not shift:
-        return inside.select(*rows.columns, F.col("in_part").cast("long").alias(name))
-    starts = F.create_map(*[F.lit(x) for pair in shift for x in pair])
-    return inside.select(*rows.columns, (starts[F.col("part")] + F.col("in_part") - 1).cast("long").alias(name))
+    shift = rows.sparkSession.createDataFrame(starts, "_part int, _before long")  # a row for each partition
+    inside = part.withColumn("_place", F.row_number().over(Window.partitionBy("_part").orderBy(by)))
+    return inside.join(F.broadcast(shift), "_part").select(*rows.columns, (F.col("_before") + F.col("_place") - 1).alias(name))
 
 
 def with_previous(left: DataFrame, right: DataFrame, width: int) -> DataFrame:

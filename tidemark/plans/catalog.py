@@ -6,13 +6,14 @@ Every query runs over whole tables.  Searches take as queries the rows whose id
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.config import DEFAULT
 from tidemark.functions import text as T
-from tidemark.operators import capture, corpus, dedup, events, inject, score, search
+from tidemark.operators import cache, capture, corpus, dedup, events, inject, score, search
 from tidemark.plans import context
 from tidemark.plans.oracle import oracle_sql as _oracle
 from tidemark.sources import readers
@@ -170,8 +171,6 @@ def gate_first_block(s, d):
     """Errors set a marker for their user; the first event within the time to live is blocked."""
     e = table(s, d, "events").where("ts is not null and user_id is not null").select("event_id", F.col("user_id").cast("string").alias("session_id"), F.col("ts").cast("timestamp").alias("ts"), "event_type")
     markers = e.where("event_type = 'error'").select("session_id", F.col("ts").alias("created_at"), F.lit(1).cast("long").alias("count"))
-    from dataclasses import replace
-
     return inject.gate(markers, e.where("event_type <> 'error'"), replace(DEFAULT, gate_seconds=DAY)).select("session_id", "event_id")
 
 
@@ -228,6 +227,10 @@ def jsonl_entries(s, d):
     return e.select("line_num", "type", "content", F.array_join(F.coalesce("tags", F.array().cast("array<string>")), "|", "").alias("tags"), "session_id")
 
 
+def entry_cache_build(s, d):
+    return cache.prepared(_log(s, d))
+
+
 def cache_staleness(s, d):
     log = _log(s, d).select("line_num", T.content_hash(F.col("content")).alias("now_hash"))
     cache = table(s, d, "entry_cache").select("line_num", "content_hash")
@@ -342,7 +345,7 @@ _NAMES = """idf_stats token_postings vocab_stems soundex_codes quality_gate cont
 search_prefilter_candidates search_exact_topk search_log_topk search_core_topk two_pass_rescore expanded_recall exact_match_counts
 fused_merge_topk tiered_results cluster_merge budgeted_context core_context assembled_context ack_markers gate_first_block
 prompt_filter intent_extraction dedup_exact_hash dedup_decision dedup_summary superseded_log near_dup_pairs dup_by_search
-repetition_check store_stats tail_scan jsonl_entries cache_staleness idf_staleness transcript_lines session_summary session_topics
+repetition_check store_stats tail_scan jsonl_entries entry_cache_build cache_staleness idf_staleness transcript_lines session_summary session_topics
 session_checkpoints corrections_extracted correction_gate correction_pipeline smart_tags decisions_extracted plan_reasoning
 incremental_tail validate_learnings activities activity_summary error_resolution error_resolution_any test_results
 signal_retry_success signal_config_breakthrough""".split()

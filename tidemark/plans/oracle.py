@@ -215,6 +215,14 @@ def _soundex() -> str:
     return f"CASE WHEN NOT regexp_matches({first}, '^\\p{{L}}') THEN '' ELSE rpad({first} || substring(CASE WHEN contains('{fixed.SOUNDEX_LETTERS}', {first}) THEN substring({digits}, 2) ELSE {digits} END, 1, 3), 4, '0') END"
 
 
+def _joined(words: str) -> str:
+    return f"array_to_string(list_sort(list_distinct({words})), ' ')"
+
+
+def _codes(words: str) -> str:
+    return f"list_filter(list_transform({words}, lambda token: {_soundex()}), lambda c: c <> '')"
+
+
 def _corrections() -> str:
     options = []
     for pattern, group, kind in fixed.CORRECTION_PATTERNS:
@@ -340,6 +348,11 @@ SELECT query_id, coalesce(best, 0.0) AS best FROM ask LEFT JOIN best USING (quer
         "jsonl_entries": """
 WITH ok AS (SELECT line_num, CAST(raw_json AS JSON) AS j FROM entry_cache WHERE json_valid(raw_json) AND starts_with(trim(raw_json), '{'))
 SELECT line_num, j ->> 'type' AS type, j ->> 'content' AS content, array_to_string(list_transform(coalesce(CAST(j -> 'tags' AS VARCHAR[]), []), lambda t: coalesce(t, '')), '|') AS tags, coalesce(j ->> 'session_id', 'unknown') AS session_id FROM ok""",
+        "entry_cache_build": f"""
+WITH {_CORPUS},
+t AS (SELECT entry_id AS line_num, tokens, {_toks('tags_text')} AS tags, lower(coalesce(kind, '')) AS entry_type, {_HASH} AS content_hash FROM log0)
+SELECT line_num, {_joined('tokens')} AS tokens, {_joined(f"list_transform(tokens, lambda token: {stem_sql('token')})")} AS stems,
+  {_joined(_codes('tokens'))} AS soundex_codes, {_joined('tags')} AS tag_tokens, {_joined(_codes('tags'))} AS tag_soundex, entry_type, content_hash FROM t""",
         "cache_staleness": f"""
 SELECT CASE WHEN content_hash IS NULL AND c.line_num IS NULL THEN 'missing' WHEN content_hash IS NULL THEN 'unhashed' WHEN content_hash = {_HASH} THEN 'fresh' ELSE 'stale' END AS state, count(*) AS n
 FROM memory_log m LEFT JOIN entry_cache c ON c.line_num = m.line_num GROUP BY 1""",

@@ -53,18 +53,19 @@ def plan_files(spark: SparkSession, folder: str, modified_after: str | None = No
     reader = spark.read.format("binaryFile").option("pathGlobFilter", "*.md")
     if modified_after:
         reader = reader.option("modifiedAfter", modified_after)
-    rows = reader.load(folder).select("path", F.decode("content", F.lit("UTF-8")).alias("text")).where("length(text) >= 100")
+    rows = reader.load(folder).select("path", F.decode("content", "UTF-8").alias("text")).where("length(text) >= 100")
     return rows.select("path", F.regexp_extract("path", r"([^/]+)\.md$", 1).alias("stem"), "text")
 
 
 def tail(rows: DataFrame, by: str, max_bytes: int) -> DataFrame:
     """The last rows of a log whose lines end less than max_bytes bytes before its end, all if the whole log is shorter.
 
-    Bytes are summed in blocks, so the order needs no single task: a block is read line by line only where the limit
-    falls into it.
+    Bytes are summed in blocks of 4,096 lines.  A line has a byte or more, so only the last blocks can be within the
+    limit, and the order over blocks stays short at any size.
     """
     sized = positions(rows.withColumn("bytes", F.octet_length("line") + 1), by).withColumn("block", F.expr("pos div 4096"))
     blocks = sized.groupBy("block").agg(F.sum("bytes").alias("n"))
+    blocks = blocks.where(F.col("block") > sized.agg(F.max("block")).scalar() - (max_bytes // 4096 + 2))
     back = Window.orderBy(F.desc("block")).rowsBetween(Window.unboundedPreceding, -1)
     after = blocks.withColumn("after", F.coalesce(F.sum("n").over(back), F.lit(0))).where(F.col("after") < max_bytes).select("block", "after")
     inside = Window.partitionBy("block").orderBy(F.desc("pos")).rowsBetween(Window.unboundedPreceding, 0)
