@@ -10,6 +10,7 @@ from tidemark.config import DEFAULT
 from tidemark.functions import fixed
 from tidemark.functions.text import ISO, SPACE, stem_sql
 from tidemark.operators.capture import portable
+from tidemark.plans.context import CORE_TITLE, DIRECTIVE, WARM_TITLE
 
 DAY = 86_400
 
@@ -174,16 +175,49 @@ fused0 AS (SELECT query_id, entry_id, score, CAST(row_number() OVER (PARTITION B
 {_counted('fused', '(SELECT * FROM fused0 WHERE rank <= 5)', 'admitted', 'log')},
 tiers AS (SELECT * FROM (SELECT *, {_TIER} AS tier FROM fused) WHERE tier IS NOT NULL),
 ctiers AS (SELECT * FROM (SELECT *, {_TIER} AS tier FROM cres) JOIN core USING (entry_id) WHERE tier IS NOT NULL)"""
+_NOTHING_USED = "used AS (SELECT CAST(NULL AS BIGINT) AS query_id, CAST(NULL AS BIGINT) AS used WHERE false)"
 _CORE_BLOCK = f"""
 chot AS (
   SELECT query_id, 'HOT' AS tier, rank AS place, '**[' || coalesce(section, '') || ']** ' || CASE WHEN length(content) > 300 THEN substring(content, 1, 297) || '...' ELSE content END AS entry
   FROM ctiers WHERE tier = 'HOT'),
-chot2 AS (SELECT *, sum(length(entry)) OVER (PARTITION BY query_id ORDER BY place) AS upto FROM chot QUALIFY upto <= {DEFAULT.budget}),
+chot2 AS (SELECT c.*, coalesce(used, 0) + sum(length(entry)) OVER (PARTITION BY query_id ORDER BY place) AS upto FROM chot c LEFT JOIN used USING (query_id) WHERE {DEFAULT.budget} - coalesce(used, 0) > 200 QUALIFY upto <= {DEFAULT.budget}),
 cwarm AS (
   SELECT query_id, 'WARM' AS tier, rank AS place, '- [' || coalesce(section, '') || '] ' || {_preview('content')} AS entry FROM ctiers WHERE tier = 'WARM'),
 cwarm2 AS (
-  SELECT w.*, coalesce(h.spent, 0) + sum(length(entry)) OVER (PARTITION BY query_id ORDER BY place) AS upto
-  FROM cwarm w LEFT JOIN (SELECT query_id, max(upto) AS spent FROM chot2 GROUP BY query_id) h USING (query_id) QUALIFY upto <= {DEFAULT.budget})"""
+  SELECT w.*, coalesce(h.spent, used, 0) + sum(length(entry)) OVER (PARTITION BY query_id ORDER BY place) AS upto
+  FROM cwarm w LEFT JOIN (SELECT query_id, max(upto) AS spent FROM chot2 GROUP BY query_id) h USING (query_id) LEFT JOIN used USING (query_id) WHERE {DEFAULT.budget} - coalesce(used, 0) > 200 QUALIFY upto <= {DEFAULT.budget})"""
+
+_NEAR = f"len(c.words) > 0 AND len(words) > 0 AND len(list_intersect(c.words, words)) >= {DEFAULT.cluster} * len(list_distinct(list_concat(c.words, words)))"
+_CLUSTERS = f"""
+hot AS (SELECT query_id, rank, entry_id, kind, content, {_toks('content')} AS words, coalesce(kind IN ({_quoted(fixed.PROTECTED_TYPES)}), false) AS kept FROM tiers JOIN log USING (entry_id) WHERE tier = 'HOT'),
+mergeable AS (SELECT query_id, rank, words, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS i FROM hot WHERE NOT kept),
+folded(query_id, i, clusters) AS (
+  SELECT DISTINCT query_id, CAST(0 AS BIGINT), CAST([] AS STRUCT(head INT, words VARCHAR[], n INT)[]) FROM mergeable
+  UNION ALL
+  SELECT query_id, i, CASE WHEN hit IS NULL THEN list_append(clusters, {{'head': rank, 'words': words, 'n': 1}})
+    ELSE list_transform(clusters, lambda c, k: CASE WHEN k = hit THEN {{'head': c.head, 'words': list_distinct(list_concat(c.words, words)), 'n': c.n + 1}} ELSE c END) END
+  FROM (
+    SELECT f.query_id, m.i, f.clusters, m.rank, m.words, list_filter(list_transform(f.clusters, lambda c, k: CASE WHEN {_NEAR} THEN k END), lambda x: x IS NOT NULL)[1] AS hit
+    FROM folded f JOIN mergeable m ON m.query_id = f.query_id AND m.i = f.i + 1)),
+heads AS (SELECT query_id, c.head AS rank, c.n AS n FROM (SELECT query_id, unnest(arg_max(clusters, i)) AS c FROM folded GROUP BY query_id)),
+merged AS (
+  SELECT query_id, rank, 0 AS late, 0 AS related FROM hot WHERE kept UNION ALL SELECT query_id, rank, 1, n - 1 FROM heads),
+clusters AS (
+  SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY late, rank) AS INT) AS place, entry_id, kind, CASE WHEN related > 0 THEN content || ' (+' || related || ' related)' ELSE content END AS content, CAST(related AS INT) AS related
+  FROM merged JOIN hot USING (query_id, rank))"""
+_BLOCK = f"""
+budgets AS (
+  SELECT query_id, {DEFAULT.budget} - coalesce(spent, used, 0) AS budget FROM admitted LEFT JOIN used USING (query_id)
+  LEFT JOIN (SELECT query_id, max(upto) AS spent FROM (SELECT * FROM chot2 UNION ALL SELECT * FROM cwarm2) GROUP BY query_id) USING (query_id) WHERE {DEFAULT.budget} - coalesce(spent, used, 0) > 200),
+bhot AS (
+  SELECT *, 60 + sum(length(entry)) OVER (PARTITION BY query_id ORDER BY place) AS upto
+  FROM (SELECT query_id, place, budget, '### [' || coalesce(kind, '') || ']' || chr(10) || content || chr(10) AS entry FROM clusters JOIN budgets USING (query_id)) QUALIFY upto <= budget),
+bspent AS (SELECT query_id, coalesce(max(upto), 60) AS spent FROM (SELECT DISTINCT query_id FROM clusters) LEFT JOIN bhot USING (query_id) GROUP BY query_id),
+bwarm AS (
+  SELECT query_id, place, entry, used + 40 + sum(length(entry)) OVER (PARTITION BY query_id ORDER BY place) AS upto
+  FROM (
+    SELECT t.query_id, t.rank AS place, budget, coalesce(spent, 0) AS used, '- [' || coalesce(kind, '') || '] ' || {_preview('content')} AS entry
+    FROM tiers t JOIN log USING (entry_id) JOIN budgets USING (query_id) LEFT JOIN bspent USING (query_id) WHERE tier = 'WARM' AND coalesce(spent, 0) < budget) QUALIFY upto <= budget)"""
 
 _DECISION = f"""
 placed AS (
@@ -206,6 +240,13 @@ decided AS (
 decisions AS (SELECT line_num, decision, CASE WHEN decision = 'SUPERSEDE' THEN target END AS target FROM decided)"""
 
 
+_SUMMARIES = """
+points AS (SELECT substring(session_id, 1, 8) AS sid, line_num, coalesce(content, '') AS content FROM memory_log WHERE type = 'SESSION_CHECKPOINT' AND session_id IS NOT NULL AND session_id <> 'unknown' AND line_num IS NOT NULL),
+asking AS (SELECT DISTINCT session_id FROM documents WHERE doc_id % 100 = 0),
+summaries AS (
+  SELECT session_id, substring(coalesce((SELECT arg_max(content, line_num) FROM points WHERE sid <> substring(session_id, 1, 8)), ''), 1, 250) AS summary FROM asking)"""
+
+
 def _soundex() -> str:
     digits = f"translate(regexp_replace(upper(replace(token, 'ß', 'ss')), '[0-9]', '', 'g'), '{fixed.SOUNDEX_LETTERS}', '{fixed.SOUNDEX_DIGITS}')"
     digits = f"regexp_replace({digits}, '[^1-6]', '', 'g')"
@@ -314,7 +355,12 @@ def oracle_sql() -> dict[str, str]:
         "exact_match_counts": f"{_BASE}, {_search('k', 'admitted', 'log')}, {_counted('r', '(SELECT * FROM k_top WHERE rank <= 5)', 'admitted', 'log')} SELECT query_id, entry_id, exact_matches FROM r",
         "fused_merge_topk": f"{_PATH} SELECT {pick}, exact_matches FROM fused",
         "tiered_results": f"{_PATH} SELECT query_id, entry_id, tier, rank FROM tiers",
-        "core_context": f"{_PATH}, {_CORE_BLOCK} SELECT query_id, tier, place, entry, CAST(upto AS BIGINT) AS upto FROM chot2 UNION ALL SELECT query_id, tier, place, entry, CAST(upto AS BIGINT) FROM cwarm2",
+        "core_context": f"{_PATH}, {_NOTHING_USED}, {_CORE_BLOCK} SELECT query_id, tier, place, entry, CAST(upto AS BIGINT) AS upto FROM chot2 UNION ALL SELECT query_id, tier, place, entry, CAST(upto AS BIGINT) FROM cwarm2",
+        "cluster_merge": f"{_PATH.replace('WITH', 'WITH RECURSIVE', 1)}, {_CLUSTERS} SELECT query_id, place, entry_id, related, content FROM clusters",
+        "budgeted_context": f"{_PATH.replace('WITH', 'WITH RECURSIVE', 1)}, {_CLUSTERS}, {_NOTHING_USED}, {_CORE_BLOCK}, {_BLOCK} SELECT query_id, 'HOT' AS tier, place, entry, CAST(upto AS BIGINT) AS upto FROM bhot UNION ALL SELECT query_id, 'WARM', place, entry, CAST(upto AS BIGINT) FROM bwarm",
+        "ack_markers": f"""{_PATH.replace('WITH', 'WITH RECURSIVE', 1)}, {_CLUSTERS}
+SELECT query_id, a.session_id, count(*) AS count, string_agg('- [' || coalesce(kind, '') || '] ' || substring(string_split(content, chr(10))[1], 1, 100), chr(10) ORDER BY place) AS summary, a.text AS intent
+FROM clusters JOIN admitted a USING (query_id) GROUP BY query_id, a.session_id, a.text""",
         "gate_first_block": f"""
 WITH calls AS (SELECT event_id, CAST(user_id AS VARCHAR) AS session_id, ts, event_type FROM events WHERE ts IS NOT NULL AND user_id IS NOT NULL),
 last AS (
@@ -363,10 +409,23 @@ SELECT token, round(w.weight, 6) AS weight, round(i.weight, 6) AS old_weight, co
 WITH t AS (SELECT doc_id, list_filter(string_split(text, chr(10)), lambda x: {_strip('x')} <> '') AS l FROM documents WHERE kind = 'transcript' AND text IS NOT NULL),
 u AS (SELECT doc_id, l[greatest(len(l) - 199, 1):] AS l FROM t)
 SELECT doc_id, CAST(len(l) AS INT) AS n_lines, CAST(len(list_filter(l, lambda x: starts_with(x, '[USER] '))) AS INT) AS n_user, array_to_string(l, chr(10)) AS text FROM u""",
-        "session_summary": """
-WITH points AS (SELECT substring(session_id, 1, 8) AS sid, line_num, coalesce(content, '') AS content FROM memory_log WHERE type = 'SESSION_CHECKPOINT' AND session_id IS NOT NULL AND session_id <> 'unknown' AND line_num IS NOT NULL),
-asking AS (SELECT DISTINCT session_id FROM documents WHERE doc_id % 100 = 0)
-SELECT session_id, substring(coalesce((SELECT arg_max(content, line_num) FROM points WHERE sid <> substring(session_id, 1, 8)), ''), 1, 250) AS summary FROM asking""",
+        "session_summary": f"WITH {_SUMMARIES} SELECT * FROM summaries",
+        "assembled_context": f"""{_PATH.replace('WITH', 'WITH RECURSIVE', 1)}, {_SUMMARIES},
+used AS (SELECT query_id, length(summary) + 25 AS used FROM admitted JOIN summaries USING (session_id) WHERE summary <> ''),
+{_CLUSTERS}, {_CORE_BLOCK}, {_BLOCK},
+known AS (
+  SELECT query_id, concat_ws(chr(10), hot, warm) AS known FROM (SELECT query_id, string_agg(entry, chr(10) || chr(10) ORDER BY place) AS hot FROM chot2 GROUP BY query_id)
+  FULL JOIN (SELECT query_id, string_agg(entry, chr(10) ORDER BY place) AS warm FROM cwarm2 GROUP BY query_id) USING (query_id)),
+learned AS (
+  SELECT query_id, hot, warm FROM (SELECT query_id, string_agg(entry, chr(10) ORDER BY place) AS hot FROM bhot GROUP BY query_id)
+  FULL JOIN (SELECT query_id, string_agg(entry, chr(10) ORDER BY place) AS warm FROM bwarm GROUP BY query_id) USING (query_id))
+SELECT query_id, session_id, concat_ws(chr(10),
+  CASE WHEN coalesce(summary, '') <> '' THEN '## Last session' || chr(10) || summary || chr(10) END,
+  {_lit(CORE_TITLE)} || chr(10) || chr(10) || known || chr(10),
+  '## Past session learnings' || chr(10) || chr(10) || 'Relevant context from previous sessions:' || chr(10) || chr(10) || hot,
+  {_lit(WARM_TITLE)} || chr(10) || warm,
+  chr(10) || {_lit(DIRECTIVE)}) AS context
+FROM admitted LEFT JOIN summaries USING (session_id) LEFT JOIN known USING (query_id) LEFT JOIN learned USING (query_id)""",
         "session_topics": f"""
 WITH r AS (SELECT session_id, line_num, content, tags FROM memory_log WHERE session_id IS NOT NULL AND session_id NOT IN ('', 'unknown') AND line_num IS NOT NULL),
 t AS (SELECT session_id, tag, max((line_num, -posn)) AS seen FROM (SELECT session_id, line_num, unnest(tags) AS tag, generate_subscripts(tags, 1) AS posn FROM r) WHERE tag IS NOT NULL AND lower(tag) NOT IN ({_quoted(fixed.SUMMARY_SKIPPED_TAGS)}) GROUP BY ALL),
