@@ -61,10 +61,10 @@ def queries_of(texts: DataFrame) -> DataFrame:
 
 
 def pruned(query_tokens: DataFrame, weights: DataFrame, keep: int | None) -> DataFrame:
-    """(query_id, token, weight, rank_weight).  Of a query of more than `keep` tokens those of the highest weight stay; a
+    """(query_id, token, weight, rank_weight, stem).  Of a query of more than `keep` tokens those of the highest weight stay; a
     token the corpus lacks ranks with the highest weight there is, and weighs 1 in the score.  Ties go by name."""
     known = query_tokens.join(weights.select("token", "weight"), "token", "left").withColumn("most", weights.agg(F.max("weight")).scalar())
-    ranked = known.select("query_id", "token", F.coalesce("weight", F.lit(1.0)).alias("weight"), F.coalesce("weight", "most", F.lit(1.0)).alias("rank_weight"))
+    ranked = known.select("query_id", "token", F.coalesce("weight", F.lit(1.0)).alias("weight"), F.coalesce("weight", "most", F.lit(1.0)).alias("rank_weight"), T.stem("token").alias("stem"))
     if keep is None:
         return ranked
     # weights of equal df differ in no bit, so the order is the same everywhere

@@ -38,22 +38,22 @@ def alias_pairs(aliases: DataFrame) -> DataFrame:
 
 
 def evidence(query_tokens: DataFrame, entries: DataFrame, aliases: DataFrame, weights: DataFrame, vocabulary: DataFrame, only_exact: bool = False) -> DataFrame:
-    """(query_id, entry_id, part, token, weight): part x for tokens the entry has, a for aliases it has, s for stems it has,
+    """(query_id, entry_id, part, token, weight, stem): part x for tokens the entry has, a for aliases it has, s for stems it has,
     p for tokens that hold, or are held by, one of its words."""
     posted = postings(entries)
-    q = query_tokens.select("query_id", "token", "weight")
-    exact = q.join(posted, "token").select("query_id", "entry_id", F.lit("x").alias("part"), "token", "weight")
-    by_alias = q.join(alias_pairs(aliases), "token").join(posted.withColumnRenamed("token", "alias"), "alias").select("query_id", "entry_id", F.lit("a").alias("part"), "token", "weight").distinct()
+    q = query_tokens.select("query_id", "token", "weight", "stem")
+    exact = q.join(posted, "token").select("query_id", "entry_id", F.lit("x").alias("part"), "token", "weight", "stem")
+    by_alias = q.join(alias_pairs(aliases), "token").join(posted.withColumnRenamed("token", "alias"), "alias").select("query_id", "entry_id", F.lit("a").alias("part"), "token", "weight", "stem").distinct()
     if only_exact:
         return exact.unionByName(by_alias)
     # stems: of the few query stems, the vocabulary words that have them, then their postings
-    stems = q.select("query_id", T.stem("token").alias("stem")).distinct().join(weights.select(F.col("token").alias("stem"), "weight"), "stem", "left")
+    stems = q.select("query_id", "stem").distinct().join(weights.select(F.col("token").alias("stem"), "weight"), "stem", "left")
     stems = stems.select("query_id", "stem", F.coalesce("weight", F.lit(1.0)).alias("weight"))
-    by_stem = stems.join(vocabulary, "stem").join(posted, "token").select("query_id", "entry_id", F.lit("s").alias("part"), F.col("stem").alias("token"), "weight").distinct()
+    by_stem = stems.join(vocabulary, "stem").join(posted, "token").select("query_id", "entry_id", F.lit("s").alias("part"), F.col("stem").alias("token"), "weight", "stem").distinct()
     # substrings: a word that the query has itself does not count
     near = q.join(partial_matches(q, vocabulary), "token")
     near = near.join(q.select("query_id", F.col("token").alias("other")), ["query_id", "other"], "left_anti")
-    part = near.join(posted.withColumnRenamed("token", "other"), "other").select("query_id", "entry_id", F.lit("p").alias("part"), "token", "weight").distinct()
+    part = near.join(posted.withColumnRenamed("token", "other"), "other").select("query_id", "entry_id", F.lit("p").alias("part"), "token", "weight", "stem").distinct()
     return exact.unionByName(by_alias).unionByName(by_stem).unionByName(part)
 
 
@@ -64,7 +64,7 @@ def _sum(array: str) -> str:
 def scored(query_tokens: DataFrame, found: DataFrame, entries: DataFrame, config: EngineConfig = DEFAULT) -> DataFrame:
     """(query_id, entry_id, match, n_exact, score) of every pair with evidence and a score above 0, rounded to six places."""
     def part(name: str):
-        return F.array_sort(F.collect_set(F.when(F.col("part") == name, F.struct("token", "weight")))).alias(name)
+        return F.array_sort(F.collect_set(F.when(F.col("part") == name, F.struct("token", "weight", "stem")))).alias(name)
 
     gathered = found.groupBy("query_id", "entry_id").agg(part("x"), part("a"), part("s"), part("p"))
     of_query = query_tokens.groupBy("query_id").agg(F.sum("weight").alias("total"), F.count("*").alias("n_query"), F.collect_list("token").alias("query"))
@@ -74,7 +74,7 @@ def scored(query_tokens: DataFrame, found: DataFrame, entries: DataFrame, config
     )
     rows = gathered.join(attributes, "entry_id").join(of_query, "query_id")
     rows = rows.withColumn("exact", F.expr("array_sort(array_union(x, a))"))
-    rows = rows.withColumn("exact_stems", F.expr(f"transform(exact, e -> {T.stem_sql('e.token')})"))
+    rows = rows.withColumn("exact_stems", F.expr("transform(exact, e -> e.stem)"))
     rows = rows.withColumn("stem_only", F.expr("filter(s, e -> not array_contains(exact_stems, e.token))"))
     rows = rows.withColumn("partial", F.expr("filter(p, e -> not array_contains(transform(exact, k -> k.token), e.token))"))
     match = (

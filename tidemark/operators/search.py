@@ -33,7 +33,7 @@ def build(log: DataFrame, core: DataFrame, aliases: DataFrame, config: EngineCon
     out = []
     for entries in (logged, curated):
         good = corpus.surfacing(entries)
-        out.append(Index(good, weights, corpus.vocabulary(good), aliases, config))
+        out.append(Index(good, weights, staged(corpus.vocabulary(good), "vocabulary"), aliases, config))
     return out[0], out[1]
 
 
@@ -67,7 +67,7 @@ def rescored(candidates: DataFrame, texts: DataFrame, index: Index) -> DataFrame
     tokens = staged(tokens_of(texts, index, prune=False), "query-tokens")
     pairs = staged(candidates.select("query_id", "entry_id").distinct(), "candidates")
     entries = staged(index.entries.join(pairs.select("entry_id").distinct(), "entry_id", "left_semi"), "candidate-entries")
-    found = score.evidence(tokens, entries, index.aliases, index.weights, corpus.vocabulary(entries)).join(pairs, ["query_id", "entry_id"], "left_semi")
+    found = score.evidence(tokens, entries, index.aliases, index.weights, index.vocabulary).join(pairs, ["query_id", "entry_id"], "left_semi")
     return score.scored(tokens, found, entries, index.config).select("query_id", "entry_id", "score")
 
 
