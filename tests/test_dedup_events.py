@@ -183,3 +183,13 @@ def test_cache_sync(spark, tmp_path):
     got = {r["line_num"]: r for r in cache.sync(spark.createDataFrame(rows, schema), path).collect()}
     assert sorted(got) == [1, 2, 3] and got[1]["stems"] == "deplo gateway ops team" and got[1]["tag_tokens"] == "ops team"
     assert cache.sync(spark.createDataFrame(rows[:1], schema), path).count() == 1
+
+
+def test_last_session(spark):
+    log = [(1, "a2345678-1", "SESSION_CHECKPOINT", "first", ["x"]), (2, "b2345678-1", "SESSION_CHECKPOINT", "second", None), (3, "unknown", "SESSION_CHECKPOINT", "third", None), (4, None, "SESSION_CHECKPOINT", "fourth", None)]
+    log = spark.createDataFrame(log, "line_num long, session_id string, type string, content string, tags array<string>")
+    asking = spark.createDataFrame([("b2345678-9",), ("c",), (None,)], "session_id string")
+    assert {r["session_id"]: r["summary"] for r in capture.last_session(log, asking).collect()} == {"b2345678-9": "first", "c": "second", None: "second"}
+    assert {r["summary"] for r in capture.last_session(log.limit(0), asking).collect()} == {""}
+    assert {r["session_id"]: r["summary"] for r in capture.topics(log).collect()} == {"a2345678-1": "Last session topics: x", "b2345678-1": "Last session: second"}
+    assert {r["session_id"] for r in capture.checkpoints(log).collect()} == {"a2345678-1", "b2345678-1", "unknown"}

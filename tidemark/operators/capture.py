@@ -132,11 +132,11 @@ def last_session(log: DataFrame, sessions: DataFrame, most: int = 250) -> DataFr
     the last three sessions can matter, so the log is reduced to these before it meets the sessions.
     """
     rows = log.where("line_num is not null and session_id is not null and session_id <> 'unknown'").select("line_num", F.substring("session_id", 1, 8).alias("sid"), "type", T.text(F.col("content")).alias("content"), "tags")
-    asking = sessions.select("session_id").distinct().withColumn("own", F.substring("session_id", 1, 8))
+    asking = sessions.select("session_id").distinct().withColumn("own", F.substring(F.coalesce("session_id", F.lit("")), 1, 8))
     newest = rows.where("type = 'SESSION_CHECKPOINT'").groupBy("sid").agg(F.max(F.struct("line_num", "content")).alias("last"))
     two = newest.orderBy(F.desc("last")).limit(2).agg(F.array_sort(F.collect_list(F.struct(F.col("last.line_num").alias("line"), "sid", F.col("last.content").alias("content"))), lambda a, b: F.when(a["line"] > b["line"], -1).otherwise(1)).alias("two"))
     picked = asking.withColumn("two", two.select("two").scalar())
-    summary = F.expr("filter(two, x -> x.sid <> own)[0].content")
+    summary = F.expr("get(filter(two, x -> x.sid <> own), 0).content")
     return picked.select("session_id", F.substring(F.coalesce(summary, F.lit("")), 1, most).alias("summary"))
 
 

@@ -244,7 +244,7 @@ _SUMMARIES = """
 points AS (SELECT substring(session_id, 1, 8) AS sid, line_num, coalesce(content, '') AS content FROM memory_log WHERE type = 'SESSION_CHECKPOINT' AND session_id IS NOT NULL AND session_id <> 'unknown' AND line_num IS NOT NULL),
 asking AS (SELECT DISTINCT session_id FROM documents WHERE doc_id % 100 = 0),
 summaries AS (
-  SELECT session_id, substring(coalesce((SELECT arg_max(content, line_num) FROM points WHERE sid <> substring(session_id, 1, 8)), ''), 1, 250) AS summary FROM asking)"""
+  SELECT session_id, substring(coalesce((SELECT arg_max(content, line_num) FROM points WHERE sid <> substring(coalesce(session_id, ''), 1, 8)), ''), 1, 250) AS summary FROM asking)"""
 
 
 def _soundex() -> str:
