@@ -47,9 +47,11 @@ def corrections(prompts: DataFrame) -> DataFrame:
     p = T.strip(F.col("prompt"))
     options = []
     for pattern, group, kind in CORRECTION_PATTERNS:
-        content = T.squeezed(F.regexp_extract(p, "(?isu)" + portable(pattern), group))
-        options.append(F.when(F.length(content) >= 10, F.struct(F.lit(kind).alias("type"), content.alias("content"))))
-    hit = prompts.where("prompt is not null").select("query_id", F.coalesce(*options).alias("hit"), F.substring("prompt", 1, 500).alias("full_prompt")).where("hit is not null")
+        # as arrays, so that a pattern is matched once and none after the first hit
+        option = F.array(F.struct(F.lit(kind).alias("type"), T.squeezed(F.regexp_extract(p, "(?isu)" + portable(pattern), group)).alias("content")))
+        options.append(F.get(F.filter(option, lambda o: F.length(o["content"]) >= 10), F.lit(0)))
+    hits = F.array_compact(F.array(F.coalesce(*options)))
+    hit = prompts.where("prompt is not null").select("query_id", F.explode(hits).alias("hit"), F.substring("prompt", 1, 500).alias("full_prompt"))
     return hit.select("query_id", "hit.type", F.substring(_first_sentence(F.col("hit.content")), 1, 300).alias("content"), "full_prompt")
 
 
