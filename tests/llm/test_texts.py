@@ -66,6 +66,16 @@ def test_cut_texts_of_known_kinds(spark):
     assert cutoff.found(log.limit(0)).count() == 0
 
 
+def test_copies_of_a_cut_text_do_not_vouch_for_each_other(spark):
+    rnd = random.Random(3)
+    nouns = [f"noun{c * n}" for c in "abcdefgh" for n in range(2, 30, 3)]
+    rows = [(i, f"The {rnd.choice(nouns)} was moved into the {rnd.choice(nouns)} because the {rnd.choice(nouns)} failed during the night.", "s") for i in range(1, 800)]
+    cut = ["The crate was hauled over into the", "The crate fell down the stairs because the nou"]
+    rows += [(1000 + 100 * k + i, t, f"source{i}") for k, t in enumerate([*cut, "same as before"]) for i in range(20)]
+    got = {r[0] for r in cutoff.found(spark.createDataFrame(rows, "line_num long, content string, source string").repartition(3)).collect()}
+    assert got == {1000 + 100 * k + i for k in range(2) for i in range(20)}
+
+
 @pytest.mark.parametrize("seed", range(4))
 def test_packing(seed):
     rnd = random.Random(seed)

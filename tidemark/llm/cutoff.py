@@ -10,7 +10,9 @@ Three kinds of evidence are added up as log odds for every content that does not
            whole log tells how often they end a sentence or a content, and how often they go on.  The
            pattern that speaks most for an end decides: a cut text has none that does.
 
-Vocabulary, limits and contexts are counted over the whole log.  What is broadcast is the list of common words,
+Vocabulary, limits and contexts are counted over the whole log, each distinct content once (for limits, once in a
+source): copies of a text say nothing about it.  Only a short text that is a context by itself (WHOLE) is counted with its
+copies, as its being written again and again is what tells that it is complete.  What is broadcast is the list of common words,
 of which there are at most (words per row) / COMMON, and a bitmap of fixed size.
 """
 
@@ -29,7 +31,7 @@ from pyspark.sql.window import Window
 
 from tidemark.llm.common import staged
 
-#: Share of rows a word must be in to be a common one, and the number of rows at the least.
+#: Share of distinct contents a word must be in to be a common one, and their number at the least.
 COMMON, COMMON_ROWS = 0.0005, 5
 #: Patterns over the tokens before an end: places counted from the end that must agree (others may be anything);
 #: with True, the number of tokens since the sentence began must agree as well.
@@ -74,7 +76,7 @@ def _last_word(text: str) -> str:
 
 
 def _vocabulary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Words, the number of rows that have them, and of those whose open end they are (not counted in the first)."""
+    """Words, the number of contents that have them, and of those whose open end they are (not counted in the first)."""
     held: Counter = Counter()
     last: Counter = Counter()
 
@@ -169,7 +171,7 @@ def _cell(code: np.ndarray) -> np.ndarray:
 
 
 def _tails(common):
-    """(line_num, source, length, word, open, broken, dots, codes) of the contents with an open end."""
+    """(line_num, source, digest, length, word, open, broken, dots, codes) of the contents with an open end."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mapper = _Mapper(common.value)
@@ -197,6 +199,7 @@ def _tails(common):
                 [
                     b.column(0).take(pa.array(rows)),
                     b.column(1).take(pa.array(rows)),
+                    b.column(3).take(pa.array(rows)),
                     pa.array([len(s) for s in stripped], pa.int32()),
                     pa.array([_last_word(t) for t in tails], pa.string()),
                     pa.array([t.count("`") % 2 == 1 or t.count("(") > t.count(")") for t in tails]),
@@ -204,14 +207,14 @@ def _tails(common):
                     pa.array([s != t.rstrip() for s, t in zip(stripped, tails)]),
                     pa.array(list(lists), pa.list_(pa.int64())),
                 ],
-                names=["line_num", "source", "length", "word", "open", "broken", "dots", "codes"],
+                names=["line_num", "source", "digest", "length", "word", "open", "broken", "dots", "codes"],
             ).filter(pa.array(some))
 
     return run
 
 
 def _counts(common, wanted):
-    """(code, ends, open_ends, goes_on) partial sums over whole contents, for the contexts in the bitmap."""
+    """(code, ends, open_ends, goes_on) partial sums over whole contents (content, copies), for the contexts in the bitmap."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mapper, bitmap = _Mapper(common.value), wanted.value
@@ -222,10 +225,16 @@ def _counts(common, wanted):
             last = np.zeros(len(sym), bool)
             last[(np.cumsum(n) - 1)[n > 0]] = True
             kind = np.where(last & (end != 1), 1, np.where(end > 0, 0, 2))
-            found = [(c[keep] * 4 + kind[keep]) for c in _codes(sym, end, raw, n) if (keep := bitmap[_cell(c)]).any()]
-            if not found:
+            *codes, whole = _codes(sym, end, raw, n)
+            found = [(c[keep] * 4 + kind[keep]) for c in codes if (keep := bitmap[_cell(c)]).any()]
+            short = np.flatnonzero(whole > 1)
+            short = short[bitmap[_cell(whole[short])]]
+            if not found and not len(short):
                 continue
-            keys, m = np.unique(np.concatenate(found), return_counts=True)
+            keys, m = np.unique(np.concatenate([*found, np.zeros(0, np.int64)]), return_counts=True)
+            more, place = np.unique(whole[short] * 4 + kind[short], return_inverse=True)
+            copies = np.repeat(np.asarray(b.column(1)), n)[short]
+            keys, m = np.concatenate([keys, more]), np.concatenate([m, np.bincount(place, copies, len(more)).astype(np.int64)])
             yield pa.RecordBatch.from_arrays([pa.array(keys >> 2), *(pa.array(np.where(keys & 3 == k, m, 0)) for k in range(3))], names=["code", "ends", "open_ends", "goes_on"])
 
     return run
@@ -253,7 +262,7 @@ def _cut_words(tails: DataFrame, vocabulary: DataFrame, least: float) -> DataFra
 
 def _limits(tails: DataFrame) -> DataFrame:
     """(source, length, ratio) of the lengths that are limits of a source."""
-    by = tails.groupBy("source", "length").agg(F.count("*").alias("rows"))
+    by = tails.select("source", "length", "digest").distinct().groupBy("source", "length").agg(F.count("*").alias("rows"))
     near = Window.partitionBy("source").orderBy("length").rangeBetween(-AROUND, AROUND)
     ratio = by.withColumn("others", (F.sum("rows").over(near) - F.col("rows")) / F.lit(2.0 * AROUND))
     return ratio.withColumn("ratio", F.col("rows") / F.greatest("others", F.lit(0.5))).where(f"ratio >= {LIMIT_RATIO} and rows >= {LIMIT_ROWS}").select("source", "length", "ratio")
@@ -266,13 +275,14 @@ def scored(log: DataFrame) -> DataFrame:
     """
     spark = log.sparkSession
     rows = log.select(F.col("line_num").cast("long"), F.coalesce(F.col("source").cast("string"), F.lit("")).alias("source"), F.col("content").cast("string")).where(r"line_num is not null and content rlike '\\S'")
-    texts = rows.select("content")
+    # combined before the shuffle, so a content of any number of copies moves once a partition
+    texts = staged(rows.groupBy("content").agg(F.count("*").alias("copies")), "texts")
     vocabulary = staged(texts.mapInArrow(_vocabulary, "word string, n long, n_last long").groupBy("word").agg(F.sum("n").alias("n"), F.sum("n_last").alias("n_last")), "vocabulary")
     least = max(COMMON_ROWS, COMMON * texts.count())
     frequent = vocabulary.where(F.col("n") >= least).orderBy(F.desc("n"), "word").select("word").toArrow()["word"].to_pylist()
     common = spark.sparkContext.broadcast({w: _FIRST + i for i, w in enumerate(frequent)})
 
-    tails = staged(rows.mapInArrow(_tails(common), "line_num long, source string, length int, word string, open boolean, broken boolean, dots boolean, codes array<long>"), "tails")
+    tails = staged(rows.withColumn("digest", F.xxhash64("content")).mapInArrow(_tails(common), "line_num long, source string, digest long, length int, word string, open boolean, broken boolean, dots boolean, codes array<long>"), "tails")
     cells = tails.select(F.explode("codes").alias("code")).mapInArrow(_cells, "cell long").distinct().toArrow()["cell"]
     bitmap = np.zeros(CELLS, bool)
     bitmap[np.asarray(cells, np.int64)] = True
