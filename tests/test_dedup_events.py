@@ -1,7 +1,11 @@
+import itertools
 import json
+import random
 
+import pytest
 from pyspark.sql import functions as F
 
+from tidemark.functions.fixed import SUMMARY_SKIPPED_TAGS
 from tidemark.operators import capture, dedup, events
 from tidemark.operators.completion import complete
 from tidemark.operators.order import positions
@@ -193,3 +197,29 @@ def test_last_session(spark):
     assert {r["summary"] for r in capture.last_session(log.limit(0), asking).collect()} == {""}
     assert {r["session_id"]: r["summary"] for r in capture.topics(log).collect()} == {"a2345678-1": "Last session topics: x", "b2345678-1": "Last session: second"}
     assert {r["session_id"] for r in capture.checkpoints(log).collect()} == {"a2345678-1", "b2345678-1", "unknown"}
+
+
+def walked_back(log, own):
+    """The rule itself, row by row; log: (line_num, session_id, type, content, tags) in order."""
+    own = (own or "")[:8]
+    others = [r for r in reversed(log) if r[1] is not None and r[1] != "unknown" and r[1][:8] != own]
+    for r in others:
+        if r[2] == "SESSION_CHECKPOINT":
+            return (r[3] or "")[:250]
+    block = list(itertools.takewhile(lambda r: r[1][:8] == others[0][1][:8], others))
+    tags = list(dict.fromkeys(t for r in block for t in r[4] or [] if t is not None and t.lower() not in SUMMARY_SKIPPED_TAGS))
+    if tags:
+        return ("Last session topics: " + ", ".join(tags[:8]))[:250]
+    return ("Last session: " + " | ".join((r[3] or "")[:40] for r in block[:3]))[:250] if block else ""
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_last_session_without_a_checkpoint(spark, seed):
+    rnd = random.Random(seed)
+    names = ["aaaaaaaa-1", "aaaaaaaa-2", "bbbbbbbb", "cccccccc", "unknown", None, ""][: 2 + seed]
+    tags = ["Repeated", "stop_hook", None, *"abcdefghij"] if seed % 2 else ["repeated"]
+    log = [(i, rnd.choice(names), rnd.choice(["x", None]), rnd.choice([None, f"content {i} " + "z" * 40]), rnd.choice([None, rnd.choices(tags, k=3)])) for i in range(rnd.choice([3, 12, 40]))]
+    asking = [*names, "dddddddd", None]
+    df = spark.createDataFrame(log, "line_num long, session_id string, type string, content string, tags array<string>")
+    got = {r["session_id"]: r["summary"] for r in capture.last_session(df, spark.createDataFrame([(a,) for a in asking], "session_id string")).collect()}
+    assert got == {a: walked_back(log, a) for a in asking}

@@ -137,9 +137,33 @@ def last_session(log: DataFrame, sessions: DataFrame, most: int = 250) -> DataFr
     asking = sessions.select("session_id").distinct().withColumn("own", F.substring(F.coalesce("session_id", F.lit("")), 1, 8))
     newest = rows.where("type = 'SESSION_CHECKPOINT'").groupBy("sid").agg(F.max(F.struct("line_num", "content")).alias("last"))
     two = newest.orderBy(F.desc("last")).limit(2).agg(F.array_sort(F.collect_list(F.struct(F.col("last.line_num").alias("line"), "sid", F.col("last.content").alias("content"))), lambda a, b: F.when(a["line"] > b["line"], -1).otherwise(1)).alias("two"))
-    picked = asking.withColumn("two", two.select("two").scalar())
+    heads = rows.groupBy("sid").agg(F.max("line_num").alias("line")).orderBy(F.desc("line"), "sid").limit(3).agg(F.array_sort(F.collect_list(F.struct((-F.col("line")).alias("back"), "sid", "line"))).alias("heads"))
+    picked = asking.withColumn("two", two.select("two").scalar()).withColumn("heads", heads.select("heads").scalar()).withColumn("blocks", _last_blocks(rows, heads).select("blocks").scalar())
     summary = F.expr("get(filter(two, x -> x.sid <> own), 0).content")
-    return picked.select("session_id", F.substring(F.coalesce(summary, F.lit("")), 1, most).alias("summary"))
+    # the walk back skips rows of the asking session and ends at the newest row of a third one
+    picked = picked.withColumn("last", F.expr("if(own <=> get(heads, 0).sid, get(heads, 1).sid, get(heads, 0).sid)"))
+    picked = picked.withColumn("third", F.expr("if(own <=> get(heads, 0).sid or own <=> get(heads, 1).sid, get(heads, 2).line, get(heads, 1).line)"))
+    picked = picked.withColumn("block", F.expr("get(filter(blocks, b -> b.sid = last), 0)"))
+    inside = "filter(block.{0}, x -> third is null or x.line > third)"
+    topics_of = F.expr(f"concat('Last session topics: ', nullif(array_join(transform({inside.format('tags')}, x -> x.tag), ', '), ''))")
+    snippets = F.expr(f"concat('Last session: ', array_join(transform({inside.format('parts')}, x -> x.part), ' | '))")
+    return picked.select("session_id", F.substring(F.coalesce(summary, topics_of, snippets, F.lit("")), 1, most).alias("summary"))
+
+
+def _last_blocks(rows: DataFrame, heads: DataFrame, most: int = 8) -> DataFrame:
+    """(blocks) in one row: of each of the newest two sessions the last distinct tags, without the generic ones, and the last
+    three contents of 40 characters, both newest first and with their lines, as far back as the third session.
+
+    Both are top-k windows over rows combined before the shuffle; a session of any size is no burden.
+    """
+    recent = rows.withColumn("heads", heads.select("heads").scalar()).where("sid in (get(heads, 0).sid, get(heads, 1).sid) and coalesce(line_num > get(heads, 2).line, true)").drop("heads")
+    tags = recent.select("sid", "line_num", F.posexplode("tags").alias("at", "tag")).where(F.col("tag").isNotNull() & ~F.lower("tag").isin(SUMMARY_SKIPPED_TAGS))
+    seen = tags.groupBy("sid", "tag").agg(F.max(F.struct("line_num", -F.col("at"))).alias("seen"))
+    late = Window.partitionBy("sid").orderBy(F.desc("seen"), "tag")
+    top = seen.withColumn("n", F.row_number().over(late)).where(F.col("n") <= most).groupBy("sid").agg(F.array_sort(F.collect_list(F.struct("n", "tag", F.col("seen.line_num").alias("line")))).alias("tags"))
+    last = Window.partitionBy("sid").orderBy(F.desc("line_num"), "content")
+    three = recent.select("sid", "line_num", F.substring("content", 1, 40).alias("content")).withColumn("n", F.row_number().over(last)).where("n <= 3").groupBy("sid").agg(F.array_sort(F.collect_list(F.struct("n", F.col("content").alias("part"), F.col("line_num").alias("line")))).alias("parts"))
+    return three.join(top, "sid", "left").agg(F.collect_list(F.struct("sid", "tags", "parts")).alias("blocks"))
 
 
 def topics(log: DataFrame, most: int = 8) -> DataFrame:
