@@ -9,6 +9,7 @@ from tidemark.functions.fixed import SUMMARY_SKIPPED_TAGS
 from tidemark.operators import capture, dedup, events
 from tidemark.operators.completion import complete
 from tidemark.operators.order import positions
+from tidemark.plans import catalog
 from tidemark.sources import readers
 from tidemark.streaming import stateful
 from tidemark.streaming.ingest import Ingest
@@ -223,3 +224,10 @@ def test_last_session_without_a_checkpoint(spark, seed):
     df = spark.createDataFrame(log, "line_num long, session_id string, type string, content string, tags array<string>")
     got = {r["session_id"]: r["summary"] for r in capture.last_session(df, spark.createDataFrame([(a,) for a in asking], "session_id string")).collect()}
     assert got == {a: walked_back(log, a) for a in asking}
+
+
+def test_session_summary_serves_every_session(spark, tmp_path):
+    spark.createDataFrame([(1, "aaaaaaaa", "SESSION_CHECKPOINT", "first", ["x"])], "line_num long, session_id string, type string, content string, tags array<string>").write.parquet(f"{tmp_path}/memory_log.parquet")
+    spark.createDataFrame([(7, "a", "bbbbbbbb"), (8, "b", "cccccccc"), (9, "b", "cccccccc"), (11, "c", None), (100, "d", "aaaaaaaa")], "doc_id long, text string, session_id string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = [(r["session_id"], r["summary"]) for r in catalog.session_summary(spark, str(tmp_path)).collect()]
+    assert len(got) == 4 and dict(got) == {"aaaaaaaa": "", "bbbbbbbb": "first", "cccccccc": "first", None: "first"}

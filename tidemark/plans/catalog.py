@@ -251,7 +251,7 @@ def transcript_lines(s, d):
 
 
 def session_summary(s, d):
-    return capture.last_session(_log(s, d), _prompts(s, d))
+    return capture.last_session(_log(s, d), table(s, d, "documents").select("session_id"))
 
 
 def session_topics(s, d):
