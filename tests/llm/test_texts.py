@@ -169,6 +169,25 @@ def test_pii(text, want):
     assert len(re.findall(r"\[[A-Z]+\]", pii.replaced(text, spans))) == len(want)
 
 
+@pytest.mark.parametrize(
+    "text,want",
+    [
+        ("415-555-0100 212-555-0199", ["phone 415-555-0100", "phone 212-555-0199"]),
+        ("(415) 555-0100 (212) 555-0199", ["phone (415) 555-0100", "phone (212) 555-0199"]),
+        ("020 7946 0958 / 020 7946 0959", ["phone 020 7946 0958", "phone 020 7946 0959"]),
+        ("123-45-6789 987-65-4321", ["identity 123-45-6789", "identity 987-65-4321"]),
+        ("123-45-6789 415-555-0100", ["identity 123-45-6789", "phone 415-555-0100"]),
+        ("415-555-0100 123-45-6789", ["phone 415-555-0100", "identity 123-45-6789"]),
+        ("SSN 123-45-6789 987-65-4321 or 415-555-0100 212-555-0199 646-555-0101.", ["identity 123-45-6789", "identity 987-65-4321", "phone 415-555-0100", "phone 212-555-0199", "phone 646-555-0101"]),
+        ("passport X4241032 415-555-0100, tel 5550100 123-45-6789", ["identity X4241032", "phone 415-555-0100", "phone 5550100", "identity 123-45-6789"]),
+    ],
+)
+def test_numbers_side_by_side(text, want):
+    spans = pii.detect(text, pii.Names(PEOPLE))
+    assert [f"{k} {text[s:e]}" for s, e, k in spans] == want
+    assert not re.search(r"\d", pii.replaced(text, spans))
+
+
 def test_spans_map_back():
     n = pii.normalised("x a (at) b [dot] co y")
     i = n.text.index("a@b.co")

@@ -147,29 +147,43 @@ def _digits(s: str) -> int:
     return sum(c.isdigit() for c in s)
 
 
+def _number(t: str, start: int, end: int) -> tuple[int, int, str] | None:
+    """An identity or phone number of a digit run, by its shape and what stands before it."""
+    before = t[max(0, start - 48) : start]
+    if _LABELLED.search(before):
+        m = _SSN.match(t, start, end) or _NUMBERS.match(t, start, end)
+        if m and _digits(m[0]) >= 6:
+            # what has a blank before it and a shape of its own is another number
+            for shape in (_SSN, _PHONES[1][0]):
+                other = shape.search(t, m.start() + 6, end)
+                if other and other.start() < m.end() and t[other.start() - 1] == " " and _digits(t[m.start() : other.start()]) >= 6:
+                    return m.start(), other.start() - 1, "identity"
+            return m.start(), m.end(), "identity"
+    m = _SSN.search(t, start, end)
+    if m:
+        return m.start(), m.end(), "identity"
+    for shape, least, most in _PHONES:
+        m = shape.search(t, start, min(len(t), end + 2))
+        if m and m.end() <= end and least <= _digits(m[0]) <= most:
+            return m.start(), m.end(), "phone"
+    m = _BARE.match(t, start, end + 1)
+    return (start, end, "phone") if m and m.end() == end and _CALL.search(before) else None
+
+
 def _numbers(t: str) -> Iterator[tuple[int, int, str]]:
-    """Identity and phone numbers, by the shape of digit runs and what stands before them."""
-    for run in _RUN.finditer(t):
+    """Identity and phone numbers in digit runs.  A run may hold several: what is before a number is searched as a run of its
+    own, and runs go on from its end."""
+    at = 0
+    while run := _RUN.search(t, at):
         start, end = run.span()
-        before = t[max(0, start - 48) : start]
-        if _LABELLED.search(before):
-            m = _NUMBERS.match(t, start, end)
-            if m and _digits(m[0]) >= 6:
-                yield m.start(), m.end(), "identity"
-                continue
-        m = _SSN.search(t, start, end)
-        if m:
-            yield m.start(), m.end(), "identity"
-            continue
-        for shape, least, most in _PHONES:
-            m = shape.search(t, start, min(len(t), end + 2))
-            if m and m.end() <= end and least <= _digits(m[0]) <= most:
-                yield m.start(), m.end(), "phone"
+        at = 0
+        while found := _number(t, start, end):
+            yield found
+            at = max(at, found[1])
+            end = start + len(t[start : found[0]].rstrip(" .-/("))
+            if end - start < 6:
                 break
-        else:
-            m = _BARE.match(t, start, end + 1)
-            if m and m.end() == end and _CALL.search(before):
-                yield start, end, "phone"
+        at = at or run.end()
 
 
 _CAP = r"[A-ZÀ-Þ][\w'’\-]*"
