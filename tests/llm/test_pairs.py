@@ -149,6 +149,17 @@ def test_history(spark, log, rows, portions):
     assert len(got) == len(set(got)) and set(got) == sequential(rows)
 
 
+@pytest.mark.parametrize("portions", [1, 2, 3])
+def test_history_does_not_link_to_rows_rejected_by_their_key(spark, portions):
+    joined = " ".join(f"field{i}_limit{i}" for i in range(14))
+    split = joined.replace("_", " ")
+    texts = [joined, split, *("short" for _ in range(8)), split + " extra", split + " extra more"]
+    rows = [(i, t, None, None) for i, t in enumerate(texts, 1)]
+    log = spark.createDataFrame(rows, "line_num long, content string, tags array<string>, session_id string")
+    assert sequential(rows) == {2, 12}
+    assert {r[0] for r in history.found(log, portions).collect()} == {2, 12}
+
+
 def test_history_is_kept_in_its_folder(spark, tmp_path):
     base = " ".join(f"word{i}" for i in range(20))
     texts = spark.createDataFrame([(1, base), (2, base + " more"), (3, "short"), (4, base.upper())], "id long, content string")

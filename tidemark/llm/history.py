@@ -110,7 +110,9 @@ class History:
         self._append(posted.drop("old").withColumn("bucket", F.expr(f"pmod(word, {BUCKETS})")), "postings", "bucket")
         self._append(signed.where("key is not null").join(cases, "id", "left_anti").select("key").distinct(), "keys")
         good = rows.join(cases, "id", "left_anti").where("rep is not null").select("rep")
-        self._append(rows.where("rep is not null").select("rep").distinct().join(good, "rep", "left_anti"), "rejected")
+        # a case without a rep among the candidates (by its letter key alone) is the only row of its set, so its id is the rep
+        bad = rows.join(cases, "id", "left_semi").select(F.coalesce("rep", "id").alias("rep")).distinct()
+        self._append(bad.join(good, "rep", "left_anti"), "rejected")
         return cases.select(F.col("id").alias("line_num"))
 
     def _candidates(self, signed: DataFrame, sets: DataFrame, links: DataFrame, known_keys: DataFrame | None) -> DataFrame:
