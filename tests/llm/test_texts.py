@@ -188,6 +188,12 @@ def test_numbers_side_by_side(text, want):
     assert not re.search(r"\d", pii.replaced(text, spans))
 
 
+@pytest.mark.parametrize("text", ["jane@example[.]com", "jane[@]example.com", "jane(@)example.com", "jane@example(.)com"])
+def test_bracketed_signs_alone_open_the_gate(text):
+    source = f"Mail {text} today"
+    assert [(k, source[s:e]) for s, e, k in pii.detect(source, pii.Names(PEOPLE))] == [("email", text)]
+
+
 def test_spans_map_back():
     n = pii.normalised("x a (at) b [dot] co y")
     i = n.text.index("a@b.co")

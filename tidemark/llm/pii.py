@@ -47,7 +47,7 @@ _SPELLED = re.compile(rf"\b(?:{_WORD})(?:[ \-,]+(?:{_WORD})){{4,}}\b", re.I)
 _SPELLED_HINT = re.compile(rf"(?:{_WORD})[ \-,]+(?:{_WORD})[ \-,]+(?:{_WORD})")  # of lower-cased texts
 _SIGNS = re.compile(r"\s?[\[({<]\s?(?:at|@)\s?[\])}>]\s?|\s?[\[({<]\s?(?:dot|\.)\s?[\])}>]\s?|(?<=\w) @ (?=\w)", re.I)
 _SPOKEN = re.compile(r"(?<![\w@])[\w+\-]+(?:(?: dot |\.)[\w+\-]+)* at [\w\-]+(?:(?: dot )[\w\-]+)+(?!\w)", re.I)
-_HINT_AT = re.compile(r"[\[({<]\s?(?:at|dot)\s?[\])}>]| dot ", re.I)
+_HINT_AT = re.compile(r"[\[({<]\s?(?:at|dot|@|\.)\s?[\])}>]| dot ", re.I)
 _HINT_SPOKEN = re.compile(r" at \S+ dot ", re.I)
 
 
