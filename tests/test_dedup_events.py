@@ -231,3 +231,17 @@ def test_session_summary_serves_every_session(spark, tmp_path):
     spark.createDataFrame([(7, "a", "bbbbbbbb"), (8, "b", "cccccccc"), (9, "b", "cccccccc"), (11, "c", None), (100, "d", "aaaaaaaa")], "doc_id long, text string, session_id string").write.parquet(f"{tmp_path}/documents.parquet")
     got = [(r["session_id"], r["summary"]) for r in catalog.session_summary(spark, str(tmp_path)).collect()]
     assert len(got) == 4 and dict(got) == {"aaaaaaaa": "", "bbbbbbbb": "first", "cccccccc": "first", None: "first"}
+
+
+def test_resolutions_by_anyone(spark):
+    rnd = random.Random(5)
+    acts = [(i, rnd.choice("abc"), rnd.randrange(0, 4 * 3600, 20), rnd.choice(["TRIED-FAILED", "INFRA", "CHANGED"]), rnd.choice(["short", "a description of it"]), "make", "Error: exit of a step") for i in range(200)]
+    acts += [(300, "a", 7199, "TRIED-FAILED", "x", "make", "Error: exit of a step"), (301, "b", 7201, "INFRA", "a description of it", "make", None)]
+    df = spark.createDataFrame(acts, "event_id long, session_id string, at long, category string, description string, command string, error string").withColumn("ts", F.timestamp_seconds("at"))
+    want = {}
+    for e in acts:
+        later = [f for f in acts if f[3] != "TRIED-FAILED" and len(f[4]) >= 15 and (f[2], f[0]) > (e[2], e[0]) and f[2] - e[2] <= 300]
+        if e[3] == "TRIED-FAILED" and later:
+            want[e[0]] = min(later, key=lambda f: (f[2], f[0]))[0]
+    got = [(r["event_id"], r["fixed_by"]) for r in events.resolutions_by_anyone(df, 300).collect()]
+    assert len(got) == len(want) and dict(got) == want and 300 in want

@@ -321,8 +321,8 @@ def error_resolution(s, d):
 
 
 def error_resolution_any(s, d):
-    """Resolutions whoever caused them: one stream, cut into hours that are independent but for the 300 seconds before."""
-    return events.resolutions(_acts(s, d), DEFAULT.fix_seconds)
+    """Resolutions whoever caused them: one stream, cut into hours that are independent but for the 300 seconds after."""
+    return events.resolutions_by_anyone(_acts(s, d), DEFAULT.fix_seconds)
 
 
 def test_results(s, d):
