@@ -2,8 +2,10 @@ import math
 import random
 import re
 from pathlib import Path
+from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tidemark.llm import cutoff, mixing, packing, pii, tokens, twopoisson
@@ -76,6 +78,16 @@ def test_copies_of_a_cut_text_do_not_vouch_for_each_other(spark):
     assert got == {1000 + 100 * k + i for k in range(2) for i in range(20)}
 
 
+@pytest.mark.parametrize("size", [5, 30, 31, 80])
+def test_ends_have_the_codes_that_are_counted(size):
+    text = "It began. " + " ".join(f"w{i % 7}" for i in range(size))
+    common = SimpleNamespace(value={f"w{i}": 4 + i for i in range(7)})
+    batch = pa.RecordBatch.from_pydict({"line_num": [1], "source": ["s"], "content": [text], "digest": [1]})
+    (tail,) = next(cutoff._tails(common)(iter([batch])))["codes"].to_pylist()
+    counted = cutoff._codes(*cutoff._symbols([text], cutoff._Mapper(common.value)))
+    assert tail == [c[-1] for c in counted]
+
+
 @pytest.mark.parametrize("seed", range(4))
 def test_packing(seed):
     rnd = random.Random(seed)

@@ -187,8 +187,8 @@ def _tails(common):
                     tails.append(_DOTS.sub("", text.rstrip().rstrip(_CLOSERS)) if end == 2 else text)
             if not rows:
                 continue
-            last = [t.split()[-30:] for t in tails]
-            sym, end, raw, n = _symbols([" ".join(w) for w in last], mapper)
+            # over whole texts, as the contexts are counted
+            sym, end, raw, n = _symbols(tails, mapper)
             n_safe = np.cumsum(n) - 1
             codes = _codes(sym, end, raw, n)
             some = n > 0
