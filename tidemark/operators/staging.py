@@ -9,19 +9,33 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The session's spark.checkpoint.dir; where it is unset (one machine) a temporary folder, set for the session."""
+    """The session's spark.checkpoint.dir.  Where it is unset, a session on one machine (local master) gets a temporary folder
+    that is deleted at its end; on a cluster that would lose data, so there it is an error."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         where = "file://" + tempfile.mkdtemp(prefix="tidemark-")
         spark.conf.set("spark.checkpoint.dir", where)
+        _delete_on_exit(spark, where)
     return where.rstrip("/")
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """Write and read back: lineage ends in files that outlive any executor; they go when the driver's JVM ends."""
-    spark = df.sparkSession
-    where = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+def _delete_on_exit(spark: SparkSession, where: str) -> None:
     path = spark._jvm.org.apache.hadoop.fs.Path(where)
     path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
-    df.write.parquet(where)
-    return spark.read.schema(df.schema).parquet(where)
+
+
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A fresh folder below the shared one, deleted when the driver's JVM ends."""
+    where = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _delete_on_exit(spark, where)
+    return where
+
+
+def staged(df: DataFrame, name: str, *by: str) -> DataFrame:
+    """Write (in folders by the given columns) and read back: lineage ends in files that outlive any executor; they go when
+    the driver's JVM ends."""
+    where = new_folder(df.sparkSession, name)
+    df.write.partitionBy(*by).parquet(where)
+    return df.sparkSession.read.schema(df.schema).parquet(where)
