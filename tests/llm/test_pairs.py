@@ -93,6 +93,28 @@ def test_set_join(spark, log, rows):
     assert len(linked) == sum(1 for i, s in sets if i is not None and len(s) >= 6)
 
 
+def test_set_join_of_frequent_tags(spark):
+    # no tag tells much, and many segments are empty
+    rnd = random.Random(8)
+    sets = {tuple(sorted(f"t{x}" for x in rnd.sample(range(16), rnd.randint(6, 12)))) for _ in range(700)}
+    sets = [(i, list(s)) for i, s in enumerate(sorted(sets))]
+    df = spark.createDataFrame(sets, "id long, items array<string>")
+    for num, den in ((6, 10), (8, 10), (3, 10)):
+        assert pairs_of(expand(*setjoin.similar_sets(df, 6, num, den))) == brute([(i, frozenset(s)) for i, s in sets], 6, num, den)
+
+
+def test_candidates_of_the_set_join_do_not_grow_with_the_square(spark):
+    def count(n):
+        rnd = random.Random(9)
+        tags = [f"t{i}" for i in range(120)]
+        sets = {tuple(sorted(rnd.choices(tags, [1 / (i + 1) for i in range(120)], k=12)[:7] + [f"own{i // 2}"])) for i in range(n)}
+        df = spark.createDataFrame([(i, sorted(set(s))) for i, s in enumerate(sets)], "id long, items array<string>")
+        return setjoin.candidates(setjoin.distinct_sets(df, 6), 6, 6, 10).count()
+
+    small, large = count(300), count(3000)
+    assert large < 25 * max(small, 20)
+
+
 def test_set_join_of_long_sets(spark):
     rnd = random.Random(1)
     sets = []
@@ -143,12 +165,27 @@ def sequential(rows):
     return cases
 
 
-@pytest.mark.parametrize("portions", [1, 2, 3])
-def test_history(spark, log, rows, portions):
-    got = [r[0] for r in history.found(log, portions).collect()]
+@pytest.mark.parametrize("portions,bucket_rows,fan", [(1, 1 << 20, 8), (3, 64, 8), (7, 32, 2)])
+def test_history(spark, log, rows, portions, bucket_rows, fan):
+    got = [r[0] for r in history.found(log, portions, bucket_rows, fan).collect()]
     assert len(got) == len(set(got)) and set(got) == sequential(rows)
 
 
+def test_late_rows_belong_to_their_batch(spark):
+    base = [f"word{i}" for i in range(20)]
+    texts = [(i, " ".join([*base[1:], f"x{i}"]) if i % 3 else f"filler {i} {i}", None, "late" if i in (2, *range(700, 1400)) else None) for i in range(1, 1400)]
+    log = spark.createDataFrame(texts, "line_num long, content string, tags array<string>, session_id string")
+    assert {r[0] for r in history.found(log, 3).collect()} == sequential(texts)
+
+
+def test_chains_are_settled_link_by_link(spark):
+    words = [f"w{i}" for i in range(60)]
+    rows = [(i, " ".join(words[i : i + 20]), None, None) for i in range(1, 40)]  # each is near the one or two before
+    log = spark.createDataFrame(rows, "line_num long, content string, tags array<string>, session_id string")
+    want = sequential(rows)
+    assert 15 < len(want) < 30 and {r[0] for r in history.found(log, 1).collect()} == want
+
+
 @pytest.mark.parametrize("portions", [1, 2, 3])
 def test_history_does_not_link_to_rows_rejected_by_their_key(spark, portions):
     joined = " ".join(f"field{i}_limit{i}" for i in range(14))
@@ -162,14 +199,31 @@ def test_history_does_not_link_to_rows_rejected_by_their_key(spark, portions):
 
 def test_history_is_kept_in_its_folder(spark, tmp_path):
     base = " ".join(f"word{i}" for i in range(20))
-    texts = spark.createDataFrame([(1, base), (2, base + " more"), (3, "short"), (4, base.upper())], "id long, content string")
-    batch_of = texts.selectExpr("id", "id as batch")
+    texts = spark.createDataFrame([(1, base), (2, base + " more"), (3, "short"), (4, base.upper()), (5, base.replace("word0", "x"))], "id long, content string")
 
     def ingest(ids):
-        h = history.History(spark, f"file://{tmp_path}/index")
-        return [r[0] for r in h.ingest(h.sign(texts.where(f"id in ({ids})")), batch_of, texts).collect()]
-
-    assert ingest("1") == [] and sorted(ingest("2, 3")) == [2] and ingest("4") == [4]
+        h = history.History(spark, f"file://{tmp_path}/index", bucket_rows=4, fan=2)
+        part = texts.where(f"id in ({ids})")
+        signed = h.sign(part)
+        return [r[0] for r in h.ingest(signed.withColumn("batch", signed["id"]), part).collect()]
+
+    assert ingest("1") == [] and sorted(ingest("2, 3")) == [2] and ingest("4") == [4] and ingest("5") == [5]
+    # what an ingest left behind before it was committed does not count
+    (tmp_path / "index" / "state.json").unlink()
+    assert ingest("1") == [] and ingest("5") == [5]
+
+
+def test_an_ingest_reads_the_buckets_of_its_batch(spark):
+    h = history.History(spark, bucket_rows=64)
+    texts = spark.createDataFrame([(i, " ".join(f"w{i}_{k}" for k in range(14))) for i in range(400)] + [(500, " ".join(f"w7_{k}" for k in range(14)))], "id long, content string")
+    for part in (texts.where("id < 400"), texts.where("id = 500")):
+        signed = h.sign(part)
+        cases = h.ingest(signed.withColumn("batch", signed["id"]), part)
+    assert [r[0] for r in cases.collect()] == [500]
+    segments = h.shelves["postings"].segments
+    assert segments[0][1] >= 16
+    near = h.shelves["postings"].near(spark.createDataFrame([(5,), (5 + segments[0][1],)], "slot int"))
+    assert 0 < near.count() < segments[0][2] / 4
 
 
 def test_empty_tables(spark):

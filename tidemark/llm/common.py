@@ -6,14 +6,12 @@ are harmless.  A row without an id takes no part.
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.operators.staging import shared_dir, staged
+from tidemark.operators.staging import new_folder, staged
 
-__all__ = ["expand", "letter_key", "new_folder", "only", "shared_dir", "staged", "table", "tag_set", "words"]
+__all__ = ["expand", "letter_key", "new_folder", "staged", "table", "tag_set", "words"]
 
 #: Java regex for what separates words (letters, digits and ``_`` of any script are words).
 NOT_WORD = r"[^\p{L}\p{N}_]+"
@@ -23,33 +21,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def new_folder(spark: SparkSession, name: str) -> str:
-    """A fresh folder below the shared one, deleted when the driver's JVM ends."""
-    where = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    path = spark._jvm.org.apache.hadoop.fs.Path(where)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
-    return where
-
-
 def words(content: Column) -> Column:
     """The words of a text in order, lower-cased; null gives no words."""
     split = F.split(F.lower(F.coalesce(content, F.lit(""))), NOT_WORD)
     return F.filter(split, lambda w: w != "")
 
 
-#: Most keys that are ever broadcast (8 bytes each and the hash table about them: some 32 MB).
-BROADCAST_KEYS = 500_000
-
-
-def only(rows: DataFrame, keys: DataFrame, key: str) -> DataFrame:
-    """The rows whose key is among the keys (a long column).  The keys are counted first: up to
-    BROADCAST_KEYS are broadcast, so that rows are dropped before any shuffle; more are joined by shuffle."""
-    keys = staged(keys.select(key).distinct(), "keys")
-    if keys.count() <= BROADCAST_KEYS:
-        keys = F.broadcast(keys)
-    return rows.join(keys, key, "left_semi")
-
-
 def letter_key(text: Column) -> Column:
     """Letters and digits only, lower-cased."""
     return F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", "")

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import staged
-from tidemark.llm.signatures import stripped
+from tidemark.operators.signatures import stripped
 
 MIN_KEY_LENGTH = 20
 

@@ -1,24 +1,30 @@
 """Deduplicating new batches against all history with an incremental inverted index.
 
-The index of everything seen so far is a folder of the shared file system:
-
-  postings/  (word, rep, n, pos, bitmap): the rare-first prefix words of each distinct word set, in files by word
-             bucket; of the sets of rejected rows too, which `rejected` takes out of every answer
-  keys/      letter keys of accepted rows
-  rejected/  sets all of whose rows were rejected
-  order/     the global word order, fixed by the first batch set
-
-An ingest takes any number of whole batches.  It probes the index with their prefixes (equal word, length
-and bit bounds), verifies the overlap of the candidates on their texts, and then
-decides row by row in batch order: a row is a case if an accepted row of an earlier batch has its letter
-key or nearly its words.  Rows that have no earlier partner at all are accepted at once; the others
-are settled in rounds, each of which settles at least the earliest open batch of every group.  State is kept by
-group (letter key, word set), never by pair of rows, so a group that holds a third of the log is as
-cheap as any other.  Last, it appends postings and keys.  Of history only the postings and the texts of candidates are read.
+The index of everything accepted so far is a folder of the shared file system with three shelves:
+
+  postings  (slot = word, rep, n, pos, bitmap, wide): the rare-first prefix words of each distinct word set
+  keys      (slot, key): letter keys of accepted rows
+  texts     (slot, rep, content): the text of each distinct word set, for verification
+
+and the word order, counted once, over the first rows that came in.  Every ingest appends one segment to each shelf.  A segment
+is split by slot into buckets of about BUCKET_ROWS rows, so an ingest reads only the buckets its own words, keys and candidates
+fall in: what it reads depends on the batch, not on the length of the history.  FAN segments of one size class are merged
+into one with more buckets, so there are few segments and each row is rewritten a logarithmic number of times.
+The list of segments is a file written last; what an ingest that failed left behind is not in it and gets overwritten.
+
+An ingest takes any number of whole batches.  Three joins make the candidates: new sets among themselves, and new prefixes
+against the old postings, of which the shorter set must be met in its short prefix; old postings never meet old ones.  Size,
+place and bit bounds act in the join, the rest is verified on the texts.  Then rows are decided in batch
+order: a row is a case if an accepted row of an earlier batch has its letter key or nearly its words.  Rows with
+an accepted partner in the index are cases at once, rows without any partner are accepted at once; the others are
+settled in rounds, each of which settles at least the earliest open batch of every group.  State is kept by group (letter key,
+word set), never by pair of rows, so a group that holds a third of the log is as cheap as any other.
 """
 
 from __future__ import annotations
 
+import json
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -27,14 +33,15 @@ from pyspark.sql.window import Window
 
 from tidemark.llm.common import new_folder, staged
 from tidemark.llm.neardup import DEN, MIN_WORDS, NUM, verified
-from tidemark.llm.signatures import CLASS, SIGNED, classes, may_overlap, signer, word_counts
+from tidemark.operators.signatures import CELLS, CLASS, POSTED, SIGNED, classes, may_overlap, short, signer, word_counts
 
 MIN_KEY_LENGTH = 20
-BUCKETS = 16
+BUCKET_ROWS = 1 << 20
+FAN = 8
 #: Into how many consecutive portions a whole log is fed.
-PORTIONS = 2
-#: Up to so many late rows of a portion are named in its filter; more are joined.
-FEW = 500
+PORTIONS = 4
+#: After so many rounds the decisions so far are summed up in one table.
+ROUNDS_HELD = 4
 
 
 def batches(log: DataFrame) -> DataFrame:
@@ -46,106 +53,183 @@ def batches(log: DataFrame) -> DataFrame:
     return rows.where(~alone).join(starts, "session").select("id", "batch").unionByName(rows.where(alone).select("id", F.col("id").alias("batch")))
 
 
+class Shelf:
+    """One table of the index, in segments [name, buckets, rows]; every row has an integer slot."""
+
+    def __init__(self, spark: SparkSession, folder: str, segments: list, bucket_rows: int, fan: int):
+        self.spark, self.folder, self.segments, self.bucket_rows, self.fan = spark, folder, segments, bucket_rows, fan
+
+    def near(self, slots: DataFrame) -> DataFrame | None:
+        """The rows of the buckets in which any of the slots (a column slot) lies; None where nothing was ever appended."""
+        if not self.segments:
+            return None
+        finest = max(b for _, b, _ in self.segments)
+        touched = None
+        if finest > 1:  # at most one number for each bucket of the index
+            touched = [r[0] for r in slots.select(F.expr(f"slot & {finest - 1}").alias("b")).distinct().collect()]
+        out = None
+        for name, buckets, _ in self.segments:
+            rows = self.spark.read.parquet(f"{self.folder}/{name}")
+            if touched is not None and buckets > 1:
+                rows = rows.where(F.col("bucket").isin(sorted({t & (buckets - 1) for t in touched})))
+            rows = rows.drop("bucket")
+            out = rows if out is None else out.unionByName(rows)
+        return out
+
+    def _write(self, rows: DataFrame, name: str, expected: int | None) -> None:
+        buckets = 1
+        while expected and buckets * self.bucket_rows < expected:
+            buckets *= 2
+        rows = rows.withColumn("bucket", F.expr(f"slot & {buckets - 1}"))
+        if buckets > 1:
+            rows = rows.hint("rebalance", F.col("bucket"))
+        rows.sortWithinPartitions("bucket", "slot").write.mode("overwrite").option("compression", "zstd").partitionBy("bucket").parquet(f"{self.folder}/{name}")
+        n = self.spark.read.schema(rows.schema).parquet(f"{self.folder}/{name}").count()  # from the footers
+        if n:
+            self.segments.append([name, buckets, n])
+
+    def append(self, rows: DataFrame, number: int, most: int) -> None:
+        """Append rows as a segment; `most` is a bound on their number.  Segments of one size class are merged when there
+        are `fan` of them."""
+        self._write(rows, f"{number:06d}", most)
+        merged = 0
+        while len(last := self.segments[-self.fan :]) == self.fan and max(s[2] for s in last) <= self.fan * min(s[2] for s in last):
+            rows = None
+            for name, _, _ in last:
+                part = self.spark.read.parquet(f"{self.folder}/{name}").drop("bucket")
+                rows = part if rows is None else rows.unionByName(part)
+            del self.segments[-self.fan :]
+            merged += 1
+            self._write(rows, f"{number:06d}-{merged}", sum(s[2] for s in last))
+
+
 class History:
     """The index, new or opened again by its folder."""
 
-    def __init__(self, spark: SparkSession, folder: str | None = None, min_words: int = MIN_WORDS, num: int = NUM, den: int = DEN):
+    def __init__(self, spark: SparkSession, folder: str | None = None, min_words: int = MIN_WORDS, num: int = NUM, den: int = DEN, bucket_rows: int = BUCKET_ROWS, fan: int = FAN):
         self.spark, self.folder = spark, folder or new_folder(spark, "history")
         self.min_words, self.num, self.den = min_words, num, den
         self._order = None
+        self._fs = spark._jvm.org.apache.hadoop.fs.Path(self.folder).getFileSystem(spark._jsc.hadoopConfiguration())
+        state = self._read("state.json") or {"ingests": 0, "shelves": {}}
+        self.ingests, self.rounds = state["ingests"], 0
+        self.shelves = {name: Shelf(spark, f"{self.folder}/{name}", state["shelves"].get(name, []), bucket_rows, fan) for name in ("postings", "keys", "texts")}
 
-    def _exists(self, name: str) -> bool:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}")
-        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path)
+    def _path(self, name: str):
+        return self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}")
 
-    def _table(self, name: str) -> DataFrame | None:
-        return self.spark.read.parquet(f"{self.folder}/{name}") if self._exists(name) else None
+    def _read(self, name: str) -> dict | None:
+        if not self._fs.exists(self._path(name)):
+            return None
+        lines = self.spark.read.text(f"{self.folder}/{name}").collect()  # one line
+        return json.loads(lines[0][0])
 
-    def _append(self, df: DataFrame, name: str, *by: str) -> None:
-        df.write.mode("append").option("compression", "zstd").partitionBy(*by).parquet(f"{self.folder}/{name}")
+    def _commit(self) -> None:
+        """The list of segments takes the place of the one before in one step; only then are merged segments deleted."""
+        self.ingests += 1
+        new, old = self._path("state.new"), self._path("state.json")
+        out = self._fs.create(new, True)
+        out.write(bytearray(json.dumps({"ingests": self.ingests, "shelves": {n: s.segments for n, s in self.shelves.items()}}).encode()))
+        out.close()
+        self._fs.delete(old, False)
+        self._fs.rename(new, old)
+        for name, shelf in self.shelves.items():
+            if self._fs.exists(self._path(name)):
+                for status in self._fs.listStatus(self._path(name)):
+                    if status.getPath().getName() not in {s[0] for s in shelf.segments}:
+                        self._fs.delete(status.getPath(), True)
 
-    def _ranks(self, texts: DataFrame):
-        """The word order: counted once, over the first rows that come in, and kept with the index."""
+    def ranks(self, texts: DataFrame):
+        """The word order: counted over the rows given when the index is new, and kept with it."""
         if self._order is None:
-            if self._exists("order"):
-                counts = np.asarray(self._table("order").orderBy("cell").toArrow()["n"]).astype(np.int32)
+            if self._fs.exists(self._path("order/_SUCCESS")):
+                table = self.spark.read.parquet(f"{self.folder}/order").toArrow()  # at most CELLS rows
+                counts = np.zeros(CELLS, np.int32)
+                counts[np.asarray(table["cell"])] = np.asarray(table["n"])
             else:
                 counts = word_counts(texts, self.min_words)
-                self._append(self.spark.createDataFrame(pa.table({"cell": np.arange(len(counts)), "n": counts})).coalesce(1), "order")
+                cells = np.flatnonzero(counts)
+                self.spark.createDataFrame(pa.table({"cell": cells, "n": counts[cells]})).coalesce(1).write.mode("overwrite").parquet(f"{self.folder}/order")
             self._order = self.spark.sparkContext.broadcast(counts)
         return self._order
 
-    def sign(self, rows: DataFrame) -> DataFrame:
-        """Signatures and letter keys of rows (id, content); of these alone all later steps are made."""
+    def sign(self, rows: DataFrame, first: DataFrame | None = None) -> DataFrame:
+        """Signatures and letter keys of rows (id, content), lazily; of these alone most later steps are made.  `first`: the rows
+        over which a new index counts its word order, those to be signed where not given."""
         rows = rows.select(F.col("id").cast("long"), F.col("content").cast("string"))
-        run = signer(self._ranks(rows), self.num, self.den, self.min_words, min_key=MIN_KEY_LENGTH)
-        return staged(rows.mapInArrow(run, f"{SIGNED}, key binary"), "signed")
+        run = signer(self.ranks(rows if first is None else first), self.num, self.den, self.min_words, min_key=MIN_KEY_LENGTH)
+        return rows.mapInArrow(run, f"{SIGNED}, key binary")
 
-    def ingest(self, signed: DataFrame, batch_of: DataFrame, texts: DataFrame) -> DataFrame:
-        """Decide signed rows of whole batches, all later than those before.
+    def ingest(self, signed: DataFrame, texts: DataFrame) -> DataFrame:
+        """Decide signed rows (those of sign() and batch) of whole batches, all later than those before.
 
-        batch_of: (id, batch); texts: (id, content), the log, in which the texts of candidates are looked up.
-        Returns (line_num) of the cases; all other rows are accepted, those with null or short content
-        (no letter key of 20 characters, under 12 words) always.
+        texts: (id, content) of these rows at least.  Returns (line_num) of the cases; all other rows are accepted, those
+        with null or short content (no letter key of 20 characters, under 12 words) always.
         """
-        num, den = self.num, self.den
-        known, known_keys, rejected = self._table("postings"), self._table("keys"), self._table("rejected")
+        num, den, shelves = self.num, self.den, self.shelves
         sets = staged(classes(signed.where("n > 0")), "sets")
-        posted = sets.select("rep", "n", "bitmap", F.posexplode("prefix").alias("pos", "word")).withColumn("old", F.lit(False))
-        every = posted
+        posted = sets.select("rep", "n", "bitmap", "wide", F.posexplode("prefix").alias("pos", "slot"))
+        a, b = posted.where(short("n", "pos", num, den)).alias("a"), posted.alias("b")
+        new = F.expr(f"a.slot = b.slot and (a.n < b.n or a.rep < b.rep) and {may_overlap(num, den)}")
+        pairs = a.join(b, new).selectExpr("least(a.rep, b.rep) as id_a", "greatest(a.rep, b.rep) as id_b", "false as old")
+        known = shelves["postings"].near(posted)
         if known is not None:
-            known = known.drop("bucket")
-            if rejected is not None:
-                known = known.join(rejected, "rep", "left_anti")
-            every = posted.unionByName(known.withColumn("old", F.lit(True)))
-        short = every.where(f"pos <= n - (({2 * num} * n + {num + den - 1}) div {num + den})")
-        met = f"a.word = b.word and not (a.old and b.old) and (a.n < b.n or a.old <> b.old or a.rep < b.rep) and {may_overlap(num, den)}"
-        pairs = short.alias("a").join(every.alias("b"), F.expr(met)).selectExpr("least(a.rep, b.rep) as id_a", "greatest(a.rep, b.rep) as id_b")
-        links = staged(verified(pairs.distinct(), texts, num, den), "links")
-
-        rows = self._candidates(signed, sets, links, known_keys)
-        rows = staged(rows.join(batch_of, "id"), "rows")
-        cases = self._settle(rows, links, known_keys)
-
-        self._append(posted.drop("old").withColumn("bucket", F.expr(f"pmod(word, {BUCKETS})")), "postings", "bucket")
-        self._append(signed.where("key is not null").join(cases, "id", "left_anti").select("key").distinct(), "keys")
+            # the smaller set is met in its short prefix, whichever of the two it is
+            ours, theirs = posted.where(short("n", "pos", num, den)), known.where(short("n", "pos", num, den))
+            pairs = pairs.unionByName(
+                ours.alias("a").join(known.alias("b"), F.expr(f"a.slot = b.slot and {may_overlap(num, den)}")).selectExpr("a.rep as id_a", "b.rep as id_b", "true as old")
+            ).unionByName(
+                theirs.alias("a").join(posted.alias("b"), F.expr(f"a.slot = b.slot and a.n < b.n and {may_overlap(num, den)}")).selectExpr("b.rep as id_a", "a.rep as id_b", "true as old")
+            )
+        pairs = staged(pairs.distinct(), "candidates")
+        texts = texts.select(F.col("id").cast("long"), F.col("content").cast("string"))
+        stored = shelves["texts"].near(pairs.where("old").selectExpr("cast(hash(id_b) as int) as slot"))
+        links = staged(verified(pairs, texts, num, den, stored), "links")
+
+        rows = staged(self._candidates(signed, sets, links), "rows")
+        cases = self._settle(rows, links.where("not old"))
+
         good = rows.join(cases, "id", "left_anti").where("rep is not null").select("rep")
         # a case without a rep among the candidates (by its letter key alone) is the only row of its set, so its id is the rep
-        bad = rows.join(cases, "id", "left_semi").select(F.coalesce("rep", "id").alias("rep")).distinct()
-        self._append(bad.join(good, "rep", "left_anti"), "rejected")
+        bad = staged(rows.join(cases, "id", "left_semi").select(F.coalesce("rep", "id").alias("rep")).distinct().join(good, "rep", "left_anti"), "bad")
+        kept = sets.join(bad, "rep", "left_anti")
+        most = signed.agg(F.count("*"), F.sum(F.size("prefix"))).first()
+        shelves["postings"].append(kept.select("rep", "n", "bitmap", "wide", F.posexplode("prefix").alias("pos", "slot")).select("slot", *POSTED), self.ingests, most[1] or 0)
+        keys = signed.where("key is not null").join(cases, "id", "left_anti").select("key").distinct()
+        shelves["keys"].append(keys.select(F.hash("key").alias("slot"), "key"), self.ingests, most[0])
+        contents = texts.join(kept.select(F.col("rep").alias("id")), "id").select(F.hash("id").alias("slot"), F.col("id").alias("rep"), "content")
+        shelves["texts"].append(contents, self.ingests, most[0])
+        self._commit()
         return cases.select(F.col("id").alias("line_num"))
 
-    def _candidates(self, signed: DataFrame, sets: DataFrame, links: DataFrame, known_keys: DataFrame | None) -> DataFrame:
-        """(id, key, rep) of the rows that may have a partner: of a letter key or a word set that comes more
-        than once, is linked, or is known.  key and rep are null where they lead nowhere."""
-        linked = links.selectExpr("explode(array(id_a, id_b)) as rep").distinct().withColumn("linked", F.lit(True))
-        of_set = sets.select(*CLASS, "rep", "members").join(linked, "rep", "left").where("members > 1 or linked")
-        by_set = signed.select("id", *CLASS).join(of_set, CLASS).select("id", "rep")
-        keys = signed.where("key is not null").select("key")
-        often = keys.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
-        if known_keys is not None:
-            often = often.unionByName(keys.join(known_keys, "key", "left_semi")).distinct()
-        by_key = signed.where("key is not null").select("id", "key").join(often, "key", "left_semi").select("id", "key")
-        return by_set.join(by_key, "id", "full_outer").select("id", "key", "rep")
-
-    def _settle(self, rows: DataFrame, links: DataFrame, known_keys: DataFrame | None) -> DataFrame:
-        """(id) of the cases among rows (id, batch, key, rep)."""
-        both = links.selectExpr("id_a as rep", "id_b as other").unionByName(links.selectExpr("id_b as rep", "id_a as other"))
-        ours = rows.where("rep is not null").select(F.col("rep").alias("other")).distinct()
-        # a link to a set that isn't among these rows leads to an accepted row of an earlier batch
-        inside = both.join(ours, "other", "left_semi")
-        outside = both.join(ours, "other", "left_anti").select("rep").distinct()
-        old = rows.join(outside, "rep", "left_semi").select("id")
-        if known_keys is not None:
-            old = old.unionByName(rows.join(known_keys, "key", "left_semi").select("id"))
-        old = staged(old.distinct(), "old")
+    def _candidates(self, signed: DataFrame, sets: DataFrame, links: DataFrame) -> DataFrame:
+        """(id, batch, key, rep, old) of the rows that may have a partner: of a letter key or a word set that comes more
+        than once, is linked, or is known.  key and rep are null where they lead nowhere; old tells of a partner in the index."""
+        ends = links.selectExpr("id_a as rep", "old").unionByName(links.where("not old").selectExpr("id_b as rep", "old"))
+        linked = ends.groupBy("rep").agg(F.max("old").alias("old"))
+        of_set = sets.select(*CLASS, "rep", "members").join(linked, "rep", "left").where("members > 1 or old is not null").select(*CLASS, "rep", "old")
+        by_set = signed.where("n > 0").select("id", "batch", *CLASS).join(of_set, CLASS).select("id", "batch", "rep", F.col("old").alias("old_set"))
+        keys = signed.where("key is not null").select("id", "batch", "key")
+        often = keys.groupBy("key").agg(F.count("*").alias("c"))
+        known = self.shelves["keys"].near(keys.select(F.hash("key").alias("slot")))
+        if known is None:
+            often = often.where("c > 1").select("key", F.lit(False).alias("old_key"))
+        else:
+            often = often.join(known.select("key", F.lit(True).alias("known")), "key", "left").where("c > 1 or known").select("key", F.coalesce("known", F.lit(False)).alias("old_key"))
+        by_key = keys.join(often, "key")
+        both = by_set.join(by_key, ["id", "batch"], "full_outer")
+        return both.select("id", "batch", "key", "rep", F.expr("coalesce(old_set, false) or coalesce(old_key, false)").alias("old"))
 
+    def _settle(self, rows: DataFrame, links: DataFrame) -> DataFrame:
+        """(id) of the cases among rows (id, batch, key, rep, old)."""
+        both = links.selectExpr("id_a as rep", "id_b as other").unionByName(links.selectExpr("id_b as rep", "id_a as other"))
         # (id, batch, group, own): the groups each row is in (own) or is linked to
-        fresh = rows.join(old, "id", "left_anti")
-        watched = fresh.join(inside, "rep").select("id", "batch", _set_group("other").alias("group"), F.lit(False).alias("own"))
+        fresh = rows.where("not old")
+        watched = fresh.join(both, "rep").select("id", "batch", _set_group("other").alias("group"), F.lit(False).alias("own"))
         watch = _groups(fresh).withColumn("own", F.lit(True)).unionByName(watched)
-        taken, cases = None, [old]
-        while True:
+        taken, cases, open_rows = None, rows.where("old").select("id"), True
+        while open_rows:
+            self.rounds += 1
             # one table a round: every row of the open groups with its decision, null where it must wait
             waiting = watch.where("own").groupBy("group").agg(F.min("batch").alias("waits"))
             seen = watch.join(waiting, "group", "left")
@@ -156,16 +240,14 @@ class History:
             each = Window.partitionBy("id")
             state = seen.select("id", "batch", "group", "own", F.min("waits").over(each).alias("waits"), F.min("taken").over(each).alias("taken"))
             decided = staged(state.selectExpr("id", "batch", "group", "own", "case when taken < batch then true when waits >= batch then false end as is_case"), "round")
-            cases.append(decided.where("is_case").select("id"))
+            watch = decided.where("is_case is null").drop("is_case")
+            open_rows = not watch.isEmpty()
+            cases = cases.unionByName(decided.where("is_case").select("id"))
             fixed = decided.where("own and not is_case").select("group", "batch")
             taken = fixed if taken is None else taken.unionByName(fixed)
-            watch = decided.where("is_case is null").drop("is_case")
-            if not watch.limit(1).count():
-                break
-        out = cases[0]
-        for c in cases[1:]:
-            out = out.unionByName(c)
-        return staged(out.distinct(), "cases")
+            if self.rounds % ROUNDS_HELD == 0 and open_rows:
+                taken, cases = staged(taken.groupBy("group").agg(F.min("batch").alias("batch")), "taken"), staged(cases.distinct(), "cases")
+        return staged(cases.distinct(), "cases")
 
 
 def _set_group(rep: str) -> Column:
@@ -177,31 +259,29 @@ def _groups(rows: DataFrame) -> DataFrame:
     return rows.select("id", "batch", F.explode(F.array_compact(F.array("key", _set_group("rep")))).alias("group"))
 
 
-def found(log: DataFrame, portions: int = PORTIONS) -> DataFrame:
+def found(log: DataFrame, portions: int = PORTIONS, bucket_rows: int = BUCKET_ROWS, fan: int = FAN) -> DataFrame:
     """(line_num) of the rows the log had already accepted earlier, exactly or nearly.
 
     The log is fed to a new index in consecutive portions of whole batches; their number changes nothing in
-    the result.
+    the result.  The word order is that of the rows before the first cut alone.  A row is signed without regard to others, so
+    all rows are signed in one pass, and written by portion.
     """
     texts = log.select(F.col("line_num").cast("long").alias("id"), F.col("content").cast("string").alias("content")).where("id is not null")
-    batch_of = staged(batches(log), "batches")
-    at = [i / portions for i in range(1, portions)]
-    cuts = (at and batch_of.select(F.percentile_approx("batch", at, 1000).alias("c")).first()["c"]) or []
-    history = History(log.sparkSession)
-    signed = history.sign(texts)
-    out, rest = None, signed
-    for cut in [*sorted(set(cuts)), None]:
-        part = rest
-        if cut is not None:
-            # a batch is never later than its rows: beyond the cut only late rows of earlier batches belong here
-            late = staged(batch_of.where(F.col("id") > cut).where(F.col("batch") <= cut).select("id"), "late")
-            few = [r["id"] for r in late.limit(FEW + 1).collect()]
-            if len(few) <= FEW:
-                is_late = F.col("id").isin(few) if few else F.lit(False)
-                part, rest = rest.where((F.col("id") <= cut) | is_late), rest.where((F.col("id") > cut) & ~is_late)
-            else:
-                part = rest.where(F.col("id") <= cut).unionByName(rest.where(F.col("id") > cut).join(late, "id", "left_semi"))
-                rest = rest.where(F.col("id") > cut).join(late, "id", "left_anti")
-        cases = history.ingest(part, batch_of, texts)
+    batch_of = batches(log)
+    cuts = []
+    if portions > 1:
+        cuts = batch_of.select(F.percentile_approx("batch", [i / portions for i in range(1, portions)], 1000).alias("c")).first()["c"] or []
+    cuts = sorted(set(cuts))
+    history = History(log.sparkSession, bucket_rows=bucket_rows, fan=fan)
+    signed = history.sign(texts, texts.where(F.col("id") <= cuts[0]) if cuts else None)
+    portion = F.expr("0")
+    for cut in cuts:
+        portion = portion + (F.col("batch") > cut).cast("int")
+    signed = staged(signed.join(batch_of, "id").withColumn("portion", portion), "signed", "portion")
+    span = {r[0]: r for r in signed.groupBy("portion").agg(F.min("id"), F.max("id")).collect()}  # a row for each portion
+    out = None
+    for k in sorted(span):
+        _, low, high = span[k]
+        cases = history.ingest(signed.where(F.col("portion") == k).drop("portion"), texts.where(F.col("id").between(low, high)))
         out = cases if out is None else out.unionByName(cases)
-    return out.distinct()
+    return out if out is not None else texts.select(F.col("id").alias("line_num"))

@@ -12,26 +12,32 @@ Large tiles are sort-merge joined, which AQE splits by skew.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import expand, only, staged, words
-from tidemark.llm.signatures import CLASS, SIGNED, classes, may_overlap, needed, postings, signer, word_counts
+from tidemark.llm.common import expand, staged, words
+from tidemark.operators.signatures import CLASS, SIGNED, classes, may_overlap, needed, postings, signer, word_counts
 
 MIN_WORDS = 12
 NUM, DEN = 8, 10
 
 
-def verified(pairs: DataFrame, texts: DataFrame, num: int = NUM, den: int = DEN) -> DataFrame:
-    """The pairs (id_a, id_b) whose texts (id, content) share num / den of their distinct words."""
-    pairs = staged(pairs, "candidates")
-    bag = only(texts.select("id", "content"), pairs.selectExpr("explode(array(id_a, id_b)) as id"), "id")
-    a = bag.select(F.col("id").alias("id_a"), F.col("content").alias("content_a"))
-    b = bag.select(F.col("id").alias("id_b"), F.col("content").alias("content_b"))
+def verified(pairs: DataFrame, texts: DataFrame, num: int = NUM, den: int = DEN, other: DataFrame | None = None) -> DataFrame:
+    """The pairs (id_a, id_b, ...) whose texts (id, content) share num / den of their distinct words, by an intersection of
+    the sorted words.  Only the texts of candidates are moved.  other: (rep, content), the texts of the second one where a
+    column old says so."""
+    a = texts.join(pairs.selectExpr("id_a as id").distinct(), "id", "left_semi").select(F.col("id").alias("id_a"), _sorted_words("content").alias("words_a"))
+    own = pairs if other is None else pairs.where("not old")
+    b = texts.join(own.selectExpr("id_b as id").distinct(), "id", "left_semi").select(F.col("id").alias("id_b"), _sorted_words("content").alias("words_b"))
+    if other is not None:
+        more = other.withColumnRenamed("rep", "id_b").join(pairs.where("old").select("id_b").distinct(), "id_b", "left_semi")
+        b = b.unionByName(more.select("id_b", _sorted_words("content").alias("words_b")))
     both = pairs.join(a, "id_a").join(b, "id_b")
-    sets = both.select("id_a", "id_b", F.array_distinct(words(F.col("content_a"))).alias("wa"), F.array_distinct(words(F.col("content_b"))).alias("wb"))
-    common = sets.select("id_a", "id_b", F.size("wa").alias("na"), F.size("wb").alias("nb"), F.size(F.array_intersect("wa", "wb")).alias("common"))
-    return common.where(f"common >= {needed('na', 'nb', num, den)}").select("id_a", "id_b")
+    return both.where(f"size(array_intersect(words_a, words_b)) >= {needed('size(words_a)', 'size(words_b)', num, den)}").select(*pairs.columns)
+
+
+def _sorted_words(content: str) -> Column:
+    return F.array_sort(F.array_distinct(words(F.col(content))))
 
 
 def near_classes(rows: DataFrame, min_words: int = MIN_WORDS, num: int = NUM, den: int = DEN) -> tuple[DataFrame, DataFrame]:
@@ -53,7 +59,7 @@ def near_classes(rows: DataFrame, min_words: int = MIN_WORDS, num: int = NUM, de
         .selectExpr("least(a.rep, b.rep) as id_a", "greatest(a.rep, b.rep) as id_b")
         .distinct()
     )
-    links = staged(verified(pairs, rows, num, den).selectExpr("id_a as rep_a", "id_b as rep_b"), "links")
+    links = staged(verified(staged(pairs, "candidates"), rows, num, den).selectExpr("id_a as rep_a", "id_b as rep_b"), "links")
     rows_of = signed.select("id", *CLASS).join(groups.select(*CLASS, "rep", "members"), CLASS).select("id", "rep", "members")
     return rows_of, links
 

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import expand, staged, tag_set
-from tidemark.llm.signatures import needed
+from tidemark.operators.signatures import needed
 
 MIN_MEMBERS = 6
 NUM, DEN = 6, 10
