@@ -23,7 +23,7 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p1_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return twopoisson.beside_stale(table(spark, sf_dir, "memory_log"), table(spark, sf_dir, "idf_weights"))
+    return twopoisson.beside_stale(table(spark, sf_dir, "memory_log"), table(spark, sf_dir, "idf_weights"), table(spark, sf_dir, "entry_cache"))
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -79,6 +79,10 @@ def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.shares(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))
 
 
+def p8_marginals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.marginals(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))
+
+
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.found(table(spark, sf_dir, "documents"), table(spark, sf_dir, "team_roster"))
 

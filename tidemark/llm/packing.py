@@ -7,7 +7,7 @@ For a capacity C
   3. the smaller items, largest first, go to the container with the smallest gap they fit in; where there is none a
      new container is opened.
 
-Documents are dealt to shards by hash, each of at most about SHARD documents, and a shard is packed by one
+Documents are dealt to shards by hash, each of about SHARD documents (a parameter), and a shard is packed by one
 task; all that sharding costs is a few containers at the end of each shard.  Gaps and items are kept
 by size, so a shard is packed in time linear in its items.
 """
@@ -107,7 +107,7 @@ def containers(documents: DataFrame, sizes: DataFrame, vocabulary: str = VOCABUL
     Kinds are a short list of settings, of which each name counts once (its largest capacity).
     """
     kinds = sorted((r[0], r[1]) for r in sizes.where("container_kind is not null and capacity_tokens > 0").groupBy("container_kind").agg(F.max("capacity_tokens")).collect())
-    shards = max(1, -(-documents.count() // shard))
+    shards = max(1, -(-documents.where("doc_id is not null and text <> ''").count() // shard))
 
     def run(table: pa.Table) -> pa.Table:
         docs, sizes = table.column("doc_id").to_pylist(), table.column("n_tokens").to_pylist()

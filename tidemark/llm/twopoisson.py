@@ -25,7 +25,8 @@ from pyspark.sql.window import Window
 
 
 MIN_TERM = 3
-ITERATIONS = 60
+#: Rounds of EM at most; a mixture of which no parameter moves by more than CLOSE of itself stays as it is.
+ITERATIONS, CLOSE = 200, 1e-6
 #: Partial histograms a task holds before it hands them on.
 HELD = 400_000
 
@@ -70,7 +71,7 @@ def fit(k: np.ndarray, n: np.ndarray, start: np.ndarray, total: int, iterations:
     """Mixtures of many histograms at once.
 
     k, n: counts and how many records have them, histogram after histogram; start: where each begins.
-    Returns the elite share, the low rate and the high rate of each.
+    Returns the elite share, the low rate and the high rate of each; none depends on which others are fitted with it.
     """
     k = k.astype(float)
     n = n.astype(float)
@@ -83,15 +84,20 @@ def fit(k: np.ndarray, n: np.ndarray, start: np.ndarray, total: int, iterations:
     high = np.maximum(np.maximum.reduceat(k, start), mean + 1.0)
     low = np.maximum(mass / total * 0.5, 1e-9)
     share = np.clip(0.1 * df / total, 1e-12, 0.5)
+    moving = np.ones(len(start), bool)
     for _ in range(iterations):
         odds = np.log(share / (1 - share)) - (high - low)
         elite = 1 / (1 + np.exp(-np.clip(odds[owner] + k * np.log(high / low)[owner], -700, 700)))
         elite0 = 1 / (1 + np.exp(-np.clip(odds, -700, 700)))
         weight = np.add.reduceat(n * elite, start) + zero * elite0
-        share = np.clip(weight / total, 1e-12, 0.5)
-        high = np.maximum(np.add.reduceat(n * elite * k, start) / np.maximum(weight, 1e-300), 1e-6)
-        low = np.maximum((mass - np.add.reduceat(n * elite * k, start)) / np.maximum(total - weight, 1e-300), 1e-9)
-        high = np.maximum(high, low * 1.0001)
+        told = np.add.reduceat(n * elite * k, start)
+        new_low = np.maximum((mass - told) / np.maximum(total - weight, 1e-300), 1e-9)
+        new = np.clip(weight / total, 1e-12, 0.5), new_low, np.maximum(np.maximum(told / np.maximum(weight, 1e-300), 1e-6), new_low * 1.0001)
+        still = moving & np.any([np.abs(x - y) > CLOSE * np.abs(y) for x, y in zip(new, (share, low, high))], axis=0)
+        share, low, high = (np.where(moving, x, y) for x, y in zip(new, (share, low, high)))
+        moving = still
+        if not moving.any():
+            break
     return share, low, high
 
 
@@ -166,8 +172,11 @@ def found(log: DataFrame) -> DataFrame:
     return ranked.where("place = 1").select(F.col("id").alias("line_num"), "term")
 
 
-def beside_stale(log: DataFrame, weights: DataFrame) -> DataFrame:
-    """Every term of every row with its score, and the weight an older snapshot gives it (null where it
-    has none): (line_num, term, k, score, stale_weight)."""
+def beside_stale(log: DataFrame, weights: DataFrame, cache: DataFrame) -> DataFrame:
+    """Every term of every row with its score, the weight an older snapshot gives it (null where it has none), and whether
+    the derived cache (line_num, tokens) has it among the row's tokens (null where the cache lacks the row):
+    (line_num, term, k, score, stale_weight, cached)."""
     old = weights.select(F.col("token").alias("term"), F.col("weight").cast("double").alias("stale_weight")).where("term is not null").groupBy("term").agg(F.max("stale_weight").alias("stale_weight"))
-    return scores(log_rows(log)).join(old, "term", "left").select(F.col("id").alias("line_num"), "term", "k", "score", "stale_weight")
+    held = cache.where("line_num is not null and tokens is not null").groupBy("line_num").agg(F.max("tokens").alias("tokens"))
+    scored = scores(log_rows(log)).join(old, "term", "left").select(F.col("id").alias("line_num"), "term", "k", "score", "stale_weight")
+    return scored.join(held, "line_num", "left").select("line_num", "term", "k", "score", "stale_weight", F.expr("array_contains(split(tokens, ' +'), term)").alias("cached"))
