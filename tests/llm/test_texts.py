@@ -40,7 +40,7 @@ def test_marking_terms(spark):
     rows = [*filler, (100, " Session_Checkpoint ", "Session: the cache of zorvex, the queue zorvex, zorvex again, cache lonely lonely lonely", None, None, None), (101, "x", "about zorvex", None, None, None), (102, "SESSION_CHECKPOINT", None, None, None, None), (103, "SESSION_CHECKPOINT", "", None, None, None)]
     log = spark.createDataFrame(rows, LOG)
     assert [(r[0], r[1]) for r in twopoisson.found(log).collect()] == [(100, "zorvex")]
-    scores = {(r["line_num"], r["term"]): r["score"] for r in twopoisson.beside_stale(log, spark.createDataFrame([("cache", 1.5), ("cache", 2.0), (None, 1.0)], "token string, weight double")).collect()}
+    scores = {(r["line_num"], r["term"]): r["score"] for r in twopoisson.beside_stale(log, spark.createDataFrame([("cache", 1.5), ("cache", 2.0), (None, 1.0)], "token string, weight double"), spark.createDataFrame([(100, "cache zorvex"), (1, None)], "line_num long, tokens string")).collect()}
     assert scores[(100, "zorvex")] > 10 * scores[(100, "the")]
     assert twopoisson.found(spark.createDataFrame([], LOG)).count() == 0
 
@@ -78,6 +78,18 @@ def test_copies_of_a_cut_text_do_not_vouch_for_each_other(spark):
     assert got == {1000 + 100 * k + i for k in range(2) for i in range(20)}
 
 
+def test_final_words_of_any_length():
+    assert cutoff._last_word("see " + "Ab" * 150 + " ``!!") == "ab" * 150 and cutoff._last_word("... !") == "" and cutoff._last_word("") == ""
+
+
+def test_bitmap_of_wanted_codes_is_sized_by_their_number(spark):
+    codes = spark.range(0, 20_000).selectExpr("xxhash64(id % 10000) as code")
+    wanted = cutoff._wanted(codes)
+    have = np.array([r[0] for r in codes.distinct().collect()], np.int64)
+    others = np.array([r[0] for r in spark.range(50_000, 60_000).selectExpr("xxhash64(id)").collect()], np.int64)
+    assert wanted.bits in (18, 19) and wanted.has(have).all() and wanted.has(others).mean() < 0.08
+
+
 @pytest.mark.parametrize("size", [5, 30, 31, 80])
 def test_ends_have_the_codes_that_are_counted(size):
     text = "It began. " + " ".join(f"w{i % 7}" for i in range(size))
@@ -137,6 +149,28 @@ def test_raking():
         assert np.bincount(g, w) / w.sum() == pytest.approx(t, abs=1e-6)
 
 
+def test_flattened_shares_move_the_raked_weights():
+    mass = np.array([900.0, 80.0, 20.0, 300.0, 300.0])
+    source, lang = np.array([0, 0, 0, 1, 1]), np.array([0, 1, 2, 0, 1])
+    share = np.array([0.4, 0.6])
+    target = mixing.flattened(mass, source, lang, share, 0.7)
+    alone = mass * (share / np.bincount(source, mass))[source]
+    weighed = mixing.rake(mass, [lang, source], [target, share]) * mass
+    assert np.bincount(source, weighed) / weighed.sum() == pytest.approx(share)
+    assert np.bincount(lang, weighed) / weighed.sum() == pytest.approx(target, abs=1e-6)
+    assert abs(target - np.bincount(lang, alone)).max() > 0.01 and target.sum() == pytest.approx(1)
+
+
+@needs_vocabulary
+def test_sources_with_suffixes_are_told_apart(spark):
+    docs = spark.createDataFrame([(i, "some words here", s, "en", "a", "x", "y") for i, s in enumerate(["x-a", "X-A ", "x-b", "x-b-old", "y", "other"] * 20)], DOCS)
+    targets = spark.createDataFrame([("x-a", 0.25, 1), ("X-a", 0.25, 1), ("x-b", 0.5, 2)], "source string, target_share double, max_repeats int")
+    shares = {r["source"]: r for r in mixing.shares(docs, targets).collect()}
+    assert set(shares) == {"x-a", "x-b"} and all(r["actual_share"] == pytest.approx(0.5, abs=0.02) and r["target_share"] == pytest.approx(0.5) for r in shares.values())
+    reached = {(r["axis"], r["value"]): r for r in mixing.marginals(docs, targets).collect()}
+    assert reached["lang", "en"]["actual_share"] == 1 and reached["source", "x-a"]["expected_share"] == pytest.approx(0.5)
+
+
 @needs_vocabulary
 def test_mixture(spark):
     rnd = random.Random(4)
@@ -200,6 +234,37 @@ def test_numbers_side_by_side(text, want):
     assert not re.search(r"\d", pii.replaced(text, spans))
 
 
+@pytest.mark.parametrize(
+    "text,want",
+    [
+        ("Raised by Priya Raman, thanks to Hannah Whitfield. Ms. Okafor Lindqvist said so.", ["name Priya Raman", "name Hannah Whitfield", "name Okafor Lindqvist"]),
+        ("then Ketzia Whitfield and Ada Okonkwo met; Redwood Cache, Grand Central and Ada Street stay", ["name Ketzia Whitfield", "name Ada Okonkwo"]),
+        ("Best regards,\nTomas Albrecht", ["name Tomas Albrecht"]),
+        ("Ring 555 one two three four or call double five five one two triple three", ["phone 555 one two three four", "phone double five five one two triple three"]),
+        ("one two three steps, 20 one two", []),
+        ("𝐚𝐧𝐧@𝐜𝐨𝐫𝐩.𝐨𝐫𝐠 and αnn@ехаmple.сom", ["email 𝐚𝐧𝐧@𝐜𝐨𝐫𝐩.𝐨𝐫𝐠", "email αnn@ехаmple.сom"]),
+        ("to " + "a.b" * 70 + "@example.org now", ["email " + "a.b" * 70 + "@example.org"]),
+        ("git@" + "host" * 30 + ".org:" + "path/" * 30 + "x.git", []),
+        ("passport number" + " " * 90 + ": X4241032", ["identity X4241032"]),
+        ("at " + "Lang" + "e" * 60 + "straße 12", ["address Lang" + "e" * 60 + "straße 12"]),
+        ("as ketzia" + "x" * 40 + " dunnaquist noted", ["name ketzia" + "x" * 40 + " dunnaquist"]),
+    ],
+)
+def test_items_without_a_fixed_distance(text, want):
+    spans = pii.detect(text, pii.Names(PEOPLE))
+    assert [f"{k} {text[s:e]}" for s, e, k in spans] == want
+
+
+def test_families_are_known_by_their_sequences():
+    names = pii.Names(PEOPLE)
+    assert names.is_family("Hexenvar") and names.is_family("dunnavar") and not names.is_family("variable") and not names.is_family("Whitfield")
+
+
+def test_many_items_are_kept_apart():
+    text = " ".join(f"a{i}@b.org and 415-555-{i:04d}" for i in range(3000))
+    assert len(pii.detect(text, pii.Names(PEOPLE))) == 6000
+
+
 @pytest.mark.parametrize("text", ["jane@example[.]com", "jane[@]example.com", "jane(@)example.com", "jane@example(.)com"])
 def test_bracketed_signs_alone_open_the_gate(text):
     source = f"Mail {text} today"

@@ -39,7 +39,7 @@ MIN_KEY_LENGTH = 20
 BUCKET_ROWS = 1 << 20
 FAN = 8
 #: Into how many consecutive portions a whole log is fed.
-PORTIONS = 4
+PORTIONS = 3
 #: After so many rounds the decisions so far are summed up in one table.
 ROUNDS_HELD = 4
 
@@ -174,13 +174,11 @@ class History:
         pairs = a.join(b, new).selectExpr("least(a.rep, b.rep) as id_a", "greatest(a.rep, b.rep) as id_b", "false as old")
         known = shelves["postings"].near(posted)
         if known is not None:
-            # the smaller set is met in its short prefix, whichever of the two it is
+            # the smaller set is met in its short prefix, whichever of the two it is; the history streams past hash tables of the batch
             ours, theirs = posted.where(short("n", "pos", num, den)), known.where(short("n", "pos", num, den))
-            pairs = pairs.unionByName(
-                ours.alias("a").join(known.alias("b"), F.expr(f"a.slot = b.slot and {may_overlap(num, den)}")).selectExpr("a.rep as id_a", "b.rep as id_b", "true as old")
-            ).unionByName(
-                theirs.alias("a").join(posted.alias("b"), F.expr(f"a.slot = b.slot and a.n < b.n and {may_overlap(num, den)}")).selectExpr("b.rep as id_a", "a.rep as id_b", "true as old")
-            )
+            ours = ours.alias("a").hint("shuffle_hash").join(known.alias("b"), F.expr(f"a.slot = b.slot and {may_overlap(num, den)}"))
+            theirs = theirs.alias("a").join(posted.alias("b").hint("shuffle_hash"), F.expr(f"a.slot = b.slot and a.n < b.n and {may_overlap(num, den)}"))
+            pairs = pairs.unionByName(ours.selectExpr("a.rep as id_a", "b.rep as id_b", "true as old")).unionByName(theirs.selectExpr("b.rep as id_a", "a.rep as id_b", "true as old"))
         pairs = staged(pairs.distinct(), "candidates")
         texts = texts.select(F.col("id").cast("long"), F.col("content").cast("string"))
         stored = shelves["texts"].near(pairs.where("old").selectExpr("cast(hash(id_b) as int) as slot"))

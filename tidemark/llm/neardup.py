@@ -26,13 +26,17 @@ def verified(pairs: DataFrame, texts: DataFrame, num: int = NUM, den: int = DEN,
     """The pairs (id_a, id_b, ...) whose texts (id, content) share num / den of their distinct words, by an intersection of
     the sorted words.  Only the texts of candidates are moved.  other: (rep, content), the texts of the second one where a
     column old says so."""
-    a = texts.join(pairs.selectExpr("id_a as id").distinct(), "id", "left_semi").select(F.col("id").alias("id_a"), _sorted_words("content").alias("words_a"))
-    own = pairs if other is None else pairs.where("not old")
-    b = texts.join(own.selectExpr("id_b as id").distinct(), "id", "left_semi").select(F.col("id").alias("id_b"), _sorted_words("content").alias("words_b"))
+    own = ["id_a", "id_b"] if other is None else ["id_a", "if(old, null, id_b)"]
+    ids = pairs.select(F.explode(F.expr(f"array_compact(array({', '.join(own)}))")).alias("id")).distinct()
+    bag = texts.join(ids, "id", "left_semi").select("id", _sorted_words("content").alias("words"))  # one exchange serves both sides
+    a = bag.select(F.col("id").alias("id_a"), F.col("words").alias("words_a"))
+    b = bag.select(F.col("id").alias("id_b"), F.col("words").alias("words_b"))
     if other is not None:
         more = other.withColumnRenamed("rep", "id_b").join(pairs.where("old").select("id_b").distinct(), "id_b", "left_semi")
-        b = b.unionByName(more.select("id_b", _sorted_words("content").alias("words_b")))
-    both = pairs.join(a, "id_a").join(b, "id_b")
+        more = pairs.where("old").join(a, "id_a").join(more.select("id_b", _sorted_words("content").alias("words_b")), "id_b")
+        both = pairs.where("not old").join(a, "id_a").join(b, "id_b").unionByName(more)
+    else:
+        both = pairs.join(a, "id_a").join(b, "id_b")
     return both.where(f"size(array_intersect(words_a, words_b)) >= {needed('size(words_a)', 'size(words_b)', num, den)}").select(*pairs.columns)
 
 

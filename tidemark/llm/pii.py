@@ -3,13 +3,18 @@
 A text passes through transducers that each keep, for every character they write, the source characters
 it stands for:
 
-  homoglyphs      letters of other scripts and full-width forms that look like ASCII, one for one
-  spelled digits  runs of five or more digit words become digits
+  homoglyphs      letters of other scripts that look like ASCII, and compatibility forms (full width, mathematical,
+                  circled), one for one
+  spelled digits  runs of digit words, also with "double" and "triple" and among figures, become digits
   at and dot      "(at)", "[dot]", " @ " and "x at y dot z" become signs
 
 Detectors run on the normalised text; their spans are mapped back, so what is reported and replaced is the
-source as written.  Names are known by a lexicon learned from the roster: given names, family names, and
-stems and endings that recombine into family names not on the roster.
+source as written.  Nothing is looked for within a fixed distance: items and what stands before them are followed to
+their ends, however long.
+
+Names are known by evidence for the two words of a pair: given and family names of the roster; words most of whose
+three-letter sequences are those of its family names; titles and other signs that a person is named; and for a family name
+never seen, a known given name before it.  A pair of unknown words without a sign is not taken for a name.
 
 The work is one pass over the documents in Arrow batches, whole texts, nothing is shuffled.
 """
@@ -17,6 +22,7 @@ The work is one pass over the documents in Arrow batches, whole texts, nothing i
 from __future__ import annotations
 
 import re
+import unicodedata
 from bisect import bisect_right
 from collections import defaultdict
 from collections.abc import Iterable, Iterator
@@ -27,9 +33,9 @@ from pyspark.sql import functions as F
 
 PLACEHOLDERS = {"email": "[EMAIL]", "phone": "[PHONE]", "identity": "[IDENTITY]", "address": "[ADDRESS]", "name": "[NAME]"}
 
-# --- fixed values ----------------------------------------------------------------------------------
 # Letters that look like ASCII ones: Cyrillic, Greek, then the dashes.
 _LOOK_ALIKES = dict(zip("аеорсухіјѕԁһԛԝАВЕКМНОРСТУХІЈЅ", "aeopcyxijsdhqwABEKMHOPCTYXIJS"))
+_LOOK_ALIKES |= dict(zip("кѵɡıɑօոսհαικνρτυωϲϳ", "kvgiaonuhaikvptuwcj"))
 _LOOK_ALIKES |= dict(zip("ΑΒΕΖΗΙΚΜΝΟΡΤΥΧο", "ABEZHIKMNOPTYXo")) | dict.fromkeys("‐‑‒–−", "-") | {" ": " ", " ": " ", " ": " "}
 _DIGIT_WORDS = {"zero": "0", "oh": "0", "one": "1", "two": "2", "three": "3", "four": "4", "five": "5", "six": "6", "seven": "7", "eight": "8", "nine": "9"}
 _STREETS = "Street|St\\.|St|Avenue|Ave\\.|Ave|Road|Rd\\.|Rd|Lane|Ln\\.|Ln|Drive|Dr|Court|Ct|Boulevard|Blvd\\.|Blvd|Way|Terrace|Place|Square|Close|Crescent|Parkway|Highway"
@@ -38,13 +44,24 @@ _STREETS_JOINED = ("straße", "strasse", "str.", "weg", "allee", "gasse", "platz
 _NOT_GIVEN = frozenset("The A An Ask Ping By From To For And Or But If In On At Is Was Mr Mrs Ms Dr Prof Regards Thanks Hi Hello Dear Team Owner Name".split())
 _SMALL_WORDS = frozenset("that from with says said thanks name this reviewed raised paired reported signed noted ask ping dear".split())
 _LABELS = r"(?:ssn|soc(?:ial)?\.? sec(?:urity|\.)?(?: (?:number|no\.?))?|passport(?: (?:number|no\.?))?|(?:national|personal|identity|id)(?: card)?(?: (?:id|number|no\.?))?|tax(?:payer)?[ -]?(?:id|number|no\.?)|tin|nif|dni|nin)"
-# ---------------------------------------------------------------------------------------------------
 
-_TABLE = {ord(a): b for a, b in _LOOK_ALIKES.items()} | {0xFF01 + i: chr(0x21 + i) for i in range(94)}
-_LOOKS = re.compile("[" + re.escape("".join(map(chr, _TABLE))) + "]")
+
+class _Plain(dict):
+    """For str.translate: look-alikes, and characters whose compatibility form is one ASCII character."""
+
+    def __missing__(self, code: int) -> int | str:
+        form = unicodedata.normalize("NFKC", chr(code))
+        self[code] = form if len(form) == 1 and form.isascii() else code
+        return self[code]
+
+
+_TABLE = _Plain({ord(a): b for a, b in _LOOK_ALIKES.items()})
 _WORD = "|".join(_DIGIT_WORDS)
-_SPELLED = re.compile(rf"\b(?:{_WORD})(?:[ \-,]+(?:{_WORD})){{4,}}\b", re.I)
-_SPELLED_HINT = re.compile(rf"(?:{_WORD})[ \-,]+(?:{_WORD})[ \-,]+(?:{_WORD})")  # of lower-cased texts
+_TIMES = {"double": 2, "triple": 3}
+_ITEM = rf"(?:(?:double|triple) )?(?:{_WORD})\b"
+_SPELLED = re.compile(rf"(?<![\w.\-/])(?:{_ITEM}|\d+)(?:[ \-,]+(?:{_ITEM}|\d+(?!\w)))+", re.I)
+_SPELLED_ITEM = re.compile(rf"(?:(double|triple) )?({_WORD}|\d+)([ \-,]*)", re.I)
+_SPELLED_HINT = re.compile(rf"(?:{_WORD})[ \-,]+(?:{_ITEM})[ \-,]+(?:{_WORD}|double|triple)|(?:double|triple) (?:{_WORD})")  # of lower-cased texts
 _SIGNS = re.compile(r"\s?[\[({<]\s?(?:at|@)\s?[\])}>]\s?|\s?[\[({<]\s?(?:dot|\.)\s?[\])}>]\s?|(?<=\w) @ (?=\w)", re.I)
 _SPOKEN = re.compile(r"(?<![\w@])[\w+\-]+(?:(?: dot |\.)[\w+\-]+)* at [\w\-]+(?:(?: dot )[\w\-]+)+(?!\w)", re.I)
 _HINT_AT = re.compile(r"[\[({<]\s?(?:at|dot|@|\.)\s?[\])}>]| dot ", re.I)
@@ -89,10 +106,7 @@ class Normal:
 
 
 def normalised(source: str) -> Normal:
-    if not source.isascii() and _LOOKS.search(source):
-        plain = source.translate(_TABLE)  # one for one: offsets stay
-    else:
-        plain = source
+    plain = source if source.isascii() else source.translate(_TABLE)  # one for one: offsets stay
     edits: list[tuple[int, int, str]] = []
     if " @ " in plain or _HINT_AT.search(plain):
         for m in _SIGNS.finditer(plain):
@@ -102,8 +116,12 @@ def normalised(source: str) -> Normal:
                 edits.append((m.start() + w.start(), m.start() + w.end(), "@" if w[1].lower() == "at" else "."))
     if _SPELLED_HINT.search(plain.lower()):
         for m in _SPELLED.finditer(plain):
-            for w in re.finditer(rf"({_WORD})([ \-,]*)", m[0], re.I):
-                edits.append((m.start() + w.start(), m.start() + (w.end() if w.end() < len(m[0]) else w.end(1)), _DIGIT_WORDS[w[1].lower()]))
+            items = list(_SPELLED_ITEM.finditer(plain, m.start(), m.end()))
+            digits = [(_DIGIT_WORDS.get(i[2].lower(), i[2])) * _TIMES.get((i[1] or "").lower(), 1) for i in items]
+            spelled = sum(len(d) for i, d in zip(items, digits) if not i[2].isdigit())
+            if spelled >= 3 and sum(map(len, digits)) >= 5 and (spelled >= 5 or sum(map(len, digits)) >= 7):
+                for k, (i, d) in enumerate(zip(items, digits)):
+                    edits.append((i.start(), i.end() if k + 1 < len(items) else i.end(2), d))
     n = Normal(plain)
     if edits:
         n.replaced(edits)
@@ -111,20 +129,25 @@ def normalised(source: str) -> Normal:
     return n
 
 
-_LOCAL = re.compile(r"[A-Za-z0-9][\w.+\-']*$")
 _DOMAIN = re.compile(r"[A-Za-z0-9](?:[\w\-]*[A-Za-z0-9])?(?:\.[A-Za-z0-9](?:[A-Za-z0-9\-]*[A-Za-z0-9])?)*\.[A-Za-z]{2,}(?![\w\-])")
+_REMOTE = re.compile(r"[:/][\w~./\-]+")
+
+
+def _back(t: str, end: int, more: str) -> int:
+    """Where the run of letters, digits and the given characters before a place begins."""
+    while end and (t[end - 1].isalnum() or t[end - 1] in more):
+        end -= 1
+    return end
 
 
 def _emails(t: str) -> Iterator[tuple[int, int]]:
     at = t.find("@")
     while at >= 0:
-        low = max(0, at - 80)
-        local, domain = _LOCAL.search(t[low:at]), _DOMAIN.match(t, at + 1)
-        if local and domain:
-            start, end = low + local.start(), domain.end()
-            remote = t[end : end + 1] in (":", "/") and re.match(r"[:/][\w~./\-]+", t[end : end + 40])
-            if not remote and not t[max(0, start - 3) : start].endswith(("://", "@", "/")):
-                yield start, end
+        start, domain = _back(t, at, "_.+-'"), _DOMAIN.match(t, at + 1)
+        while start < at and not (t[start].isascii() and t[start].isalnum()):
+            start += 1
+        if start < at and domain and not _REMOTE.match(t, domain.end()) and not t[max(0, start - 3) : start].endswith(("://", "@", "/")):
+            yield start, domain.end()
         at = t.find("@", at + 1)
 
 
@@ -136,10 +159,12 @@ _PHONES = [
     (re.compile(_EDGES[0] + r"(?:\(0\d{1,4}\) ?|0\d{1,4}[ .\-/])\d{2,6}(?:[ .\-/]\d{2,6}){0,4}" + _EDGES[1]), 9, 12),
     (re.compile(_EDGES[0] + r"0\d{9,10}" + _EDGES[1]), 10, 11),
 ]
-_CALL = re.compile(r"(?:tel|phone|mobile|cell|call|ring|dial|fax|desk at|reach \w+ at)[\s:.=\"']*$", re.I)
+_CALL = re.compile(r"(?:tel|phone|mobile|cell|call|ring|dial|fax|desk at|reach \w+ at)$", re.I)
 _BARE = re.compile(r"\d{7,11}(?!\w)")
 _SSN = re.compile(r"(?<![\w\-])\d{3}-\d{2}-\d{4}(?![\w\-])")
-_LABELLED = re.compile(_LABELS + r"[\s#:.=]*$", re.I)
+_LABELLED = re.compile(_LABELS + "$", re.I)
+#: No label or sign of a call is longer.
+_LONGEST_LABEL = 60
 _NUMBERS = re.compile(r"(?:[A-Z]{1,2} ?)?\d{2,}(?:[ \-/]?\d{2,}){0,4}|[A-Z] ?\d{6,9}")
 
 
@@ -149,8 +174,11 @@ def _digits(s: str) -> int:
 
 def _number(t: str, start: int, end: int) -> tuple[int, int, str] | None:
     """An identity or phone number of a digit run, by its shape and what stands before it."""
-    before = t[max(0, start - 48) : start]
-    if _LABELLED.search(before):
+    low = start
+    while low and (t[low - 1].isspace() or t[low - 1] in "#:.="):
+        low -= 1
+    # a label ends in its own dot, or before what parts it from the number
+    if any(_LABELLED.search(t, max(0, at - _LONGEST_LABEL), at) for at in {low, min(low + 1, start)}):
         m = _SSN.match(t, start, end) or _NUMBERS.match(t, start, end)
         if m and _digits(m[0]) >= 6:
             # what has a blank before it and a shape of its own is another number
@@ -167,7 +195,16 @@ def _number(t: str, start: int, end: int) -> tuple[int, int, str] | None:
         if m and m.end() <= end and least <= _digits(m[0]) <= most:
             return m.start(), m.end(), "phone"
     m = _BARE.match(t, start, end + 1)
-    return (start, end, "phone") if m and m.end() == end and _CALL.search(before) else None
+    if not m or m.end() != end:
+        return None
+    low = start
+    while low and (t[low - 1].isspace() or t[low - 1] in ":.=\"'"):
+        low -= 1
+    head = _back(t, low, "_")
+    if t[head:low].lower() == "at":  # "desk at", "reach somebody at"
+        for _ in range(2):
+            head = _back(t, head - 1, "_") if t[head - 1 : head] == " " else head
+    return (start, end, "phone") if _CALL.search(t, head, low) else None
 
 
 def _numbers(t: str) -> Iterator[tuple[int, int, str]]:
@@ -193,7 +230,8 @@ _ADDRESSES = [
     re.compile(rf"(?<!\w)(?:{_STREETS_BEFORE}|{_STREETS_BEFORE.upper()}) (?:(?:de|del|de la|de los|DE|DEL) )?{_CAP},? \d{{1,4}}[A-Za-z]?(?!\w)"),
 ]
 _HOUSE = re.compile(r" \d{1,4}[a-zA-Z]?(?!\w)")
-_HEAD = re.compile(r"(?<!\w)([A-ZÄÖÜ][\w\-]+ )?([A-ZÄÖÜ][\w\-]*\.?)$")
+_STREET_WORD = re.compile(r"[A-ZÄÖÜ][\w\-]*\.?")
+_STREET_FIRST = re.compile(r"[A-ZÄÖÜ][\w\-]+")
 
 
 def _addresses(t: str) -> Iterator[tuple[int, int]]:
@@ -201,42 +239,54 @@ def _addresses(t: str) -> Iterator[tuple[int, int]]:
         for m in shape.finditer(t):
             yield m.span()
     for m in _HOUSE.finditer(t):
-        low = max(0, m.start() - 40)
-        ending = next((e for e in _STREETS_JOINED if t[max(low, m.start() - 8) : m.start()].lower().endswith(e)), None)
-        head = ending and _HEAD.search(t[low : m.start()])
-        if head and len(head[2]) >= len(ending) + 3:
-            yield low + head.start(2), m.end()
-        elif head and head[1] and ending != "ring" and len(head[2]) == len(ending):
-            yield low + head.start(1), m.end()
+        end = m.start()
+        ending = next((e for e in _STREETS_JOINED if t[max(0, end - 8) : end].lower().endswith(e)), None)
+        if not ending:
+            continue
+        start = _back(t, end - (t[end - 1] == "."), "_-")
+        word = t[start:end]
+        if not _STREET_WORD.fullmatch(word):
+            continue
+        if len(word) >= len(ending) + 3:
+            yield start, m.end()
+        elif ending != "ring" and len(word) == len(ending) and t[max(0, start - 1) : start] == " ":
+            first = _back(t, start - 1, "_-")
+            if _STREET_FIRST.fullmatch(t[first : start - 1]):
+                yield first, m.end()
+
+
+def _sequences(word: str) -> list[str]:
+    return [f"^{word}$"[i : i + 3] for i in range(len(word))]
 
 
 class Names:
-    """Given and family names of a roster, and how its family names are made."""
+    """Given and family names of a roster, and what its family names look like."""
 
-    def __init__(self, people: Iterable[tuple[str | None, str | None]], least: int = 3):
+    #: Share of the three-letter sequences of a word that must be those of two or more family names, and its least length.
+    ALIKE, LEAST = 0.7, 6
+
+    def __init__(self, people: Iterable[tuple[str | None, str | None]]):
         people = [(g or "", f or "") for g, f in people]
         self.given = {g.lower() for g, _ in people if len(g) > 1}
         self.family = {f.lower() for _, f in people if len(f) > 1}
-        ends: dict[str, set[str]] = defaultdict(set)
+        seen: dict[str, int] = defaultdict(int)
         for f in self.family:
-            for i in range(3, len(f) - 2):
-                ends[f[i:]].add(f[:i])
-        ends = {e: s for e, s in ends.items() if len(s) >= least}
-        stems: dict[str, int] = defaultdict(int)
-        for s in ends.values():
-            for stem in s:
-                stems[stem] += 1
-        self.stems = {s for s, n in stems.items() if n >= least}
-        self.ends = {e for e, s in ends.items() if len(s & self.stems) >= least}
+            for q in set(_sequences(f)):
+                seen[q] += 1
+        self.sequences = {q for q, n in seen.items() if n >= 2}
         self.known: dict[str, bool] = {}
-        heads = sorted(self.stems | {f for f in self.family if not any(f.startswith(x) for x in self.stems)})
+        heads = sorted({f[:4] for f in self.family})
         self.lower = re.compile("(?:" + "|".join(map(re.escape, heads)) + r")[\w'’]*") if heads else None
 
     def is_family(self, word: str) -> bool:
+        """Whether a word is a family name of the roster or made of the same sequences."""
         w = word.lower()
         got = self.known.get(w)
         if got is None:
-            got = w in self.family or any(w[:i] in self.stems and w[i:] in self.ends for i in range(3, len(w) - 2))
+            got = w in self.family
+            if not got and len(w) >= self.LEAST and self.sequences:
+                parts = _sequences(w)
+                got = parts[0] in self.sequences and parts[-1] in self.sequences and sum(q in self.sequences for q in parts) >= self.ALIKE * len(parts)
             if len(self.known) < 100_000:
                 self.known[w] = got
         return got
@@ -245,25 +295,38 @@ class Names:
         return word.lower() in self.given
 
 
-_BEFORE = re.compile(r"(?<![\w.@\-/])([a-z]{2,}|[a-z]\.) $")
 _AFTER = re.compile(r", ([a-z]+)(?![\w@])")
 _PART = r"[A-ZÀ-Þ][a-zà-ÿ'’]+|[A-ZÀ-Þ]{2,}"
 _PAIR = re.compile(rf"(?<![\w.@\-/])({_PART}|[A-ZÀ-Þ]\.)(,? )(?=({_PART})(?![\w@]|\.\w))")
-_TITLE = re.compile(r"(?:\b(?:Mr|Mrs|Ms|Dr|Prof|Herr|Frau|Mme|Sr|Sra)\.? |\b[Mm]y name is |\bName: |\bReported-by: |\bsigned off: |\bassignee = )$")
+_TITLE = re.compile(
+    r"(?:\b(?:Mr|Mrs|Ms|Dr|Prof|Herr|Frau|Mme|Sr|Sra)\.? |\b[Mm]y name is |\bName: |\bReported-by: |\bFrom: |\bsigned off: |\bassignee = "
+    r"|\b(?:[Rr]egards|[Tt]hanks|[Ss]incerely|[Cc]heers),\s|\b(?i:reviewed|raised|reported|written|approved|signed|requested|owned) by |\b(?i:paired|met|spoke) with |\b[Tt]hanks to |\bcc )$"
+)
+#: No title or sign of a person is longer.
+_LONGEST_TITLE = 20
+_NO_FAMILY = frozenset((_STREETS.replace("\\", "").replace(".", "") + "|" + _STREETS_BEFORE).split("|"))
+
+
+def _unknown(a: str, b: str, names: Names) -> bool:
+    """Whether two words could be a name nobody has told of: both written like names, neither a word that begins sentences."""
+    return a.istitle() and b.istitle() and len(a) > 1 and len(b) > 2 and not {a, b} & _NOT_GIVEN and b not in _NO_FAMILY and a not in _NO_FAMILY and not names.is_given(b)
 
 
 def _names(t: str, names: Names) -> Iterator[tuple[int, int]]:
     for m in _PAIR.finditer(t):
         a, gap, b = m[1], m[2], m[3]
         if gap == " ":
-            if a.endswith("."):
-                ok = names.is_family(b)
-            elif names.is_family(b):
-                ok = a not in _NOT_GIVEN and not names.is_family(a)
+            if names.is_family(b):
+                ok = a.endswith(".") or a not in _NOT_GIVEN and not names.is_family(a)
             else:
-                # a family name never seen: a known given name, or a title, stands before it
-                titled = a not in _NOT_GIVEN and _TITLE.search(t, max(0, m.start() - 16), m.start())
-                ok = bool(titled) and b not in _NOT_GIVEN and (names.is_given(a) or a.istitle() and b.istitle())
+                # a family name never seen: a known given name, or a sign of a person, stands before it
+                told = _TITLE.search(t, max(0, m.start() - _LONGEST_TITLE), m.start())
+                if a.endswith("."):
+                    ok = bool(told) and b.istitle() and b not in _NOT_GIVEN and b not in _NO_FAMILY
+                elif names.is_given(a):
+                    ok = _unknown(a, b, names) or bool(told) and b not in _NOT_GIVEN
+                else:
+                    ok = bool(told) and _unknown(a, b, names)
         else:
             ok = not a.endswith(".") and names.is_family(a) and (names.is_given(b) or b not in _NOT_GIVEN and b.istitle() and not names.is_family(b))
         if ok:
@@ -271,11 +334,14 @@ def _names(t: str, names: Names) -> Iterator[tuple[int, int]]:
     for m in names.lower.finditer(t) if names.lower else ():  # the same in small letters
         if not names.is_family(m[0]) or t[m.end() : m.end() + 1] == "@":
             continue
-        before, after = _BEFORE.search(t, max(0, m.start() - 24), m.start()), _AFTER.match(t, m.end())
-        if before and (names.is_given(before[1]) or before[1].endswith(".") or before[1] not in _SMALL_WORDS and len(before[1]) > 3):
-            yield before.start(1), m.end()
-        elif after and names.is_given(after[1]) and not t[m.start() - 1 : m.start()].strip():
-            yield m.start(), after.end(1)
+        at, after = m.start(), _AFTER.match(t, m.end())
+        first = _back(t, at - 1 - (t[at - 2 : at - 1] == "."), "_") if t[at - 1 : at] == " " else at
+        before = t[first : at - 1] if first < at - 1 and t[max(0, first - 1) : first] not in {".", "@", "-", "/"} else ""
+        initial = len(before) == 2 and before[1] == "." and before[0].islower()
+        if initial or before.isascii() and before.isalpha() and before.islower() and (names.is_given(before) or before not in _SMALL_WORDS and len(before) > 3):
+            yield first, m.end()
+        elif after and names.is_given(after[1]) and not t[at - 1 : at].strip():
+            yield at, after.end(1)
 
 
 def detect(source: str, names: Names) -> list[tuple[int, int, str]]:
@@ -286,11 +352,14 @@ def detect(source: str, names: Names) -> list[tuple[int, int, str]]:
         found.append((1 if kind == "identity" else 3, s, e, kind))
     found += [(2, *s, "address") for s in _addresses(n.text)]
     found += [(4, *s, "name") for s in _names(n.text, names)]
+    starts: list[int] = []  # of the spans taken, in order
     taken: list[tuple[int, int, str]] = []
     for _, start, end, kind in sorted(found):
-        if all(end <= s or e <= start for s, e, _ in taken):
-            taken.append((start, end, kind))
-    return sorted((*n.span(s, e), kind) for s, e, kind in taken)
+        i = bisect_right(starts, start)
+        if (not i or taken[i - 1][1] <= start) and (i == len(taken) or end <= taken[i][0]):
+            starts.insert(i, start)
+            taken.insert(i, (start, end, kind))
+    return [(*n.span(s, e), kind) for s, e, kind in taken]
 
 
 def replaced(source: str, spans: list[tuple[int, int, str]]) -> str:
