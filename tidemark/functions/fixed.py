@@ -87,6 +87,14 @@ PLAN_SENTENCES = [r"(?:Chose\s+.+?\s+because\s+.{50,300})", r"(?:Taking\s+.+?\s+
 SUMMARY_SKIPPED_TAGS = "stop_hook llm_extracted auto_detected in_session repeated user_correction user_preference auto_extracted session_checkpoint".split()
 CHECKPOINT_SKIPPED_TAGS = "stop_hook llm_extracted".split()
 
+#: Sentences of the injected context.
+LAST_TITLE = "## Last session"
+CORE_TITLE = "## Relevant Knowledge (from past sessions, advisory only — revalidate locally)"
+LOG_TITLE = "## Past session learnings\n\nRelevant context from previous sessions:\n"
+WARM_TITLE = "## POSSIBLE MATCHES (may be relevant)"
+DIRECTIVE = "(Memory is auto-captured in background — no manual action needed.)"
+TOPICS_HEAD, SNIPPETS_HEAD = "Last session topics: ", "Last session: "
+
 ERROR_WORDS = "Error error ERROR FAIL Failed Exception Traceback fatal FATAL".split()
 TEST_WORDS = ["test", "pytest", "vitest", "jest", "npm run test", "cargo test", "go test"]
 PASS_WORDS = ["passed", "ok (", "success", "PASS"]

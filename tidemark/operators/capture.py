@@ -12,9 +12,10 @@ from tidemark.config import DEFAULT, EngineConfig
 from tidemark.functions import text as T
 from tidemark.functions.fixed import (
     CHECKPOINT_SKIPPED_TAGS, CORRECTION_PATTERNS, CORRECTION_SIGNALS, CORRECTION_TYPES, DECISION_PATTERNS, PLAN_SECTION, PLAN_SENTENCES,
-    SUMMARY_SKIPPED_TAGS, VALID_TYPES, WEAK_SIGNALS,
+    SNIPPETS_HEAD, SUMMARY_SKIPPED_TAGS, TOPICS_HEAD, VALID_TYPES, WEAK_SIGNALS,
 )
-from tidemark.operators import search
+from tidemark.operators import dedup, search
+from tidemark.operators.staging import staged
 
 
 def portable(pattern: str) -> str:
@@ -63,22 +64,24 @@ def repetition(texts: DataFrame, index: search.Index) -> DataFrame:
     return texts.select("query_id").join(best, "query_id", "left").select("query_id", F.coalesce("best", F.lit(0.0)).alias("best"))
 
 
-def pipeline(prompts: DataFrame, index: search.Index, config: EngineConfig = DEFAULT) -> DataFrame:
-    """(query_id, type, content, tags) of the corrections to be stored: long enough, with signals, a whole sentence, not
-    nearly identical to one stored before; one that repeats becomes REPEATED_CORRECTION."""
+def pipeline(prompts: DataFrame, index: search.Index, log: DataFrame, config: EngineConfig = DEFAULT) -> DataFrame:
+    """(query_id, type, content, tags, decision, target) of the corrections to be stored: long enough, with signals, a whole
+    sentence, not nearly identical to one stored before; one that repeats becomes REPEATED_CORRECTION.  The decision is that
+    of an append to the log as it stands."""
     able = prompts.where((F.length("prompt") >= 20) & has_signals(F.col("prompt")))
-    found = corrections(able).where(T.worth_storing(F.col("content")))
+    found = staged(corrections(able).where(T.worth_storing(F.col("content"))), "corrections")
     seen = repetition(found.select("query_id", F.col("content").alias("text")), index)
     rows = found.join(seen, "query_id").where(F.col("best") <= config.same)
     again = F.col("best") > config.repeat
     tags = F.concat(T.smart_tags(F.col("content"), F.col("full_prompt")), T.strings(["user_correction", "auto_detected"]), F.when(again, T.strings(["repeated"])).otherwise(F.array().cast("array<string>")))
-    return rows.select("query_id", F.when(again, "REPEATED_CORRECTION").otherwise(F.col("type")).alias("type"), "content", F.array_join(tags, ",").alias("tags"))
+    decided = dedup.snapshot_decisions(found.select(F.col("query_id").alias("id"), "content"), log, config).withColumnRenamed("id", "query_id")
+    return rows.join(decided, "query_id").select("query_id", F.when(again, "REPEATED_CORRECTION").otherwise(F.col("type")).alias("type"), "content", F.array_join(tags, ",").alias("tags"), "decision", "target")
 
 
-def decisions(texts: DataFrame, most: int = 10) -> DataFrame:
-    """(doc_id, place, type, content): what the patterns find in each text, in pattern and text order, each start of 50
-    characters once, at most `most` for a text (the operator's own limit)."""
+def _matches(texts: DataFrame) -> DataFrame:
+    """(doc_id, pattern, at, type, content): what the decision patterns find, each start of 50 characters of a text once."""
     t = T.text(F.col("text"))
+
     def found(n: int, pattern: str, kind: str) -> Column:
         all_of = F.regexp_extract_all(t, F.lit("(?iud)" + portable(pattern)), F.lit(1))
         return F.transform(all_of, lambda x, i: F.struct(F.lit(n).alias("pattern"), i.alias("at"), F.lit(kind).alias("type"), x.alias("raw")))
@@ -87,11 +90,27 @@ def decisions(texts: DataFrame, most: int = 10) -> DataFrame:
     rows = texts.where("doc_id is not null").select("doc_id", F.explode(F.flatten(each)).alias("m")).select("doc_id", "m.pattern", "m.at", "m.type", F.substring(F.regexp_replace(T.strip(F.col("m.raw")), r"[\n\r]+", " "), 1, 300).alias("content"))
     rows = rows.where((F.length("content") >= 50) & T.verb_like(F.col("content")))
     once = Window.partitionBy("doc_id", F.lower(F.substring("content", 1, 50))).orderBy("pattern", "at")
-    rows = rows.withColumn("n", F.row_number().over(once)).where("n = 1")
+    return rows.withColumn("n", F.row_number().over(once)).where("n = 1").drop("n")
+
+
+def _first(rows: DataFrame, most: int) -> DataFrame:
     order = Window.partitionBy("doc_id").orderBy("pattern", "at")
     return rows.withColumn("place", F.row_number().over(order)).where(F.col("place") <= most).select("doc_id", "place", "type", "content")
 
 
+def decisions(texts: DataFrame, most: int = 10) -> DataFrame:
+    """(doc_id, place, type, content): what the patterns find in each text, in pattern and text order, each start of 50
+    characters once, at most `most` for a text (the operator's own limit)."""
+    return _first(_matches(texts), most)
+
+
+def new_decisions(texts: DataFrame, index: search.Index, most: int = 10) -> DataFrame:
+    """The same without those the log has something very similar to: what is known takes no place among the `most`."""
+    rows = staged(_matches(texts).withColumn("query_id", F.xxhash64("doc_id", "pattern", "at")), "decisions")
+    fresh = search.unknown(rows.select("query_id", F.col("content").alias("text")), index)
+    return _first(rows.join(fresh, "query_id"), most)
+
+
 def plan_reasoning(plans: DataFrame) -> DataFrame:
     """(doc_id, content) of the sections and sentences of a plan that give reasons, over 50 characters, 500 of them."""
     t = T.text(F.col("text"))
@@ -131,7 +150,8 @@ def last_session(log: DataFrame, sessions: DataFrame, most: int = 250) -> DataFr
     latest other session's last block of rows, else its first snippets.
 
     The sessions compare by their first eight characters.  Only the newest two checkpoints and the newest rows of
-    the last three sessions can matter, so the log is reduced to these before it meets the sessions.
+    the last three sessions can matter, so the log is reduced to these before it meets the sessions.  For a summary of
+    the last 4,096 bytes only, give readers.tail() of the log.
     """
     rows = log.where("line_num is not null and session_id is not null and session_id <> 'unknown'").select("line_num", F.substring("session_id", 1, 8).alias("sid"), "type", T.text(F.col("content")).alias("content"), "tags")
     asking = sessions.select("session_id").distinct().withColumn("own", F.substring(F.coalesce("session_id", F.lit("")), 1, 8))
@@ -145,8 +165,8 @@ def last_session(log: DataFrame, sessions: DataFrame, most: int = 250) -> DataFr
     picked = picked.withColumn("third", F.expr("if(own <=> get(heads, 0).sid or own <=> get(heads, 1).sid, get(heads, 2).line, get(heads, 1).line)"))
     picked = picked.withColumn("block", F.expr("get(filter(blocks, b -> b.sid = last), 0)"))
     inside = "filter(block.{0}, x -> third is null or x.line > third)"
-    topics_of = F.expr(f"concat('Last session topics: ', nullif(array_join(transform({inside.format('tags')}, x -> x.tag), ', '), ''))")
-    snippets = F.expr(f"concat('Last session: ', array_join(transform({inside.format('parts')}, x -> x.part), ' | '))")
+    topics_of = F.expr(f"concat('{TOPICS_HEAD}', nullif(array_join(transform({inside.format('tags')}, x -> x.tag), ', '), ''))")
+    snippets = F.expr(f"concat('{SNIPPETS_HEAD}', array_join(transform({inside.format('parts')}, x -> x.part), ' | '))")
     return picked.select("session_id", F.substring(F.coalesce(summary, topics_of, snippets, F.lit("")), 1, most).alias("summary"))
 
 
@@ -176,7 +196,7 @@ def topics(log: DataFrame, most: int = 8) -> DataFrame:
     top = seen.withColumn("n", F.row_number().over(late)).where(F.col("n") <= most).groupBy("session_id").agg(F.array_sort(F.collect_list(F.struct("n", "tag"))).alias("tags"))
     last = Window.partitionBy("session_id").orderBy(F.desc("line_num"))
     three = rows.select("session_id", "line_num", F.substring(T.text(F.col("content")), 1, 40).alias("part")).withColumn("n", F.row_number().over(last)).where("n <= 3").groupBy("session_id").agg(F.array_sort(F.collect_list(F.struct("n", "part"))).alias("parts"))
-    text = F.coalesce(F.expr("concat('Last session topics: ', array_join(transform(tags, t -> t.tag), ', '))"), F.expr("concat('Last session: ', array_join(transform(parts, p -> p.part), ' | '))"))
+    text = F.coalesce(F.expr(f"concat('{TOPICS_HEAD}', array_join(transform(tags, t -> t.tag), ', '))"), F.expr(f"concat('{SNIPPETS_HEAD}', array_join(transform(parts, p -> p.part), ' | '))"))
     return three.join(top, "session_id", "left").select("session_id", F.substring(text, 1, 250).alias("summary"))
 
 
@@ -196,7 +216,10 @@ def validated(responses: DataFrame, most: int = 5) -> DataFrame:
     return rows.select("id", "at", F.when(F.col("type").isin(VALID_TYPES), F.col("type")).otherwise("WORKING_SOLUTION").alias("type"), F.substring("content", 1, 500).alias("content"), F.array_join(tags, ",").alias("tags"))
 
 
-def stats(log: DataFrame) -> DataFrame:
-    """(log_entries, last_entry_date): rows, and the last time in file order that is not empty."""
+def stats(log: DataFrame, memory: DataFrame | None = None) -> DataFrame:
+    """(log_entries, last_entry_date, memory_lines): rows, the last time in file order that is not empty, and the lines of core
+    memory (text, n_lines), 0 without."""
     last = F.max_by("logged_at", F.when(F.coalesce(F.col("logged_at"), F.lit("")) != "", F.col("line_num")))
-    return log.agg(F.count("*").alias("log_entries"), last.alias("last_entry_date"))
+    out = log.agg(F.count("*").alias("log_entries"), last.alias("last_entry_date"))
+    lines = F.lit(0) if memory is None else F.coalesce(memory.agg(F.sum("n_lines").cast("int").alias("n")).select("n").scalar(), F.lit(0))
+    return out.withColumn("memory_lines", lines)

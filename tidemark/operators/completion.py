@@ -18,6 +18,11 @@ def cache_key(prompt: Column) -> Column:
     return F.substring(F.md5(prompt), 1, 16)
 
 
+def verdict_key(text: Column) -> Column:
+    """The key under which a classifier's verdict on a text is kept."""
+    return F.substring(F.md5(text), 1, 12)
+
+
 def complete(prompts: DataFrame, memo: DataFrame | None = None, backend: Callable[[], Backend] | None = None) -> DataFrame:
     """(id, prompt, key, response) of (id, prompt): from the memo table (key, response) where it knows the prompt, else from
     the backend, made once in each task; a backend that fails answers null."""

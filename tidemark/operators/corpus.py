@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -41,9 +41,13 @@ def idf(*entries: DataFrame) -> DataFrame:
     return tokens.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("df")).select("token", "df", F.log(1 + total / F.col("df")).alias("weight"))
 
 
+def passes(entries: DataFrame) -> Column:
+    return T.worth_surfacing(F.col("content")) & (F.size("tokens") > 0)
+
+
 def surfacing(entries: DataFrame) -> DataFrame:
     """The entries that pass the quality gate; it stands before every join."""
-    return entries.where(T.worth_surfacing(F.col("content")) & (F.size("tokens") > 0))
+    return entries.where(passes(entries))
 
 
 def postings(entries: DataFrame) -> DataFrame:

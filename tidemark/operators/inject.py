@@ -9,6 +9,7 @@ from pyspark.sql.window import Window
 from tidemark.config import DEFAULT, EngineConfig
 from tidemark.functions import text as T
 from tidemark.functions.fixed import PROTECTED_TYPES, SYSTEM_MARKERS, TASK_NOTIFICATION
+from tidemark.operators.dedup import latest
 
 HEADER, WARM_HEADER, SUMMARY_EXTRA, LEAST_LEFT = 60, 40, 25, 200
 
@@ -107,6 +108,11 @@ def ack_markers(hot: DataFrame, prompts: DataFrame) -> DataFrame:
     return rows.join(prompts.select("query_id", "session_id", "intent"), "query_id").select("query_id", "session_id", "count", F.expr("array_join(transform(lines, x -> x.line), '\n')").alias("summary"), "intent")
 
 
+def current_markers(markers: DataFrame) -> DataFrame:
+    """The marker of each session that holds: the last one of an append-only table of markers (session_id, version, ...)."""
+    return latest(markers.where("session_id is not null"), "session_id")
+
+
 def gate(markers: DataFrame, calls: DataFrame, config: EngineConfig = DEFAULT) -> DataFrame:
     """(session_id, created_at, event_id, ts): the first call within the time to live of each marker is blocked, and no
     other; a newer marker of the session takes the place of an older one.

@@ -24,11 +24,3 @@ def positions(rows: DataFrame, by: str, name: str = "pos") -> DataFrame:
     shift = rows.sparkSession.createDataFrame(starts, "_part int, _before long")  # a row for each partition
     inside = part.withColumn("_place", F.row_number().over(Window.partitionBy("_part").orderBy(by)))
     return inside.join(F.broadcast(shift), "_part").select(*rows.columns, (F.col("_before") + F.col("_place") - 1).alias(name))
-
-
-def with_previous(left: DataFrame, right: DataFrame, width: int) -> DataFrame:
-    """Pairs of rows with 1 <= left.pos - right.pos <= width, as an equi-join on blocks of `width` positions.
-    Both sides have pos; columns of the right side must not clash with the left's."""
-    a = left.withColumn("block", F.explode(F.expr(f"array(pos div {width}, pos div {width} - 1)")))
-    b = right.withColumnRenamed("pos", "pos_before").withColumn("block", F.expr(f"pos_before div {width}"))
-    return a.join(b, "block").where(f"pos - pos_before between 1 and {width}").drop("block")

@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 from tidemark.config import DEFAULT, EngineConfig
 from tidemark.functions import text as T
 from tidemark.functions.fixed import PRIORITY_TYPES
-from tidemark.operators.corpus import postings
 
 
 def partial_matches(query_words: DataFrame, vocabulary: DataFrame) -> DataFrame:
@@ -37,10 +36,9 @@ def alias_pairs(aliases: DataFrame) -> DataFrame:
     return aliases.where("alias_key is not null").select(F.col("alias_key").alias("token"), F.explode("expansions").alias("alias")).where("alias is not null").distinct()
 
 
-def evidence(query_tokens: DataFrame, entries: DataFrame, aliases: DataFrame, weights: DataFrame, vocabulary: DataFrame, only_exact: bool = False) -> DataFrame:
-    """(query_id, entry_id, part, token, weight, stem): part x for tokens the entry has, a for aliases it has, s for stems it has,
+def evidence(query_tokens: DataFrame, posted: DataFrame, aliases: DataFrame, weights: DataFrame, vocabulary: DataFrame, only_exact: bool = False) -> DataFrame:
+    """posted: (token, entry_id).  (query_id, entry_id, part, token, weight, stem): part x for tokens the entry has, a for aliases it has, s for stems it has,
     p for tokens that hold, or are held by, one of its words."""
-    posted = postings(entries)
     q = query_tokens.select("query_id", "token", "weight", "stem")
     exact = q.join(posted, "token").select("query_id", "entry_id", F.lit("x").alias("part"), "token", "weight", "stem")
     by_alias = q.join(alias_pairs(aliases), "token").join(posted.withColumnRenamed("token", "alias"), "alias").select("query_id", "entry_id", F.lit("a").alias("part"), "token", "weight", "stem").distinct()
@@ -61,16 +59,19 @@ def _sum(array: str) -> str:
     return f"aggregate({array}, cast(0 as double), (s, x) -> s + x.weight)"
 
 
-def scored(query_tokens: DataFrame, found: DataFrame, entries: DataFrame, config: EngineConfig = DEFAULT) -> DataFrame:
-    """(query_id, entry_id, match, n_exact, score) of every pair with evidence and a score above 0, rounded to six places."""
+def scored(query_tokens: DataFrame, found: DataFrame, entries: DataFrame, config: EngineConfig = DEFAULT, cached: bool = False) -> DataFrame:
+    """(query_id, entry_id, match, n_exact, score) of every pair with evidence and a score above 0, rounded to six places.
+    In the cached mode a pair must share a token, an alias or a stem; substrings alone do not count."""
     def part(name: str):
         return F.array_sort(F.collect_set(F.when(F.col("part") == name, F.struct("token", "weight", "stem")))).alias(name)
 
     gathered = found.groupBy("query_id", "entry_id").agg(part("x"), part("a"), part("s"), part("p"))
+    if cached:
+        gathered = gathered.where("size(x) + size(a) + size(s) > 0")
     of_query = query_tokens.groupBy("query_id").agg(F.sum("weight").alias("total"), F.count("*").alias("n_query"), F.collect_list("token").alias("query"))
     attributes = entries.select(
         "entry_id", F.lower(T.text(F.col("kind"))).alias("kind"), "priority", "age_days", F.size("tokens").alias("n_tokens"),
-        T.tokens(T.tags_text(F.col("tags"))).alias("tag_tokens"),
+        "tag_tokens",
     )
     rows = gathered.join(attributes, "entry_id").join(of_query, "query_id")
     rows = rows.withColumn("exact", F.expr("array_sort(array_union(x, a))"))

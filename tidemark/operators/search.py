@@ -2,39 +2,74 @@
 
 from __future__ import annotations
 
+import hashlib
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tidemark.config import DEFAULT, EngineConfig
 from tidemark.functions import text as T
 from tidemark.operators import corpus, score
-from tidemark.operators.staging import staged
+from tidemark.operators.staging import exists, new_folder, shared_dir, staged, stamp, touch
 
 
 @dataclass
 class Index:
-    """What all searches share: entries past the quality gate, word weights, vocabulary, aliases."""
+    """What all searches share: entries past the quality gate, their postings, word weights, vocabulary, aliases."""
 
     entries: DataFrame
+    postings: DataFrame
     weights: DataFrame
     vocabulary: DataFrame
     aliases: DataFrame
     config: EngineConfig = DEFAULT
 
 
+_SIDES = ("log", "core")
+
+
+def write_index(log: DataFrame, core: DataFrame, folder: str, config: EngineConfig = DEFAULT) -> None:
+    """The prepared tables of log and curated entries; weights are those of both together.  Texts are tokenised and judged
+    once; postings are kept in token order, so a search reads the row groups of its tokens."""
+    spark = log.sparkSession
+    for side, entries in zip(_SIDES, (corpus.log_entries(log, config), corpus.core_entries(core))):
+        rows = entries.withColumn("tag_tokens", T.tokens(T.tags_text(F.col("tags")))).withColumn("good", corpus.passes(entries))
+        rows.write.mode("overwrite").parquet(f"{folder}/{side}")
+    every = [spark.read.parquet(f"{folder}/{side}") for side in _SIDES]
+    corpus.idf(*every).write.mode("overwrite").parquet(f"{folder}/weights")
+    for side, entries in zip(_SIDES, every):
+        posted = corpus.postings(entries.where("good")).hint("rebalance", F.col("token")).sortWithinPartitions("token")
+        posted.write.mode("overwrite").parquet(f"{folder}/{side}-postings")
+        words = spark.read.parquet(f"{folder}/{side}-postings").select("token").distinct()
+        words.select("token", T.stem("token").alias("stem")).write.mode("overwrite").parquet(f"{folder}/{side}-vocabulary")
+
+
+def read_index(spark: SparkSession, folder: str, aliases: DataFrame, config: EngineConfig = DEFAULT) -> tuple[Index, Index]:
+    def table(name: str) -> DataFrame:
+        return spark.read.parquet(f"{folder}/{name}")
+
+    log, core = (Index(table(s).where("good").drop("good"), table(f"{s}-postings"), table("weights"), table(f"{s}-vocabulary"), aliases, config) for s in _SIDES)
+    return log, core
+
+
 def build(log: DataFrame, core: DataFrame, aliases: DataFrame, config: EngineConfig = DEFAULT) -> tuple[Index, Index]:
-    """The indexes of log and curated entries; weights are those of both together.  Prepared tables are written once."""
-    logged = staged(corpus.log_entries(log, config), "entries")
-    curated = staged(corpus.core_entries(core), "core")
-    weights = staged(corpus.idf(logged, curated), "idf")
-    out = []
-    for entries in (logged, curated):
-        good = corpus.surfacing(entries)
-        out.append(Index(good, weights, staged(corpus.vocabulary(good), "vocabulary"), aliases, config))
-    return out[0], out[1]
+    """The indexes of log and curated entries, written anew."""
+    folder = new_folder(log.sparkSession, "index")
+    write_index(log, core, folder, config)
+    return read_index(log.sparkSession, folder, aliases, config)
+
+
+def opened(spark: SparkSession, log_path: str, core_path: str, aliases: DataFrame, config: EngineConfig = DEFAULT) -> tuple[Index, Index]:
+    """The indexes of stored tables, kept in the shared folder under the state of their files (names, lengths and times) and
+    the settings: as long as no file changes, every search of every session uses the same one."""
+    name = hashlib.md5("|".join([stamp(spark, log_path), stamp(spark, core_path), repr(config)]).encode()).hexdigest()
+    folder = f"{shared_dir(spark)}/index-{name}"
+    if not exists(spark, f"{folder}/vocabulary-done"):
+        write_index(spark.read.parquet(log_path), spark.read.parquet(core_path), folder, config)
+        touch(spark, f"{folder}/vocabulary-done")
+    return read_index(spark, folder, aliases, config)
 
 
 def tokens_of(texts: DataFrame, index: Index, prune: bool = True) -> DataFrame:
@@ -47,18 +82,18 @@ def top(scores: DataFrame, k: int) -> DataFrame:
     return scores.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def search(texts: DataFrame, index: Index, k: int | None = None, only_exact: bool = False) -> DataFrame:
-    """(query_id, entry_id, match, n_exact, score, rank); texts: (query_id, text).  Queries without tokens find nothing."""
+def search(texts: DataFrame, index: Index, k: int | None = None, only_exact: bool = False, cached: bool = False) -> DataFrame:
+    """(query_id, entry_id, match, n_exact, score, rank); texts: (query_id, text).  Queries without tokens find nothing.
+    The cached mode drops entries that match by substring alone."""
     tokens = staged(tokens_of(texts, index), "query-tokens")
-    found = score.evidence(tokens, index.entries, index.aliases, index.weights, index.vocabulary, only_exact)
-    return top(score.scored(tokens, found, index.entries, index.config), k or index.config.top_k)
+    found = score.evidence(tokens, index.postings, index.aliases, index.weights, index.vocabulary, only_exact)
+    return top(score.scored(tokens, found, index.entries, index.config, cached), k or index.config.top_k)
 
 
 def prefiltered(texts: DataFrame, index: Index) -> DataFrame:
-    """(query_id, entry_id) that share a token, an alias or a stem: the candidates of the cached mode, which drops entries
-    that match by substring alone."""
+    """(query_id, entry_id) that share a token, an alias or a stem: the candidates of the cached mode."""
     tokens = tokens_of(texts, index)
-    found = score.evidence(tokens, index.entries, index.aliases, index.weights, index.vocabulary)
+    found = score.evidence(tokens, index.postings, index.aliases, index.weights, index.vocabulary)
     return found.where("part <> 'p'").select("query_id", "entry_id").distinct()
 
 
@@ -67,10 +102,19 @@ def rescored(candidates: DataFrame, texts: DataFrame, index: Index) -> DataFrame
     tokens = staged(tokens_of(texts, index, prune=False), "query-tokens")
     pairs = staged(candidates.select("query_id", "entry_id").distinct(), "candidates")
     entries = staged(index.entries.join(pairs.select("entry_id").distinct(), "entry_id", "left_semi"), "candidate-entries")
-    found = score.evidence(tokens, entries, index.aliases, index.weights, index.vocabulary).join(pairs, ["query_id", "entry_id"], "left_semi")
+    posted = corpus.postings(entries)
+    words = index.vocabulary.join(posted.select("token").distinct(), "token", "left_semi")
+    found = score.evidence(tokens, posted, index.aliases, index.weights, words).join(pairs, ["query_id", "entry_id"], "left_semi")
     return score.scored(tokens, found, entries, index.config).select("query_id", "entry_id", "score")
 
 
+def unknown(texts: DataFrame, index: Index) -> DataFrame:
+    """(query_id) of the texts whose first 80 characters find no entry with a score above `same`."""
+    starts = texts.select("query_id", F.substring("text", 1, 80).alias("text"))
+    known = search(starts, index, 1).where(F.col("score") > index.config.same)
+    return texts.select("query_id").join(known, "query_id", "left_anti")
+
+
 def expanded(texts: DataFrame, expansions: DataFrame) -> DataFrame:
     """The queries with their extra terms (query_id, extra) appended; queries without stay as they are."""
     return texts.join(expansions, "query_id", "left").select("query_id", F.concat_ws(" ", "text", "extra").alias("text"))

@@ -3,7 +3,7 @@
 A set of n distinct words gets
   * ``class_key``   64-bit sum of mixed word hashes; with n and the bitmap it names the set,
   * ``bitmap``      64 bits, one set bit per word; differing bits bound the overlap from above,
-  * ``wide``        the same in 1,024 bits for sets of more than WIDE_FROM words, which fill 64; null for others,
+  * ``wide``        the same in 512 bits for sets of more than WIDE_FROM words, which fill 64; null for others,
   * ``prefix``      its first n - ceil(t n) + 1 words in the global order rare to frequent; two sets
                     with a Jaccard similarity of t or more share a word of their prefixes.
 
@@ -29,7 +29,7 @@ CELL_BITS = 22
 CELLS = 1 << CELL_BITS
 LEVELS = 64
 _ROWS = 1 << 20  # rows signed at once: with 12 bits for the level and 32 for the hash they fill 64
-WIDE_FROM, WIDE = 128, 16
+WIDE_FROM, WIDE = 128, 8
 
 _WORD = re.compile(r"\w+")
 #: For ASCII texts: letters to lower case, all but letters, digits and _ to spaces.
@@ -188,11 +188,12 @@ def postings(sets: DataFrame, num: int, den: int) -> tuple[DataFrame, DataFrame]
     return members, visitors
 
 
-def may_overlap(num: int, den: int) -> str:
+def may_overlap(num: int, den: int, a: str = "a", b: str = "b") -> str:
     """SQL condition on a (the smaller one) and b of one word: sizes, places and bit counts allow the similarity."""
-    need = needed("a.n", "b.n", num, den)
-    wide = "aggregate(zip_with(a.wide, b.wide, (x, y) -> bit_count(x ^ y)), 0, (s, x) -> s + x)"
+    most = f"{a}.n + {b}.n - 2 * {needed(f'{a}.n', f'{b}.n', num, den)}"  # so many members may be in one of them only
+    # written out, as a lambda would take the join out of generated code
+    wide = " + ".join(f"bit_count({a}.wide[{i}] ^ {b}.wide[{i}])" for i in range(WIDE))
     return (
-        f"a.n <= b.n and b.n * {num} <= a.n * {den} and bit_count(a.bitmap ^ b.bitmap) <= a.n + b.n - 2 * {need}"
-        f" and least(a.n - a.pos, b.n - b.pos) >= {need} and (a.wide is null or b.wide is null or {wide} <= a.n + b.n - 2 * {need})"
+        f"({a}.n <= {b}.n and {b}.n * {num} <= {a}.n * {den} and bit_count({a}.bitmap ^ {b}.bitmap) <= {most}"
+        f" and least({a}.n - {a}.pos, {b}.n - {b}.pos) >= {needed(f'{a}.n', f'{b}.n', num, den)} and ({a}.wide is null or {b}.wide is null or {wide} <= {most}))"
     )

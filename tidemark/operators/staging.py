@@ -33,6 +33,37 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return where
 
 
+def _path(spark: SparkSession, where: str):
+    path = spark._jvm.org.apache.hadoop.fs.Path(where)
+    return path, path.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def exists(spark: SparkSession, where: str) -> bool:
+    path, fs = _path(spark, where)
+    return fs.exists(path)
+
+
+def touch(spark: SparkSession, where: str) -> None:
+    path, fs = _path(spark, where)
+    fs.create(path, True).close()
+
+
+def remove(spark: SparkSession, where: str) -> None:
+    path, fs = _path(spark, where)
+    fs.delete(path, True)
+
+
+def stamp(spark: SparkSession, where: str) -> str:
+    """Names, lengths and times of the files of a table."""
+    path, fs = _path(spark, where)
+    files = fs.listFiles(path, True)
+    out = []
+    while files.hasNext():
+        f = files.next()
+        out.append(f"{f.getPath()}:{f.getLen()}:{f.getModificationTime()}")
+    return ",".join(sorted(out))
+
+
 def staged(df: DataFrame, name: str, *by: str) -> DataFrame:
     """Write (in folders by the given columns) and read back: lineage ends in files that outlive any executor; they go when
     the driver's JVM ends."""

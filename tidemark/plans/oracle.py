@@ -8,11 +8,11 @@ from __future__ import annotations
 
 from tidemark.config import DEFAULT
 from tidemark.functions import fixed
-from tidemark.functions.text import ISO, SPACE, stem_sql
-from tidemark.operators.capture import portable
-from tidemark.plans.context import CORE_TITLE, DIRECTIVE, WARM_TITLE
 
-DAY = 86_400
+#: White space of any script, for RE2; ISO times with an optional zone.
+SPACE = r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+ISO = r"^(\d{4}-\d\d-\d\dT\d\d:\d\d:\d\d(?:\.\d{1,6})?)(Z|[+-]\d\d:\d\d)?$"
+FIX, GATE = DEFAULT.fix_seconds, DEFAULT.gate_seconds
 
 
 def _quoted(values) -> str:
@@ -23,6 +23,16 @@ def _lit(s: str) -> str:
     return "'" + s.replace("'", "''") + "'"
 
 
+def _stem(w: str) -> str:
+    """The first suffix of the list that leaves three letters goes, else a single final s."""
+    hit = f"list_filter([{_quoted(fixed.SUFFIXES)}], lambda suffix: ends_with({w}, suffix) AND length({w}) >= length(suffix) + 3)[1]"
+    return f"CASE WHEN length({w}) <= 4 THEN {w} WHEN {hit} IS NOT NULL THEN left({w}, length({w}) - length({hit})) WHEN ends_with({w}, 's') AND NOT ends_with({w}, 'ss') THEN left({w}, length({w}) - 1) ELSE {w} END"
+
+
+def _portable(pattern: str) -> str:
+    return pattern.replace("\\s", SPACE).replace("\\w", "[\\p{L}\\p{N}_]")
+
+
 def _toks(e: str) -> str:
     return f"list_distinct(regexp_extract_all(lower({e}), '[\\p{{L}}\\p{{N}}_]{{3,}}'))"
 
@@ -107,10 +117,10 @@ def _search(p: str, texts: str, entries: str, keep: int | None = 10, only_exact:
   FROM (SELECT query_id, unnest({_toks('text')}) AS token FROM {texts}) t LEFT JOIN weights w USING (token)),
 {p}_q AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rank_weight DESC, token) AS place FROM {p}_all) WHERE place <= {keep or 10**9}),
 {p}_post AS (SELECT entry_id, unnest(tokens) AS token FROM {entries}),
-{p}_vocab AS (SELECT token, {stem_sql('token')} AS stem FROM (SELECT DISTINCT token FROM {p}_post)),
+{p}_vocab AS (SELECT token, {_stem('token')} AS stem FROM (SELECT DISTINCT token FROM {p}_post)),
 {p}_st AS (
   SELECT query_id, s.stem, coalesce(w.weight, 1.0) AS weight
-  FROM (SELECT DISTINCT query_id, {stem_sql('token')} AS stem FROM {p}_q) s LEFT JOIN weights w ON w.token = s.stem),
+  FROM (SELECT DISTINCT query_id, {_stem('token')} AS stem FROM {p}_q) s LEFT JOIN weights w ON w.token = s.stem),
 {p}_pairs AS (
   SELECT q.token, v.token AS other FROM (SELECT DISTINCT token FROM {p}_q) q JOIN {p}_vocab v
   ON q.token <> v.token AND (contains(v.token, q.token) OR contains(q.token, v.token)) AND 2 * least(length(q.token), length(v.token)) >= greatest(length(q.token), length(v.token))),
@@ -128,7 +138,7 @@ def _search(p: str, texts: str, entries: str, keep: int | None = 10, only_exact:
     UNION ALL SELECT query_id, entry_id, 0, 0, 1, 0, 0, 0, 0 FROM {p}_ev WHERE part = 'x'
     UNION ALL SELECT query_id, entry_id, 0, 0, 0, weight, 1, 0, 0 FROM {p}_ev WHERE part = 's'
     UNION ALL SELECT query_id, entry_id, 0, 0, 0, 0, 0, weight, 0 FROM {p}_ev e WHERE part = 's'
-      AND NOT EXISTS (SELECT 1 FROM {p}_exact x WHERE x.query_id = e.query_id AND x.entry_id = e.entry_id AND {stem_sql('x.token')} = e.token)
+      AND NOT EXISTS (SELECT 1 FROM {p}_exact x WHERE x.query_id = e.query_id AND x.entry_id = e.entry_id AND {_stem('x.token')} = e.token)
     UNION ALL SELECT query_id, entry_id, 0, 0, 0, 0, 0, 0, weight FROM {p}_ev e WHERE part = 'p'
       AND NOT EXISTS (SELECT 1 FROM {p}_exact x WHERE x.query_id = e.query_id AND x.entry_id = e.entry_id AND x.token = e.token)) GROUP BY ALL),
 {p}_tot AS (SELECT query_id, sum(weight) AS total, count(*) AS n_query, list(token) AS query FROM {p}_q GROUP BY query_id),
@@ -160,6 +170,7 @@ extra AS (
   SELECT query_id, string_agg(alias, ' ' ORDER BY alias) AS extra FROM (
     SELECT DISTINCT query_id, alias FROM (SELECT query_id, unnest({_words('text')}) AS token FROM admitted) JOIN alias_pairs USING (token)) GROUP BY query_id),
 wide AS (SELECT query_id, concat_ws(' ', text, extra) AS text FROM admitted LEFT JOIN extra USING (query_id))"""
+_PIPED = "array_to_string(list_transform(coalesce(tags, []), lambda t: coalesce(t, '')), '|')"
 _PATH = f"""{_BASE}, {_EXPANDED}, {_search('c', 'admitted', 'core')}, {_search('k', 'admitted', 'log')}, {_search('w', 'wide', 'log')},
 w5 AS (SELECT query_id, entry_id, rank AS place FROM w_top WHERE rank <= 5),
 {_search('r', 'admitted', 'log', None, only_pairs='w5')},
@@ -240,11 +251,28 @@ decided AS (
 decisions AS (SELECT line_num, decision, CASE WHEN decision = 'SUPERSEDE' THEN target END AS target FROM decided)"""
 
 
-_SUMMARIES = """
-points AS (SELECT substring(session_id, 1, 8) AS sid, line_num, coalesce(content, '') AS content FROM memory_log WHERE type = 'SESSION_CHECKPOINT' AND session_id IS NOT NULL AND session_id <> 'unknown' AND line_num IS NOT NULL),
-asking AS (SELECT DISTINCT session_id FROM documents WHERE doc_id % 100 = 0),
+def _summaries(source: str = "memory_log") -> str:
+    """For every asking session: the newest checkpoint of another one, else tags or snippets of the latest other one's last block."""
+    return f"""
+asking AS (SELECT row_number() OVER () AS a, session_id, substring(coalesce(session_id, ''), 1, 8) AS own FROM (SELECT DISTINCT session_id FROM documents)),
+said AS (
+  SELECT a, line_num, substring(r.session_id, 1, 8) AS sid, type, coalesce(content, '') AS content, tags
+  FROM {source} r JOIN asking ON substring(r.session_id, 1, 8) <> own WHERE r.session_id <> 'unknown' AND line_num IS NOT NULL),
+points AS (SELECT a, arg_max(content, line_num) AS content FROM said WHERE type = 'SESSION_CHECKPOINT' GROUP BY a),
+newest AS (SELECT a, arg_max(sid, line_num) AS sid FROM said GROUP BY a),
+older AS (SELECT s.a, max(line_num) AS upto FROM said s JOIN newest n ON n.a = s.a AND n.sid <> s.sid GROUP BY s.a),
+block AS (SELECT s.* FROM said s JOIN newest n ON n.a = s.a AND n.sid = s.sid LEFT JOIN older o ON o.a = s.a WHERE upto IS NULL OR line_num > upto),
+btags AS (
+  SELECT a, tag, max((line_num, -posn)) AS seen FROM (SELECT a, line_num, unnest(tags) AS tag, generate_subscripts(tags, 1) AS posn FROM block)
+  WHERE tag IS NOT NULL AND lower(tag) NOT IN ({_quoted(fixed.SUMMARY_SKIPPED_TAGS)}) GROUP BY ALL),
+btop AS (SELECT a, string_agg(tag, ', ' ORDER BY seen DESC) AS tags FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY seen DESC) AS n FROM btags) WHERE n <= 8 GROUP BY a),
+bparts AS (SELECT a, string_agg(substring(content, 1, 40), ' | ' ORDER BY line_num DESC) AS parts FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY line_num DESC) AS n FROM block) WHERE n <= 3 GROUP BY a),
 summaries AS (
-  SELECT session_id, substring(coalesce((SELECT arg_max(content, line_num) FROM points WHERE sid <> substring(coalesce(session_id, ''), 1, 8)), ''), 1, 250) AS summary FROM asking)"""
+  SELECT session_id, substring(coalesce(points.content, '{fixed.TOPICS_HEAD}' || tags, '{fixed.SNIPPETS_HEAD}' || parts, ''), 1, 250) AS summary
+  FROM asking LEFT JOIN points USING (a) LEFT JOIN btop USING (a) LEFT JOIN bparts USING (a))"""
+
+
+_TAIL_4096 = "tail4096 AS (SELECT * FROM (SELECT *, sum(octet_length(encode(coalesce(content, ''))) + 1) OVER (ORDER BY line_num DESC) AS upto FROM memory_log WHERE line_num IS NOT NULL) WHERE upto < 4096)"
 
 
 def _soundex() -> str:
@@ -267,7 +295,7 @@ def _codes(words: str) -> str:
 def _corrections() -> str:
     options = []
     for pattern, group, kind in fixed.CORRECTION_PATTERNS:
-        got = f"regexp_replace({_strip(f'regexp_extract(p, {_lit(portable(pattern))}, {group}, {_lit("is")})')}, '{SPACE}+', ' ', 'g')"
+        got = f"regexp_replace({_strip(f'regexp_extract(p, {_lit(_portable(pattern))}, {group}, {_lit("is")})')}, '{SPACE}+', ' ', 'g')"
         options.append((got, kind))
     case = "CASE " + " ".join(f"WHEN length(c{i}) >= 10 THEN {{{i}}}" for i in range(len(options))) + " END"
     columns = ", ".join(f"{got} AS c{i}" for i, (got, _) in enumerate(options))
@@ -295,17 +323,20 @@ tagk AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY posn) AS n
 smart AS (SELECT query_id, string_agg(tag, ',' ORDER BY n) AS tags FROM tagk WHERE n <= 8 GROUP BY query_id)"""
 
 
-def _decisions(most: int = 10) -> str:
+def _decisions(where: str = "true") -> str:
     parts = []
     for n, (pattern, kind) in enumerate(fixed.DECISION_PATTERNS):
-        parts.append(f"SELECT doc_id, {n} AS pattern, generate_subscripts(m, 1) AS posn, '{kind}' AS type, unnest(m) AS raw FROM (SELECT doc_id, regexp_extract_all(coalesce(text, ''), {_lit(portable(pattern))}, 1, 'i') AS m FROM documents WHERE doc_id IS NOT NULL)")
+        parts.append(f"SELECT doc_id, {n} AS pattern, generate_subscripts(m, 1) AS posn, '{kind}' AS type, unnest(m) AS raw FROM (SELECT doc_id, regexp_extract_all(coalesce(text, ''), {_lit(_portable(pattern))}, 1, 'i') AS m FROM documents WHERE doc_id IS NOT NULL AND {where})")
     verb = rf"regexp_matches(content, '[\p{{L}}\p{{N}}_](?:{fixed.VERB_LIKE})(?:[^\p{{L}}\p{{N}}_]|$)', 'i')"
     return f"""
-WITH raw AS ({' UNION ALL '.join(parts)}),
+raw AS ({' UNION ALL '.join(parts)}),
 cut AS (SELECT doc_id, pattern, posn, type, substring(regexp_replace({_strip('raw')}, '[\\n\\r]+', ' ', 'g'), 1, 300) AS content FROM raw),
 good AS (SELECT *, row_number() OVER (PARTITION BY doc_id, lower(substring(content, 1, 50)) ORDER BY pattern, posn) AS n FROM cut WHERE length(content) >= 50 AND {verb}),
-ranked AS (SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY pattern, posn) AS INT) AS place, type, content FROM good WHERE n = 1)
-SELECT * FROM ranked WHERE place <= {most}"""
+matches AS (SELECT *, row_number() OVER () AS query_id FROM good WHERE n = 1)"""
+
+
+def _ranked(rows: str, most: int = 10) -> str:
+    return f"SELECT * FROM (SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY pattern, posn) AS INT) AS place, type, content FROM {rows}) WHERE place <= {most}"
 
 
 _K = "coalesce(CAST(json_extract_string(props, '$.k') AS BIGINT), 0)"
@@ -324,22 +355,41 @@ flags AS (
   FROM placed_acts a JOIN placed_acts b ON b.session_id = a.session_id AND b.place BETWEEN a.place - 7 AND a.place WHERE a.place >= 3 GROUP BY ALL)"""
 
 
-def _resolved(seconds: int) -> str:
+_HOUR = "strftime(ts, '%Y-%m-%d-%H')"
+
+
+def _resolved(session: str | None) -> str:
+    """Failures with the first success within the horizon, of the same session (an expression), or of anyone."""
+    same = f"AND f.{session} = e.{session}" if session else ""
     return f"""
 WITH {_ACTS},
+known AS (SELECT *, {_HOUR} AS hour FROM acts),
 fixes AS (
-  SELECT e.event_id, f.event_id AS fixed_by, e.k, f.description, e.ts AS failed_at, f.ts AS fixed_at, row_number() OVER (PARTITION BY e.event_id ORDER BY f.place) AS n
-  FROM placed_acts e JOIN placed_acts f ON f.session_id = e.session_id AND f.place > e.place AND f.category <> 'TRIED-FAILED' AND length(f.description) >= 15 AND f.ts - e.ts <= INTERVAL {seconds} SECOND
-  WHERE e.category = 'TRIED-FAILED')
+  SELECT e.event_id, f.event_id AS fixed_by, e.k, f.description, row_number() OVER (PARTITION BY e.event_id ORDER BY f.ts, f.event_id) AS n
+  FROM known e JOIN known f ON f.ts BETWEEN e.ts AND e.ts + INTERVAL {FIX} SECOND AND (f.ts, f.event_id) > (e.ts, e.event_id) {same}
+  WHERE e.category = 'TRIED-FAILED' AND f.category <> 'TRIED-FAILED' AND length(f.description) >= 15)
 SELECT event_id, fixed_by, 'Resolved ''Error: exit of step ' || k || ' failed'' by: ' || description AS content FROM fixes WHERE n = 1"""
 
 
+_TESTS = f"""
+edits AS (SELECT {_HOUR} AS hour, ts, event_id, 'mod_' || k || '.py' AS file, 'mod_' || k || '.py: limit = ' || k || ' -> limit = ' || (k + 1) AS text FROM acts WHERE category = 'CHANGED'),
+runs AS (SELECT event_id, {_HOUR} AS hour, ts, category, k FROM acts WHERE category <> 'CHANGED' AND contains(cmd, 'pytest')),
+met AS (
+  SELECT r.event_id, r.category, r.k, e.file, e.text, row_number() OVER (PARTITION BY r.event_id ORDER BY e.ts, e.event_id) AS n
+  FROM runs r JOIN edits e ON e.hour = r.hour AND e.ts <= r.ts AND r.ts - e.ts < INTERVAL {FIX} SECOND
+  WHERE NOT EXISTS (SELECT 1 FROM runs p WHERE p.category = 'INFRA' AND p.hour = r.hour AND (p.ts, p.event_id) < (r.ts, r.event_id) AND (p.ts, p.event_id) >= (e.ts, e.event_id))),
+results AS (
+  SELECT event_id, k, CASE category WHEN 'INFRA' THEN 'pass' ELSE 'fail' END AS result, string_agg(DISTINCT file, ', ' ORDER BY file) AS files,
+    string_agg(text, '; ' ORDER BY n) FILTER (n <= 5) AS changes, CAST(count(*) AS INT) AS n_edits,
+    CASE category WHEN 'INFRA' THEN k || ' passed' ELSE 'collecting' || chr(10) || 'Error: exit of step ' || k || ' failed' END AS output FROM met GROUP BY event_id, category, k)"""
+
+
 def oracle_sql() -> dict[str, str]:
     pick = "query_id, entry_id, score, rank"
     return {
         "idf_stats": f"WITH {_CORPUS} SELECT token, df, round(weight, 6) AS weight FROM weights",
         "token_postings": f"WITH {_CORPUS} SELECT entry_id, unnest(tokens) AS token FROM log",
-        "vocab_stems": f"WITH {_CORPUS} SELECT token, {stem_sql('token')} AS stem FROM (SELECT DISTINCT unnest(tokens) AS token FROM log0)",
+        "vocab_stems": f"WITH {_CORPUS} SELECT token, {_stem('token')} AS stem FROM (SELECT DISTINCT unnest(tokens) AS token FROM log0)",
         "soundex_codes": f"WITH {_CORPUS} SELECT token, {_soundex()} AS code FROM (SELECT DISTINCT unnest(tokens) AS token FROM log0)",
         "quality_gate": f"SELECT line_num, {_SURFACING} AS surfacing, {_STORING} AS storing FROM memory_log",
         "content_hashes": f"SELECT line_num, {_HASH} AS hash FROM memory_log WHERE content IS NOT NULL",
@@ -349,6 +399,9 @@ def oracle_sql() -> dict[str, str]:
         "search_prefilter_candidates": f"{_BASE}, {_search('k', 'admitted', 'log')} SELECT DISTINCT query_id, entry_id FROM k_ev WHERE part <> 'p'",
         "search_exact_topk": f"{_BASE}, {_search('k', 'admitted', 'log', only_exact=True)} SELECT {pick} FROM k_top WHERE rank <= 5",
         "search_log_topk": f"{_BASE}, {_search('k', 'admitted', 'log')} SELECT {pick}, match, n_exact FROM k_top WHERE rank <= 5",
+        "search_cached_topk": f"""{_BASE}, {_search('k', 'admitted', 'log')},
+shared AS (SELECT DISTINCT query_id, entry_id FROM k_ev WHERE part <> 'p')
+SELECT {pick}, match, n_exact FROM (SELECT query_id, entry_id, score, match, n_exact, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, entry_id) AS INT) AS rank FROM k_scored SEMI JOIN shared USING (query_id, entry_id)) WHERE rank <= 5""",
         "search_core_topk": f"{_BASE}, {_search('k', 'admitted', 'core')} SELECT {pick} FROM k_top WHERE rank <= 5",
         "two_pass_rescore": f"{_BASE}, {_search('k', 'admitted', 'log')}, k20 AS (SELECT query_id, entry_id FROM k_top WHERE rank <= 20), {_search('r', 'admitted', 'log', None, only_pairs='k20')} SELECT query_id, entry_id, score FROM r_scored",
         "expanded_recall": f"{_BASE}, {_EXPANDED}, {_search('k', 'wide', 'log')} SELECT {pick} FROM k_top WHERE rank <= 5",
@@ -361,12 +414,15 @@ def oracle_sql() -> dict[str, str]:
         "ack_markers": f"""{_PATH.replace('WITH', 'WITH RECURSIVE', 1)}, {_CLUSTERS}
 SELECT query_id, a.session_id, count(*) AS count, string_agg('- [' || coalesce(kind, '') || '] ' || substring(string_split(content, chr(10))[1], 1, 100), chr(10) ORDER BY place) AS summary, a.text AS intent
 FROM clusters JOIN admitted a USING (query_id) GROUP BY query_id, a.session_id, a.text""",
+        "ack_current": f"""{_PATH.replace('WITH', 'WITH RECURSIVE', 1)}, {_CLUSTERS},
+marks AS (SELECT query_id, a.session_id, count(*) AS count, a.text AS intent FROM clusters JOIN admitted a USING (query_id) GROUP BY query_id, a.session_id, a.text)
+SELECT session_id, query_id, count, intent FROM marks WHERE session_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY session_id ORDER BY query_id DESC) = 1""",
         "gate_first_block": f"""
 WITH calls AS (SELECT event_id, CAST(user_id AS VARCHAR) AS session_id, ts, event_type FROM events WHERE ts IS NOT NULL AND user_id IS NOT NULL),
 last AS (
   SELECT c.session_id, c.event_id, c.ts, max(m.ts) AS posn FROM calls c JOIN calls m ON m.session_id = c.session_id AND m.event_type = 'error' AND m.ts <= c.ts
   WHERE c.event_type <> 'error' GROUP BY ALL),
-firsts AS (SELECT *, row_number() OVER (PARTITION BY session_id, posn ORDER BY ts, event_id) AS n FROM last WHERE ts - posn <= INTERVAL {DAY} SECOND)
+firsts AS (SELECT *, row_number() OVER (PARTITION BY session_id, posn ORDER BY ts, event_id) AS n FROM last WHERE ts - posn <= INTERVAL {GATE} SECOND)
 SELECT session_id, event_id FROM firsts WHERE n = 1""",
         "prompt_filter": f"WITH {_intents('true')} SELECT query_id FROM admitted",
         "intent_extraction": f"WITH {_intents('true')} SELECT doc_id, intent FROM intents",
@@ -382,6 +438,9 @@ WITH sets AS (
   SELECT words, min(line_num) AS id, len(words) AS n FROM (SELECT line_num, list_sort({_words('content')}) AS words FROM memory_log WHERE content IS NOT NULL AND line_num IS NOT NULL) WHERE len(words) > 0 GROUP BY words),
 met AS (SELECT a.id AS id_a, b.id AS id_b, a.n + b.n AS both_n, len(list_intersect(a.words, b.words)) AS common FROM sets a JOIN sets b ON a.id < b.id AND 2 * a.n > b.n AND 2 * b.n > a.n)
 SELECT id_a, id_b, round(common / (both_n - common), 6) AS similarity FROM met WHERE 2 * common > both_n - common""",
+        "near_dup_members": f"""
+WITH sets AS (SELECT line_num, list_sort({_words('content')}) AS words FROM memory_log WHERE content IS NOT NULL AND line_num IS NOT NULL)
+SELECT line_num, min(line_num) OVER (PARTITION BY words) AS id, count(*) OVER (PARTITION BY words) AS members FROM sets WHERE len(words) > 0""",
         "dup_by_search": f"""
 WITH {_CORPUS}, ask AS (SELECT line_num AS query_id, substring(content, 1, 80) AS text FROM memory_log WHERE line_num % 100 = 0 AND content IS NOT NULL), {_search('k', 'ask', 'log')}
 SELECT query_id, entry_id, score FROM k_top WHERE rank = 1 AND score > {DEFAULT.same}""",
@@ -389,16 +448,31 @@ SELECT query_id, entry_id, score FROM k_top WHERE rank = 1 AND score > {DEFAULT.
 WITH {_CORPUS}, ask AS (SELECT line_num AS query_id, content AS text FROM memory_log WHERE line_num % 100 = 0 AND content IS NOT NULL), {_search('k', 'ask', 'log')},
 best AS (SELECT query_id, max(score) AS best FROM k_top JOIN log USING (entry_id) WHERE rank <= 3 AND kind IN ({_quoted(fixed.CORRECTION_TYPES)}) GROUP BY query_id)
 SELECT query_id, coalesce(best, 0.0) AS best FROM ask LEFT JOIN best USING (query_id)""",
-        "store_stats": "SELECT count(*) AS log_entries, arg_max(logged_at, line_num) FILTER (coalesce(logged_at, '') <> '') AS last_entry_date FROM memory_log",
+        "store_stats": "SELECT count(*) AS log_entries, arg_max(logged_at, line_num) FILTER (coalesce(logged_at, '') <> '') AS last_entry_date, (SELECT CAST(count(*) AS INT) FROM aliases) AS memory_lines FROM memory_log",
         "tail_scan": f"SELECT line_num FROM (SELECT line_num, sum(octet_length(encode(coalesce(content, ''))) + 1) OVER (ORDER BY line_num DESC) AS upto FROM memory_log) WHERE upto < {DEFAULT.tail_bytes}",
         "jsonl_entries": """
 WITH ok AS (SELECT line_num, CAST(raw_json AS JSON) AS j FROM entry_cache WHERE json_valid(raw_json) AND starts_with(trim(raw_json), '{'))
 SELECT line_num, j ->> 'type' AS type, j ->> 'content' AS content, array_to_string(list_transform(coalesce(CAST(j -> 'tags' AS VARCHAR[]), []), lambda t: coalesce(t, '')), '|') AS tags, coalesce(j ->> 'session_id', 'unknown') AS session_id FROM ok""",
-        "entry_cache_build": f"""
+        **dict.fromkeys(["entry_cache_build", "entry_cache_synced", "entry_cache_dirty"], f"""
 WITH {_CORPUS},
 t AS (SELECT entry_id AS line_num, tokens, {_toks('tags_text')} AS tags, lower(coalesce(kind, '')) AS entry_type, {_HASH} AS content_hash FROM log0)
-SELECT line_num, {_joined('tokens')} AS tokens, {_joined(f"list_transform(tokens, lambda token: {stem_sql('token')})")} AS stems,
-  {_joined(_codes('tokens'))} AS soundex_codes, {_joined('tags')} AS tag_tokens, {_joined(_codes('tags'))} AS tag_soundex, entry_type, content_hash FROM t""",
+SELECT line_num, {_joined('tokens')} AS tokens, {_joined(f"list_transform(tokens, lambda token: {_stem('token')})")} AS stems,
+  {_joined(_codes('tokens'))} AS soundex_codes, {_joined('tags')} AS tag_tokens, {_joined(_codes('tags'))} AS tag_soundex, entry_type, content_hash FROM t"""),
+        "idf_kept": f"""
+WITH {_CORPUS},
+old AS (SELECT entry_id, tokens FROM log0 WHERE entry_id < (SELECT min(entry_id) FROM (SELECT entry_id FROM log0 ORDER BY entry_id DESC LIMIT 40)) UNION ALL SELECT entry_id, tokens FROM core0),
+old_weights AS (SELECT token, ln(1 + (SELECT count(*) FROM old) / count(*)) AS weight FROM (SELECT unnest(tokens) AS token FROM old) GROUP BY token)
+SELECT 'kept' AS mode, token, round(weight, 6) AS weight FROM old_weights UNION ALL SELECT mode, token, round(weight, 6) FROM weights, (VALUES ('grown'), ('aged')) m(mode)""",
+        "core_jsonl_scan": f"SELECT section, content, {_PIPED} AS tags, priority, type FROM core_tagged",
+        "jsonl_append_scan": f"SELECT type, content, {_PIPED} AS tags, logged_at, coalesce(session_id, 'unknown') AS session_id, source FROM memory_log WHERE line_num IS NOT NULL",
+        "alias_load": "SELECT alias_key, array_to_string(list_transform(expansions, lambda t: coalesce(t, '')), '|') AS expansions FROM aliases WHERE alias_key IS NOT NULL AND expansions IS NOT NULL",
+        "transcript_json": """
+WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS said, unnest(range(len(string_split(text, chr(10))))) AS posn FROM documents WHERE kind = 'transcript' AND text IS NOT NULL)
+SELECT doc_id, CAST(posn AS INT) AS pos, CASE WHEN starts_with(said, '[USER] ') THEN 'user' ELSE 'assistant' END AS role, CASE WHEN starts_with(said, '[USER] ') THEN substring(said, 8) ELSE said END AS text FROM l WHERE said NOT IN ('', '[USER] ')""",
+        "completion_keys": "SELECT line_num, substring(md5(content), 1, 16) AS prompt_key, substring(md5(content), 1, 12) AS verdict_key FROM memory_log WHERE content IS NOT NULL",
+        "completion_memo": """
+WITH p AS (SELECT line_num AS id, content, substring(md5(content), 1, 16) AS key FROM memory_log WHERE line_num IS NOT NULL)
+SELECT id, key, (SELECT min(upper(substring(replace(m.content, 'ß', 'SS'), 1, 20))) FROM p m WHERE m.key = p.key AND m.id % 2 = 0) AS response FROM p""",
         "cache_staleness": f"""
 SELECT CASE WHEN content_hash IS NULL AND c.line_num IS NULL THEN 'missing' WHEN content_hash IS NULL THEN 'unhashed' WHEN content_hash = {_HASH} THEN 'fresh' ELSE 'stale' END AS state, count(*) AS n
 FROM memory_log m LEFT JOIN entry_cache c ON c.line_num = m.line_num GROUP BY 1""",
@@ -409,8 +483,9 @@ SELECT token, round(w.weight, 6) AS weight, round(i.weight, 6) AS old_weight, co
 WITH t AS (SELECT doc_id, list_filter(string_split(text, chr(10)), lambda x: {_strip('x')} <> '') AS l FROM documents WHERE kind = 'transcript' AND text IS NOT NULL),
 u AS (SELECT doc_id, l[greatest(len(l) - 199, 1):] AS l FROM t)
 SELECT doc_id, CAST(len(l) AS INT) AS n_lines, CAST(len(list_filter(l, lambda x: starts_with(x, '[USER] '))) AS INT) AS n_user, array_to_string(l, chr(10)) AS text FROM u""",
-        "session_summary": f"WITH {_SUMMARIES} SELECT * FROM summaries",
-        "assembled_context": f"""{_PATH.replace('WITH', 'WITH RECURSIVE', 1)}, {_SUMMARIES},
+        "session_summary": f"WITH {_summaries()} SELECT * FROM summaries",
+        "session_summary_tail": f"WITH {_TAIL_4096}, {_summaries('tail4096')} SELECT * FROM summaries",
+        "assembled_context": f"""{_PATH.replace('WITH', 'WITH RECURSIVE', 1)}, {_summaries()},
 used AS (SELECT query_id, length(summary) + 25 AS used FROM admitted JOIN summaries USING (session_id) WHERE summary <> ''),
 {_CLUSTERS}, {_CORE_BLOCK}, {_BLOCK},
 known AS (
@@ -420,11 +495,11 @@ learned AS (
   SELECT query_id, hot, warm FROM (SELECT query_id, string_agg(entry, chr(10) ORDER BY place) AS hot FROM bhot GROUP BY query_id)
   FULL JOIN (SELECT query_id, string_agg(entry, chr(10) ORDER BY place) AS warm FROM bwarm GROUP BY query_id) USING (query_id))
 SELECT query_id, session_id, concat_ws(chr(10),
-  CASE WHEN coalesce(summary, '') <> '' THEN '## Last session' || chr(10) || summary || chr(10) END,
-  {_lit(CORE_TITLE)} || chr(10) || chr(10) || known || chr(10),
-  '## Past session learnings' || chr(10) || chr(10) || 'Relevant context from previous sessions:' || chr(10) || chr(10) || hot,
-  {_lit(WARM_TITLE)} || chr(10) || warm,
-  chr(10) || {_lit(DIRECTIVE)}) AS context
+  CASE WHEN coalesce(summary, '') <> '' THEN '{fixed.LAST_TITLE}' || chr(10) || summary || chr(10) END,
+  {_lit(fixed.CORE_TITLE)} || chr(10) || chr(10) || known || chr(10),
+  {_lit(fixed.LOG_TITLE)} || chr(10) || hot,
+  {_lit(fixed.WARM_TITLE)} || chr(10) || warm,
+  chr(10) || {_lit(fixed.DIRECTIVE)}) AS context
 FROM admitted LEFT JOIN summaries USING (session_id) LEFT JOIN known USING (query_id) LEFT JOIN learned USING (query_id)""",
         "session_topics": f"""
 WITH r AS (SELECT session_id, line_num, content, tags FROM memory_log WHERE session_id IS NOT NULL AND session_id NOT IN ('', 'unknown') AND line_num IS NOT NULL),
@@ -449,22 +524,43 @@ SELECT session_id, substring('Session ' || substring(session_id, 1, 8) || ': ' |
 WITH {_CORPUS}, {_corrections()},
 able AS (
   SELECT c.* FROM corr c JOIN memory_log m ON m.line_num = c.query_id
-  WHERE c.query_id % 100 = 0 AND length(m.content) >= 20 AND {_any('lower(m.content)', fixed.CORRECTION_SIGNALS)}),
+  WHERE length(m.content) >= 20 AND {_any('lower(m.content)', fixed.CORRECTION_SIGNALS)}),
 ask AS (SELECT query_id, content AS text FROM (SELECT * FROM able) WHERE {_STORING}),
 {_search('k', 'ask', 'log')},
 best AS (SELECT query_id, max(score) AS best FROM k_top JOIN log USING (entry_id) WHERE rank <= 3 AND kind IN ({_quoted(fixed.CORRECTION_TYPES)}) GROUP BY query_id),
 {_smart('able')},
-kept AS (SELECT query_id, coalesce(best, 0.0) AS best FROM ask LEFT JOIN best USING (query_id) WHERE coalesce(best, 0.0) <= {DEFAULT.same})
+kept AS (SELECT query_id, coalesce(best, 0.0) AS best FROM ask LEFT JOIN best USING (query_id) WHERE coalesce(best, 0.0) <= {DEFAULT.same}),
+last AS (
+  SELECT * FROM (SELECT line_num, coalesce(content, '') AS content, row_number() OVER w AS k, sum(octet_length(encode(coalesce(content, ''))) + 1) OVER w AS upto FROM memory_log WHERE line_num IS NOT NULL WINDOW w AS (ORDER BY line_num DESC))
+  WHERE k <= {DEFAULT.tail_rows + 1} AND upto < {DEFAULT.tail_bytes}),
+near AS (
+  SELECT query_id, k, line_num, length(a.content) >= length(l.content) AS longer, lower(substring(a.content, 1, 80)) = lower(substring(l.content, 1, 80)) AS same_start,
+    len(list_intersect({_words('a.content')}, {_words('l.content')})) AS common, len({_words('a.content')}) + len({_words('l.content')}) - len(list_intersect({_words('a.content')}, {_words('l.content')})) AS total
+  FROM able a, last l),
+verdict AS (
+  SELECT a.query_id, CASE WHEN substring(md5(lower(a.content)), 1, 16) IN (SELECT substring(md5(lower(content)), 1, 16) FROM memory_log WHERE content <> '') OR bool_or(k <= {DEFAULT.tail_rows} AND (same_start OR common > {DEFAULT.duplicate} * total)) THEN 'SKIP'
+      WHEN bool_or(common > 0 AND common >= {DEFAULT.supersede_from} * total AND common <= {DEFAULT.duplicate} * total AND longer) THEN 'SUPERSEDE' ELSE 'APPEND' END AS decision,
+    max(line_num) FILTER (common > 0 AND common >= {DEFAULT.supersede_from} * total AND common <= {DEFAULT.duplicate} * total AND longer) AS target
+  FROM able a LEFT JOIN near USING (query_id) GROUP BY a.query_id, a.content)
 SELECT query_id, CASE WHEN best > {DEFAULT.repeat} THEN 'REPEATED_CORRECTION' ELSE type END AS type, content,
-  concat_ws(',', tags, 'user_correction', 'auto_detected', CASE WHEN best > {DEFAULT.repeat} THEN 'repeated' END) AS tags
-FROM able JOIN kept USING (query_id) LEFT JOIN smart USING (query_id)""",
+  concat_ws(',', tags, 'user_correction', 'auto_detected', CASE WHEN best > {DEFAULT.repeat} THEN 'repeated' END) AS tags,
+  decision, CASE WHEN decision = 'SUPERSEDE' THEN target END AS target
+FROM able JOIN kept USING (query_id) JOIN verdict USING (query_id) LEFT JOIN smart USING (query_id)""",
         "validate_learnings": f"""
 WITH ok AS (SELECT line_num AS id, CAST(raw_json AS JSON) AS j FROM entry_cache WHERE json_valid(raw_json) AND starts_with(trim(raw_json), '{{')),
 p AS (SELECT id, {_strip("coalesce(j ->> 'content', '')")} AS content, {_strip("coalesce(j ->> 'type', '')")} AS type, coalesce(CAST(j -> 'tags' AS VARCHAR[]), []) AS tags FROM ok)
 SELECT id, CASE WHEN type IN ({_quoted(fixed.VALID_TYPES)}) THEN type ELSE 'WORKING_SOLUTION' END AS type, substring(content, 1, 500) AS content,
   array_to_string(list_filter(list_transform(list_filter(tags, lambda t: t IS NOT NULL), lambda t: lower({_strip('t')})), lambda t: length(t) >= 2)[1:8], ',') AS tags
 FROM p WHERE length(content) >= 20""",
-        "decisions_extracted": _decisions(),
+        "decisions_extracted": f"WITH {_decisions()} {_ranked('matches')}",
+        "decisions_new": f"""
+WITH {_CORPUS}, {_decisions(_EVERY)}, ask AS (SELECT query_id, substring(content, 1, 80) AS text FROM matches), {_search('k', 'ask', 'log')},
+fresh AS (SELECT * FROM matches WHERE query_id NOT IN (SELECT query_id FROM k_top WHERE rank = 1 AND score > {DEFAULT.same}))
+{_ranked('fresh')}""",
+        "plan_reasoning": f"""
+WITH plans AS (SELECT doc_id, text, 'Chose item ' || doc_id || ' because ' || regexp_replace(substring(text, 1, 200), '[^a-zA-Z0-9 ]', 'x', 'g') || ' and so on' AS reason FROM documents WHERE kind = 'plan' AND text IS NOT NULL),
+parts AS (SELECT doc_id, {_strip("string_split_regex(chr(10) || text || chr(10) || '## Steps', '\n#{2,3}\\s')[1]")} AS m FROM plans UNION ALL SELECT doc_id, m FROM (SELECT doc_id, {_strip("regexp_extract(reason, '(?i)Chose .+? because .{50,300}')")} AS m FROM plans))
+SELECT doc_id, substring(m, 1, 500) AS content FROM parts WHERE length(m) > 50""",
         "incremental_tail": """
 WITH p AS (
   SELECT d.doc_id, CASE WHEN o > 0 AND o < length(text) THEN substring(text, CAST(o AS INT) + 1) ELSE text END AS part
@@ -475,17 +571,15 @@ SELECT doc_id, part FROM p WHERE length(part) >= 100""",
 WITH {_ACTS},
 late AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY place DESC) AS n FROM placed_acts)
 SELECT session_id, string_agg('[' || category || '] ' || substring(description, 1, 60), chr(10) ORDER BY place) AS summary FROM late WHERE n <= 10 GROUP BY session_id""",
-        "error_resolution": _resolved(DAY),
-        "error_resolution_any": _resolved(DEFAULT.fix_seconds),
-        "test_results": f"""
-WITH {_ACTS},
-edits AS (SELECT session_id, ts, event_id, 'mod_' || k || '.py' AS file, 'mod_' || k || '.py: limit = ' || k || ' -> limit = ' || (k + 1) AS text FROM acts WHERE category = 'CHANGED'),
-runs AS (SELECT event_id, session_id, ts, category FROM acts WHERE category <> 'CHANGED' AND contains(cmd, 'pytest')),
-met AS (
-  SELECT r.event_id, r.category, e.file, e.text, row_number() OVER (PARTITION BY r.event_id ORDER BY e.ts, e.event_id) AS n
-  FROM runs r JOIN edits e ON e.session_id = r.session_id AND e.ts <= r.ts AND r.ts - e.ts < INTERVAL {DAY} SECOND)
-SELECT event_id, CASE category WHEN 'INFRA' THEN 'pass' ELSE 'fail' END AS result, string_agg(DISTINCT file, ', ' ORDER BY file) AS files,
-  string_agg(text, '; ' ORDER BY n) FILTER (n <= 5) AS changes, CAST(count(*) AS INT) AS n_edits FROM met GROUP BY event_id, category""",
+        "error_resolution": _resolved("session_id"),
+        "error_resolution_any": _resolved(None),
+        "error_resolution_hourly": _resolved("hour"),
+        "test_results": f"WITH {_ACTS}, {_TESTS} SELECT event_id, result, files, changes, n_edits, output FROM results",
+        "test_failures_new": f"""
+WITH {_CORPUS}, {_ACTS}, {_TESTS},
+failures AS (SELECT event_id AS query_id, 'Tests FAILED after editing: ' || files || '. Changes: ' || changes || '. Failure output: ' || output AS content FROM results WHERE result = 'fail'),
+ask AS (SELECT query_id, substring(content, 1, 80) AS text FROM failures), {_search('k', 'ask', 'log')}
+SELECT query_id AS event_id, content FROM failures WHERE query_id NOT IN (SELECT query_id FROM k_top WHERE rank = 1 AND score > {DEFAULT.same})""",
         "signal_retry_success": f"WITH {_ACTS}, {_RETRY} SELECT session_id, event_id, place FROM (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY place) AS n FROM flags WHERE retry) WHERE n = 1",
         "signal_config_breakthrough": f"""
 WITH {_ACTS}, {_RETRY},

@@ -60,16 +60,30 @@ def plan_files(spark: SparkSession, folder: str, modified_after: str | None = No
 def tail(rows: DataFrame, by: str, max_bytes: int) -> DataFrame:
     """The last rows of a log whose lines end less than max_bytes bytes before its end, all if the whole log is shorter.
 
-    Bytes are summed in blocks of 4,096 lines.  A line has a byte or more, so only the last blocks can be within the
-    limit, and the order over blocks stays short at any size.
+    A line has a byte or more, so only the last max_bytes rows can be among them: a top-k, then a sum over those.
     """
-    sized = positions(rows.withColumn("bytes", F.octet_length("line") + 1), by).withColumn("block", F.expr("pos div 4096"))
-    blocks = sized.groupBy("block").agg(F.sum("bytes").alias("n"))
-    blocks = blocks.where(F.col("block") > sized.agg(F.max("block")).scalar() - (max_bytes // 4096 + 2))
-    back = Window.orderBy(F.desc("block")).rowsBetween(Window.unboundedPreceding, -1)
-    after = blocks.withColumn("after", F.coalesce(F.sum("n").over(back), F.lit(0))).where(F.col("after") < max_bytes).select("block", "after")
-    inside = Window.partitionBy("block").orderBy(F.desc("pos")).rowsBetween(Window.unboundedPreceding, 0)
-    return sized.join(after, "block").withColumn("upto", F.col("after") + F.sum("bytes").over(inside)).where(F.col("upto") < max_bytes).drop("bytes", "block", "after", "upto", "pos")
+    last = rows.where(F.col(by).isNotNull()).orderBy(F.desc(by)).limit(max_bytes)
+    upto = F.sum(F.octet_length("line") + 1).over(Window.orderBy(F.desc(by)).rowsBetween(Window.unboundedPreceding, 0))
+    return last.withColumn("_upto", upto).where(F.col("_upto") < max_bytes).drop("_upto")
+
+
+def transcript_file(spark: SparkSession, folder: str, session_id: str | None = None) -> str | None:
+    """The file of a session, or else the one changed last; null without any."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.jsonl").option("recursiveFileLookup", "true").load(folder).select("path", "modificationTime")
+    own = F.col("path").endswith(f"/{session_id}.jsonl") if session_id else F.lit(False)
+    got = files.orderBy(F.desc(own), F.desc("modificationTime"), "path").limit(1).collect()
+    return got[0]["path"] if got else None
+
+
+def transcript(spark: SparkSession, folder: str, session_id: str | None = None, max_bytes: int = 500_000, n_lines: int = 200) -> DataFrame:
+    """(text) of a session's transcript: of the last max_bytes bytes the last n_lines lines, user lines behind [USER]."""
+    path = transcript_file(spark, folder, session_id)
+    if path is None:
+        return spark.createDataFrame([], "text string")
+    numbered = lines(spark, path).select(F.col("line_num").alias("pos"), "line")
+    last = tail(numbered, "pos", max_bytes).orderBy(F.desc("pos")).limit(n_lines).withColumn("doc_id", F.lit(0))
+    said = transcript_messages(last).select("pos", F.concat(F.when(F.col("role") == "user", "[USER] ").otherwise(""), "text").alias("text"))
+    return said.agg(F.array_sort(F.collect_list(F.struct("pos", "text"))).alias("parts")).select(F.expr("array_join(transform(parts, p -> p.text), '\n')").alias("text"))
 
 
 def transcript_messages(lines: DataFrame) -> DataFrame:
@@ -91,6 +105,13 @@ def transcript_tail(docs: DataFrame, n_lines: int = 200) -> DataFrame:
     return last.select("doc_id", F.size("lines").alias("n_lines"), user.alias("n_user"), F.array_join("lines", "\n").alias("text"))
 
 
+def append_observations(rows: DataFrame, path: str) -> None:
+    """Append observations (date, project_tags, topic_tags, content, session_id, source, priority, type) as JSON lines; what is
+    missing is left out of the line, rows without content are dropped."""
+    names = ["date", "project_tags", "topic_tags", "content", "session_id", "source", "priority", "type"]
+    append(rows.where("content is not null").select(*[c for c in names if c in rows.columns]), path)
+
+
 def append(entries: DataFrame, path: str) -> None:
     """Append entries as JSON lines; the commit protocol takes the place of a lock."""
     entries.write.mode("append").json(path)
