@@ -98,6 +98,15 @@ def test_test_results(spark):
     assert {(r["event_id"], r["result"]) for r in events.test_results(calls(spark, rows)).collect()} == {(2, "pass"), (5, "fail")}
 
 
+def test_a_pass_clears_the_edits_before_it(spark):
+    silent = (6, "s", "2026-01-01 00:03:00", "Bash", None, None, None, "pytest", " \n", 1)
+    rows = [edit(1, "00:00"), bash(2, "00:10", 0, "pytest"), bash(3, "00:20", 1, "pytest"), edit(4, "00:30"), bash(5, "00:40", 1, "pytest"), silent]
+    got = events.test_results(calls(spark, rows))
+    assert {(r["event_id"], r["result"], r["n_edits"]) for r in got.collect()} == {(2, "pass", 1), (5, "fail", 1)}
+    texts = {r["event_id"]: r["content"] for r in events.test_learnings(got).collect()}
+    assert texts[5] == "Tests FAILED after editing: a_long_name.py. Changes: a_long_name.py: x -> y. Failure output: Error: step failed badly"
+
+
 def test_signals(spark):
     rows = [bash(1, "00:01", 1), bash(2, "00:02", 1), bash(3, "00:03", 0), bash(4, "00:04", 0), bash(5, "00:01", 1, "pip install it", "t"), edit(6, "00:02", "t"), bash(7, "00:03", 0, s="t")]
     acts = events.activities(calls(spark, rows))
@@ -117,6 +126,71 @@ def test_readers(spark, tmp_path):
     assert readers.core_memory(spark, str(tmp_path / "MEMORY.md")).first()["n_lines"] == 2
 
 
+def test_transcript_of_a_session_or_the_newest(spark, tmp_path):
+    import os
+
+    folder = tmp_path / "projects" / "p"
+    folder.mkdir(parents=True)
+    (folder / "old.jsonl").write_text("\n".join(json.dumps({"role": "user", "content": f"old {i}"}) for i in range(250)))
+    (folder / "new.jsonl").write_text(json.dumps({"type": "assistant", "message": {"role": "assistant", "content": [{"type": "text", "text": "hi"}]}}) + "\n" + json.dumps({"role": "user", "content": "there"}) + "\n")
+    os.utime(folder / "old.jsonl", (1, 1))
+    root = f"file://{tmp_path}/projects"
+    assert readers.transcript(spark, root).first()["text"] == "hi\n[USER] there"
+    said = readers.transcript(spark, root, "old").first()["text"].split("\n")
+    assert len(said) == 200 and said[-1] == "[USER] old 249"
+    assert len(readers.transcript(spark, root, "old", max_bytes=100).first()["text"].split("\n")) == 2
+
+
+def test_observations_are_appended(spark, tmp_path):
+    rows = spark.createDataFrame([("2026-01-01", ["p"], "seen", None), ("2026-01-02", None, None, "s")], "date string, project_tags array<string>, content string, session_id string")
+    for _ in range(2):
+        readers.append_observations(rows, str(tmp_path / "observations"))
+    got = spark.read.text(str(tmp_path / "observations")).collect()
+    assert [json.loads(r[0]) for r in got] == [{"date": "2026-01-01", "project_tags": ["p"], "content": "seen"}] * 2
+
+
+def test_pipeline_log(spark, tmp_path):
+    from tidemark.streaming.progress import ProgressLog, pipeline_log
+
+    log = ProgressLog(pipeline_log(str(tmp_path / "pipeline.log")))
+    spark.streams.addListener(log)
+    spark.range(3).write.parquet(str(tmp_path / "in"))
+    q = spark.readStream.schema("id long").parquet(str(tmp_path / "in")).writeStream.format("noop").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    q.awaitTermination()
+    log._say("done", rows=3)
+    spark.streams.removeListener(log)
+    assert "done" in (tmp_path / "pipeline.log").read_text()
+    ProgressLog(pipeline_log(str(tmp_path / "missing" / "x.log")))._say("lost")
+
+
+def test_snapshot_decisions(spark):
+    log = spark.createDataFrame([(1, "one two three four five six seven eight nine ten"), (2, "alpha beta gamma delta"), (3, None), (4, "")], LOG)
+    new = [(1, "ONE two three four five six seven eight nine ten"), (2, "one two three four five six a b c d e and something longer"), (3, ""), (4, None), (5, "alpha beta gamma delta epsilon"), (6, "something else"), (None, "x")]
+    got = {r["id"]: (r["decision"], r["target"]) for r in dedup.snapshot_decisions(spark.createDataFrame(new, "id long, content string"), log).collect()}
+    assert got == {1: ("SKIP", None), 2: ("SUPERSEDE", 1), 3: ("APPEND", None), 4: ("APPEND", None), 5: ("SKIP", None), 6: ("APPEND", None)}
+    assert dedup.snapshot_decisions(spark.createDataFrame(new, "id long, content string"), log.limit(0)).where("decision = 'APPEND'").count() == 6
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_decisions_of_a_long_log(spark, seed, monkeypatch):
+    from tidemark.config import DEFAULT
+
+    monkeypatch.setattr(dedup, "BLOCK", 64)  # tails cross blocks
+    rnd = random.Random(seed)
+    rows = [(i * 3, " ".join(rnd.choices("abcdefghij", k=rnd.choice([0, 3, 6, 9, 300]))) if rnd.random() > 0.05 else None) for i in range(400)]
+    want, tail, hashes = {}, dedup.Tail(DEFAULT), set()
+    for line, content in rows:
+        c = content or ""
+        words = frozenset(c.split())
+        same, old = tail.compare(len(c), c[:80], words) if c else (False, None)
+        want[line] = "SKIP" if c and (same or c in hashes) else "SUPERSEDE" if old else "APPEND"
+        tail.add(line, len(c) + 1, len(c), c[:80], words)
+        if content is not None:
+            hashes.add(c)
+    got = {r["line_num"]: r["decision"] for r in dedup.tail_decisions(spark.createDataFrame(rows, LOG)).collect()}
+    assert got == want
+
+
 def test_tail_scan(spark):
     rows = spark.createDataFrame([(i, "x" * 9) for i in range(1, 21)], "line_num long, line string")
     assert sorted(r["line_num"] for r in readers.tail(rows, "line_num", 31).collect()) == [18, 19, 20]
@@ -162,6 +236,18 @@ def test_streamed_ingest_sees_its_own_decisions(spark, tmp_path):
     assert sorted(r["line_num"] for r in ingest.current().collect()) == [1, 4, 5]
 
 
+def test_a_repeated_micro_batch_changes_nothing(spark, tmp_path):
+    ingest, rows = Ingest(spark, f"file://{tmp_path}/store"), "shard string, line_num long, content string"
+    first = spark.createDataFrame([("l", 1, "one two three four five"), ("l", 2, ""), ("l", 3, None), (None, 1, "one two three four five"), ("l", None, "x")], rows)
+    second = spark.createDataFrame([("l", 4, "ONE two three four five"), ("l", 5, "one two three alpha beta gamma delta epsilon"), ("l", 6, "")], rows)
+    for df, n in ((first, 0), (second, 1), (second, 1)):
+        ingest.batch(df, n)
+    got = sorted((r["shard"], r["line_num"], r["version"]) for r in ingest.current().collect())
+    assert got == [("", 1, 1), ("l", 1, 5), ("l", 2, 2), ("l", 3, 3), ("l", 6, 6)]
+    ingest.batch(spark.createDataFrame([("l", 7, "one two three alpha beta gamma zeta eta theta iota kappa lambda")], rows), 2)
+    assert ("l", 1, 7) in {(r["shard"], r["line_num"], r["version"]) for r in ingest.current().collect()}
+
+
 def test_streamed_resolutions_and_gate(spark, tmp_path):
     acts = events.activities(calls(spark, [bash(1, "00:00", 1), bash(2, "00:30", 1), edit(3, "01:00"), edit(4, "02:00"), edit(5, "03:00")]))
     acts.coalesce(1).write.parquet(str(tmp_path / "acts"))
@@ -188,6 +274,16 @@ def test_cache_sync(spark, tmp_path):
     got = {r["line_num"]: r for r in cache.sync(spark.createDataFrame(rows, schema), path).collect()}
     assert sorted(got) == [1, 2, 3] and got[1]["stems"] == "deplo gateway ops team" and got[1]["tag_tokens"] == "ops team"
     assert cache.sync(spark.createDataFrame(rows[:1], schema), path).count() == 1
+    # a line of equal length in place of another
+    cache.sync(spark.createDataFrame(rows, schema), path)
+    other = [(1, "A", "Deploying gatewayz", ["Ops team", None]), *rows[1:]]
+    assert "gatewayz" in cache.sync(spark.createDataFrame(other, schema), path).where("line_num = 1").first()["tokens"]
+    # the next line, and one that is not
+    more = [*other, (4, "C", "fourth line", None)]
+    assert cache.append_inline(spark.createDataFrame(more[3:], schema), spark.createDataFrame(more, schema), path).count() == 4
+    assert cache.append_inline(spark.createDataFrame(more[:1], schema), spark.createDataFrame(more, schema), path).count() == 4
+    assert cache._meta(spark, path) is None and cache.sync(spark.createDataFrame(more, schema), path).count() == 4
+    assert cache.sync(spark.createDataFrame([], schema), path).count() == 0
 
 
 def test_last_session(spark):

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import re
-from collections import deque
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -13,82 +12,110 @@ from pyspark.sql.window import Window
 
 from tidemark.config import DEFAULT, EngineConfig
 from tidemark.functions import text as T
-from tidemark.operators.dedup import latest
+from tidemark.operators.dedup import Tail, latest
+from tidemark.operators.staging import exists, remove
 
 STORE = "shard string, line_num long, version long, content string, hash string"
 _WORD = re.compile(r"\w+")
+_FOLDED = STORE + ", kind string, place int"
 
 
 def fold(rows: pd.DataFrame, config: EngineConfig = DEFAULT) -> pd.DataFrame:
-    """Decide new rows in order against the rows before them, as they stand after each decision.
+    """Decide new rows in order against the tail before them, as it stands after each decision.
 
-    rows: shard, line_num, version, content, hash, fresh.  Returns the versions to write: an appended row under its own
-    line, a superseding one under the line it replaces.
+    rows: shard, line_num, version, content, hash, fresh, place; of the rows that aren't fresh, the tail, place is their order.  Returns
+    the versions to write (kind 'version': an appended row under its own line, a superseding one under the line it
+    replaces) and the tail after them (kind 'tail').
     """
-    rows = rows.sort_values(["fresh", "line_num"])
-    tail: deque = deque(maxlen=config.tail_rows + 1)
-    hashes, out = set(), []
+    rows = rows.sort_values(["fresh", "place", "line_num"])
+    tail, held, seen, out = Tail(config), {}, set(), []
     for r in rows.itertuples():
-        words = set(_WORD.findall(r.content.lower()))
-        item = [r.line_num, r.content, words]
-        if not r.fresh:
-            tail.append(item)
-            hashes.add(r.hash)
-            continue
+        content, words = r.content, frozenset(_WORD.findall(r.content.lower()))
+        start, size = content[:80].lower(), len(content.encode()) + 1
         line = r.line_num
-        if r.content:
-            if r.hash in hashes:
-                continue
-            recent = list(tail)[::-1]
-
-            def similar(other: set) -> float:
-                return len(words & other) / len(words | other) if words and other else 0.0
-
-            if any(o[1][:80].lower() == r.content[:80].lower() or similar(o[2]) > config.duplicate for o in recent[: config.tail_rows]):
-                continue
-            old = next((o for o in recent if config.supersede_from <= similar(o[2]) <= config.duplicate and len(r.content) >= len(o[1])), None)
-            if old is not None:
-                line, old[1], old[2] = old[0], r.content, words
-                hashes.add(r.hash)
-                out.append((r.shard, line, r.version, r.content, r.hash))
-                continue
-        tail.append(item)
-        hashes.add(r.hash)
-        out.append((r.shard, line, r.version, r.content, r.hash))
-    return pd.DataFrame(out, columns=["shard", "line_num", "version", "content", "hash"])
+        if r.fresh:
+            if content:
+                if r.hash in seen:
+                    continue
+                same, old = tail.compare(len(content), start, words)
+                if same:
+                    continue
+                if old is not None:
+                    line = old[0]
+                    old[1:] = size, len(content), start, words
+            seen.add(r.hash)
+            out.append((r.shard, line, r.version, content, r.hash, "version", 0))
+        if line == r.line_num:
+            tail.add(line, size, len(content), start, words)
+        held[line] = (r.version, content, r.hash)
+    shard = rows["shard"].iloc[0]
+    out += [(shard, item[0], *held[item[0]], "tail", k) for k, item in enumerate(tail.held)]
+    return pd.DataFrame(out, columns=["shard", "line_num", "version", "content", "hash", "kind", "place"])
 
 
 class Ingest:
-    """An append-only versioned store at a path; `shard` names a log of its own, decided in order by one task."""
+    """An append-only versioned store at a path; `shard` names a log of its own, decided in order by one task for each
+    micro-batch, whose size the source's own limit bounds.
+
+      versions/batch=  the versions each micro-batch wrote, under the bucket of their hash
+      tail/batch=      the last rows of every shard after it, as they stand
+
+    A micro-batch reads the tail of the one before and the hash buckets its contents fall in, never the whole store.  Folders
+    bear the number of the micro-batch, so one that is repeated writes the same folders again.
+    """
 
     def __init__(self, spark: SparkSession, path: str, config: EngineConfig = DEFAULT):
         self.spark, self.path, self.config = spark, path, config
 
-    def _store(self) -> DataFrame | None:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
-        if not path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path):
+    def _before(self, batch_id: int) -> int | None:
+        """The micro-batch before that has a tail."""
+        if not exists(self.spark, f"{self.path}/tail"):
+            return None
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/tail")
+        fs = path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        names = [s.getPath().getName() for s in fs.listStatus(path)]
+        done = [int(n[6:]) for n in names if n.startswith("batch=") and exists(self.spark, f"{self.path}/tail/{n}/_SUCCESS")]
+        return max((n for n in done if n < batch_id), default=None)
+
+    def _versions(self) -> DataFrame | None:
+        if not exists(self.spark, f"{self.path}/versions"):
             return None
-        return self.spark.read.schema(STORE).parquet(self.path)
+        return self.spark.read.schema(STORE + ", bucket string, batch long").parquet(f"{self.path}/versions")
 
     def current(self) -> DataFrame:
         """The store as it stands."""
-        store = self._store()
-        return self.spark.createDataFrame([], STORE) if store is None else latest(store)
+        versions = self._versions()
+        if versions is None:
+            return self.spark.createDataFrame([], STORE)
+        by_shard = versions.withColumn("key", F.struct("shard", "line_num"))
+        return latest(by_shard, "key").drop("key", "bucket", "batch")
 
     def batch(self, rows: DataFrame, batch_id: int) -> None:
         """One micro-batch of (shard, line_num, content); rows without line_num are dropped, null contents are empty."""
         new = rows.where("line_num is not null").select(F.coalesce("shard", F.lit("")).alias("shard"), "line_num", F.col("line_num").alias("version"), T.text(F.col("content")).alias("content"))
-        new = new.withColumn("hash", T.content_hash(F.col("content"))).withColumn("fresh", F.lit(True))
-        store = self._store()
-        if store is not None:
-            # rows with a known hash need no look at their words
-            known = store.select("shard", "hash").distinct()
-            new = new.join(known, ["shard", "hash"], "left_anti").unionByName(new.where("content = ''"))
-            late = Window.partitionBy("shard").orderBy(F.desc("line_num"))
-            tail = latest(store).withColumn("n", F.row_number().over(late)).where(F.col("n") <= self.config.tail_rows + 1).drop("n")
-            new = new.distinct().unionByName(tail.withColumn("fresh", F.lit(False)))
+        new = new.withColumn("hash", T.content_hash(F.col("content"))).dropDuplicates(["shard", "line_num", "content"])
+        versions, before = self._versions(), self._before(batch_id)
+        if versions is not None and before is not None:
+            touched = [r[0] for r in new.select(F.substring("hash", 1, 2).alias("b")).distinct().collect()]  # 256 at most
+            known = versions.where(F.col("bucket").isin(touched) & (F.col("batch") < batch_id)).select("shard", "hash").where("hash is not null").distinct()
+            new = new.where("content <> ''").join(known, ["shard", "hash"], "left_anti").unionByName(new.where("content = ''"))
+        new = new.withColumn("fresh", F.lit(True)).withColumn("place", F.lit(0))
+        if before is not None:
+            tail = self.spark.read.schema(STORE + ", place int").parquet(f"{self.path}/tail/batch={before}")
+            new = new.unionByName(tail.withColumn("fresh", F.lit(False)))
         config = self.config
-        new.select("shard", "line_num", "version", "content", "hash", "fresh").groupBy("shard").applyInPandas(lambda p: fold(p, config), STORE).write.mode("append").parquet(self.path)
+        columns = ["shard", "line_num", "version", "content", "hash", "fresh", "place"]
+        folded = new.select(*columns).groupBy("shard").applyInPandas(lambda p: fold(p, config), _FOLDED)
+        work = f"{self.path}/work"
+        folded.write.mode("overwrite").parquet(work)
+        decided = self.spark.read.schema(_FOLDED).parquet(work)
+        wrote = decided.where("kind = 'version'").drop("kind", "place").withColumn("bucket", F.substring("hash", 1, 2)).withColumn("batch", F.lit(batch_id).cast("long"))
+        wrote.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch", "bucket").parquet(f"{self.path}/versions")
+        decided.where("kind = 'tail'").drop("kind").write.mode("overwrite").parquet(f"{self.path}/tail/batch={batch_id}")
+        if before is not None:  # an older tail can no longer be asked for
+            older = self._before(before)
+            if older is not None:
+                remove(self.spark, f"{self.path}/tail/batch={older}")
 
     def start(self, stream: DataFrame, checkpoint: str, **trigger) -> StreamingQuery:
         return stream.writeStream.foreachBatch(self.batch).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
