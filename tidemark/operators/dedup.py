@@ -127,7 +127,7 @@ def near_classes(log: DataFrame, threshold: tuple[int, int] = (1, 2)) -> tuple[D
     num, den = threshold
     rows = log.where("line_num is not null and content is not null").select(F.col("line_num").cast("long").alias("id"), F.col("content").cast("string"))
     counts = log.sparkSession.sparkContext.broadcast(signatures.word_counts(rows, 1))  # of a fixed size
-    signed = staged(rows.mapInArrow(signatures.signer(counts, num, den, 1), signatures.SIGNED), "signed")
+    signed = staged(rows.mapInArrow(signatures.signer(counts, num, den, 1, wide_from=12), signatures.SIGNED), "signed")
     sets = staged(signatures.classes(signed), "sets")
     small, large = signatures.postings(sets, num, den)
     met = small.alias("a").join(large.alias("b"), F.expr(f"a.tile = b.tile and (a.n < b.n or a.rep < b.rep) and {signatures.may_overlap(num, den)}"))

@@ -100,21 +100,22 @@ def _or_of(bit: np.ndarray, first: np.ndarray, some: np.ndarray) -> np.ndarray:
     return out
 
 
-def _wide(values: np.ndarray, n: np.ndarray, first: np.ndarray) -> pa.Array:
+def _wide(values: np.ndarray, n: np.ndarray, first: np.ndarray, least: int) -> pa.Array:
     """The wide bitmaps of the long sets, null for others."""
-    long = np.flatnonzero(n > WIDE_FROM)
+    long = np.flatnonzero(n > least)
     bits = np.zeros((len(long), WIDE), np.uint64)
     for k, i in enumerate(long):
         h = values[first[i] : first[i] + n[i]] >> np.uint64(13)
         np.bitwise_or.at(bits[k], ((h >> np.uint64(6)) & np.uint64(WIDE - 1)).astype(np.int64), np.uint64(1) << (h & np.uint64(63)))
-    offsets = np.cumsum(np.concatenate([[0], np.where(n > WIDE_FROM, WIDE, 0)])).astype(np.int32)
-    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(bits.reshape(-1).view(np.int64)), mask=pa.array(n <= WIDE_FROM))
+    offsets = np.cumsum(np.concatenate([[0], np.where(n > least, WIDE, 0)])).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(bits.reshape(-1).view(np.int64)), mask=pa.array(n <= least))
 
 
-def signer(counts, num: int, den: int, least: int, min_key: int | None = None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def signer(counts, num: int, den: int, least: int, min_key: int | None = None, wide_from: int = WIDE_FROM) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """For mapInArrow over (id, content): id, class_key, n, bitmap, wide, prefix for a threshold of num / den.
     counts: a broadcast of word_counts().  Texts of fewer than `least` words are left out.  With min_key the digest of
-    the letter key comes as well (null where it is shorter), and short texts stay, with n = 0 and no prefix."""
+    the letter key comes as well (null where it is shorter), and short texts stay, with n = 0 and no prefix.  Low
+    thresholds leave much to the bit bounds, so they want wide bitmaps for smaller sets too (wide_from)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         level = np.minimum(LEVELS * np.log2(counts.value.astype(np.float32) + 1), 4095).astype(np.uint16)
@@ -140,7 +141,7 @@ def signer(counts, num: int, den: int, least: int, min_key: int | None = None) -
             length = np.where(some, n - (num * n + den - 1) // den + 1, 0)
             chosen = ordered[np.arange(len(ordered)) - np.repeat(first, n) < np.repeat(length, n)]
             prefix = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(length)]).astype(np.int32)), pa.array(chosen.astype(np.uint32).view(np.int32)))
-            out = {"id": b.column(0), "class_key": pa.array(key.view(np.int64)), "n": pa.array(n.astype(np.int32)), "bitmap": pa.array(bitmap.view(np.int64)), "wide": _wide(values, n, first), "prefix": prefix}
+            out = {"id": b.column(0), "class_key": pa.array(key.view(np.int64)), "n": pa.array(n.astype(np.int32)), "bitmap": pa.array(bitmap.view(np.int64)), "wide": _wide(values, n, first, wide_from), "prefix": prefix}
             if min_key is not None:
                 out["key"] = letter_keys(b.column(1), min_key)
             yield pa.RecordBatch.from_arrays(list(out.values()), names=list(out))
