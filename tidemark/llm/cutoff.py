@@ -48,7 +48,7 @@ DEPTH = 6
 #: A word counts as cut if words that go on from it are so many times as frequent.
 FAR_RARER = 20
 #: Size of the bitmap of wanted codes: bits for each, and powers of two they lie between.
-CELLS_PER_CODE, LEAST_BITS, MOST_BITS = 32, 16, 27
+CELLS_PER_CODE, LEAST_BITS, MOST_BITS, FLAT_BITS = 32, 16, 27, 24
 #: Log odds of a cut before any evidence, and what single signs add.
 PRIOR, CUT_WORD, OPEN_QUOTE, BROKEN = 0.3, 6.0, 2.0, 10.0
 #: What counts where no context was seen often enough.
@@ -184,7 +184,7 @@ class Wanted:
     """A bitmap over hashed codes."""
 
     def __init__(self, bits: int):
-        self.bits, self.held = bits, np.zeros(1 << (bits - 6), np.uint64)
+        self.bits, self.held, self.flat = bits, np.zeros(1 << (bits - 6), np.uint64), None
 
     def cells(self, code: np.ndarray) -> np.ndarray:
         with np.errstate(over="ignore"):
@@ -192,6 +192,10 @@ class Wanted:
 
     def has(self, code: np.ndarray) -> np.ndarray:
         cell = self.cells(code)
+        if self.bits <= FLAT_BITS:  # a byte for each cell is faster to ask, once in each worker
+            if self.flat is None:
+                self.flat = np.unpackbits(self.held.view(np.uint8), bitorder="little").view(bool)
+            return self.flat[cell]
         return (self.held[cell >> 6] >> (cell & 63).astype(np.uint64) & np.uint64(1)).astype(bool)
 
 
