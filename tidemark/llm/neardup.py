@@ -28,15 +28,14 @@ def verified(pairs: DataFrame, texts: DataFrame, num: int = NUM, den: int = DEN,
     column old says so."""
     own = ["id_a", "id_b"] if other is None else ["id_a", "if(old, null, id_b)"]
     ids = pairs.select(F.explode(F.expr(f"array_compact(array({', '.join(own)}))")).alias("id")).distinct()
-    bag = texts.join(ids, "id", "left_semi").select("id", _sorted_words("content").alias("words"))  # one exchange serves both sides
-    a = bag.select(F.col("id").alias("id_a"), F.col("words").alias("words_a"))
-    b = bag.select(F.col("id").alias("id_b"), F.col("words").alias("words_b"))
+    bag = texts.join(ids, "id", "left_semi").select("id", "content")  # one exchange serves both sides
+    a = bag.select(F.col("id").alias("id_a"), F.col("content").alias("content_a"))
+    b = bag.select(F.col("id").alias("id_b"), F.col("content").alias("content_b"))
     if other is not None:
         more = other.withColumnRenamed("rep", "id_b").join(pairs.where("old").select("id_b").distinct(), "id_b", "left_semi")
-        more = pairs.where("old").join(a, "id_a").join(more.select("id_b", _sorted_words("content").alias("words_b")), "id_b")
-        both = pairs.where("not old").join(a, "id_a").join(b, "id_b").unionByName(more)
-    else:
-        both = pairs.join(a, "id_a").join(b, "id_b")
+        b = b.unionByName(more.select("id_b", F.col("content").alias("content_b")))
+    # texts travel as they are, which is half the size of their words
+    both = pairs.join(a, "id_a").join(b, "id_b").select(*pairs.columns, _sorted_words("content_a").alias("words_a"), _sorted_words("content_b").alias("words_b"))
     return both.where(f"size(array_intersect(words_a, words_b)) >= {needed('size(words_a)', 'size(words_b)', num, den)}").select(*pairs.columns)
 
 
