@@ -83,7 +83,7 @@ class Shelf:
         rows = rows.withColumn("bucket", F.expr(f"slot & {buckets - 1}"))
         if buckets > 1:
             rows = rows.hint("rebalance", F.col("bucket"))
-        rows.sortWithinPartitions("bucket", "slot").write.mode("overwrite").option("compression", "zstd").partitionBy("bucket").parquet(f"{self.folder}/{name}")
+        rows.write.mode("overwrite").option("compression", "zstd").partitionBy("bucket").parquet(f"{self.folder}/{name}")
         n = self.spark.read.schema(rows.schema).parquet(f"{self.folder}/{name}").count()  # from the footers
         if n:
             self.segments.append([name, buckets, n])
@@ -171,7 +171,7 @@ class History:
         posted = sets.select("rep", "n", "bitmap", "wide", F.posexplode("prefix").alias("pos", "slot"))
         a, b = posted.where(short("n", "pos", num, den)).alias("a"), posted.alias("b")
         new = F.expr(f"a.slot = b.slot and (a.n < b.n or a.rep < b.rep) and {may_overlap(num, den)}")
-        pairs = a.join(b, new).selectExpr("least(a.rep, b.rep) as id_a", "greatest(a.rep, b.rep) as id_b", "false as old")
+        pairs = a.hint("shuffle_hash").join(b, new).selectExpr("least(a.rep, b.rep) as id_a", "greatest(a.rep, b.rep) as id_b", "false as old")
         known = shelves["postings"].near(posted)
         if known is not None:
             # the smaller set is met in its short prefix, whichever of the two it is; the history streams past hash tables of the batch
@@ -191,7 +191,7 @@ class History:
         # a case without a rep among the candidates (by its letter key alone) is the only row of its set, so its id is the rep
         bad = staged(rows.join(cases, "id", "left_semi").select(F.coalesce("rep", "id").alias("rep")).distinct().join(good, "rep", "left_anti"), "bad")
         kept = sets.join(bad, "rep", "left_anti")
-        most = signed.agg(F.count("*"), F.sum(F.size("prefix"))).first()
+        most = signed.agg(F.count("*"), F.sum("n")).first()  # a set has no more postings than words
         shelves["postings"].append(kept.select("rep", "n", "bitmap", "wide", F.posexplode("prefix").alias("pos", "slot")).select("slot", *POSTED), self.ingests, most[1] or 0)
         keys = signed.where("key is not null").join(cases, "id", "left_anti").select("key").distinct()
         shelves["keys"].append(keys.select(F.hash("key").alias("slot"), "key"), self.ingests, most[0])
