@@ -7,6 +7,7 @@ import pytest
 
 from tidemark.llm import formatdup, history, neardup, setjoin
 from tidemark.llm.common import expand
+from tidemark.operators.signatures import word_counts
 
 LOG = "line_num long, content string, tags array<string>, session_id string, id string, hashes string"
 CORE = "core_id long, content string, tags array<string>, n string"
@@ -213,6 +214,19 @@ def test_history_is_kept_in_its_folder(spark, tmp_path):
     assert ingest("1") == [] and ingest("5") == [5]
 
 
+def test_the_word_order_is_not_sent_out_again_by_the_driver(spark, tmp_path, monkeypatch):
+    # as a table of the driver's, a large order did not fit into its heap or into one task
+    texts = spark.createDataFrame([(i, " ".join(f"w{i % 7}_{k}" for k in range(14))) for i in range(30)], "id long, content string")
+
+    def refused(*_, **__):
+        raise AssertionError("the driver makes a table")
+
+    monkeypatch.setattr(type(spark), "createDataFrame", refused)
+    counts = history.History(spark, f"file://{tmp_path}/index").ranks(texts).value
+    assert (counts == word_counts(texts, history.MIN_WORDS)).all() and counts.sum() == 30 * 14
+    assert (history.History(spark, f"file://{tmp_path}/index").ranks(None).value == counts).all()
+
+
 def test_an_ingest_reads_the_buckets_of_its_batch(spark):
     h = history.History(spark, bucket_rows=64)
     texts = spark.createDataFrame([(i, " ".join(f"w{i}_{k}" for k in range(14))) for i in range(400)] + [(500, " ".join(f"w7_{k}" for k in range(14)))], "id long, content string")

@@ -25,15 +25,13 @@ from __future__ import annotations
 
 import json
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tidemark.llm.common import new_folder, staged
 from tidemark.llm.neardup import DEN, MIN_WORDS, NUM, verified
-from tidemark.operators.signatures import CELLS, CLASS, POSTED, SIGNED, classes, may_overlap, short, signer, word_counts
+from tidemark.operators.signatures import CLASS, POSTED, SIGNED, cell_counts, classes, gathered, may_overlap, short, signer
 
 MIN_KEY_LENGTH = 20
 BUCKET_ROWS = 1 << 20
@@ -140,17 +138,12 @@ class History:
                         self._fs.delete(status.getPath(), True)
 
     def ranks(self, texts: DataFrame):
-        """The word order: counted over the rows given when the index is new, and kept with it."""
+        """The word order: counted over the rows given when the index is new, and kept with it.  The executors write it; the
+        driver's heap would not hold it as rows."""
         if self._order is None:
-            if self._fs.exists(self._path("order/_SUCCESS")):
-                table = self.spark.read.parquet(f"{self.folder}/order").toArrow()  # at most CELLS rows
-                counts = np.zeros(CELLS, np.int32)
-                counts[np.asarray(table["cell"])] = np.asarray(table["n"])
-            else:
-                counts = word_counts(texts, self.min_words)
-                cells = np.flatnonzero(counts)
-                self.spark.createDataFrame(pa.table({"cell": cells, "n": counts[cells]})).coalesce(1).write.mode("overwrite").parquet(f"{self.folder}/order")
-            self._order = self.spark.sparkContext.broadcast(counts)
+            if not self._fs.exists(self._path("order/_SUCCESS")):
+                cell_counts(texts, self.min_words).write.mode("overwrite").parquet(f"{self.folder}/order")
+            self._order = self.spark.sparkContext.broadcast(gathered(self.spark.read.parquet(f"{self.folder}/order")))
         return self._order
 
     def sign(self, rows: DataFrame, first: DataFrame | None = None) -> DataFrame:

@@ -75,8 +75,8 @@ def _cell(h: np.ndarray) -> np.ndarray:
     return (h >> np.uint64(64 - CELL_BITS)).astype(np.int64)
 
 
-def word_counts(texts: DataFrame, least: int) -> np.ndarray:
-    """How many of the texts (content, other columns are ignored) have a word of each cell; the tasks send partial sums."""
+def cell_counts(texts: DataFrame, least: int) -> DataFrame:
+    """(cell, n): how many of the texts (content, other columns are ignored) have a word of each cell; the tasks send partial sums."""
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(CELLS, np.int32)
@@ -87,10 +87,20 @@ def word_counts(texts: DataFrame, least: int) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(cells), pa.array(total[cells].astype(np.int64))], names=["cell", "n"])
 
     rows = texts.select("content").mapInArrow(partial, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n"))
-    table = rows.toArrow()  # at most CELLS rows
-    out = np.zeros(CELLS, np.int64)
+    return rows.select(F.col("cell").cast("int"), F.least("n", F.lit(2**31 - 1)).cast("int").alias("n"))
+
+
+def gathered(counts: DataFrame) -> np.ndarray:
+    """The counts of all cells on the driver."""
+    table = counts.select("cell", "n").toArrow()  # at most CELLS rows
+    out = np.zeros(CELLS, np.int32)
     out[np.asarray(table["cell"])] = np.asarray(table["n"])
-    return np.minimum(out, 2**31 - 1).astype(np.int32)
+    return out
+
+
+def word_counts(texts: DataFrame, least: int) -> np.ndarray:
+    """cell_counts() on the driver."""
+    return gathered(cell_counts(texts, least))
 
 
 def _or_of(bit: np.ndarray, first: np.ndarray, some: np.ndarray) -> np.ndarray:
