@@ -240,6 +240,17 @@ def test_an_ingest_reads_the_buckets_of_its_batch(spark):
     assert 0 < near.count() < segments[0][2] / 4
 
 
+def test_buckets_have_the_rows_they_are_meant_to_have(spark):
+    # their number followed from the words of the rows, which are several times the postings
+    h = history.History(spark, bucket_rows=64)
+    texts = spark.createDataFrame([(i, " ".join(f"w{i}_{k}" for k in range(14))) for i in range(400)], "id long, content string")
+    signed = h.sign(texts)
+    assert h.ingest(signed.withColumn("batch", signed["id"]), texts).count() == 0
+    for shelf, rows in (("postings", 1200), ("keys", 400), ("texts", 400)):
+        ((_, buckets, n),) = h.shelves[shelf].segments
+        assert n == rows and buckets * 64 / 2 < n <= buckets * 64
+
+
 def test_empty_tables(spark):
     log, core = spark.createDataFrame([], LOG), spark.createDataFrame([], CORE)
     assert neardup.found(log.selectExpr("line_num as id", "content")).count() == 0

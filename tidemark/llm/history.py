@@ -184,7 +184,7 @@ class History:
         # a case without a rep among the candidates (by its letter key alone) is the only row of its set, so its id is the rep
         bad = staged(rows.join(cases, "id", "left_semi").select(F.coalesce("rep", "id").alias("rep")).distinct().join(good, "rep", "left_anti"), "bad")
         kept = sets.join(bad, "rep", "left_anti")
-        most = signed.agg(F.count("*"), F.sum("n")).first()  # a set has no more postings than words
+        most = signed.count(), sets.agg(F.sum(F.size("prefix"))).first()[0]
         shelves["postings"].append(kept.select("rep", "n", "bitmap", "wide", F.posexplode("prefix").alias("pos", "slot")).select("slot", *POSTED), self.ingests, most[1] or 0)
         keys = signed.where("key is not null").join(cases, "id", "left_anti").select("key").distinct()
         shelves["keys"].append(keys.select(F.hash("key").alias("slot"), "key"), self.ingests, most[0])
