@@ -251,6 +251,35 @@ def test_buckets_have_the_rows_they_are_meant_to_have(spark):
         assert n == rows and buckets * 64 / 2 < n <= buckets * 64
 
 
+def test_wide_rows_are_not_sorted_to_be_joined(spark, log, rows, monkeypatch):
+    # signatures and texts were sorted for their joins with ids, and the batches were made twice
+    plans = {}
+    stage, append = history.staged, history.Shelf.append
+
+    def plan(df):
+        return df._jdf.queryExecution().toString()
+
+    def staged(df, name, *by):
+        plans.setdefault(name, plan(df))
+        return stage(df, name, *by)
+
+    def appended(self, rows, number, most):
+        plans[self.folder.rpartition("/")[2]] = plan(rows)
+        append(self, rows, number, most)
+
+    monkeypatch.setattr(history, "staged", staged)
+    monkeypatch.setattr(history.Shelf, "append", appended)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert {r[0] for r in history.found(log).collect()} == sequential(rows)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    for name in ("signed", "texts"):
+        assert "ShuffledHashJoin [id" in plans[name]
+    assert "SortMergeJoin" not in plans["signed"] and "session#" not in plans["signed"]
+
+
 def test_empty_tables(spark):
     log, core = spark.createDataFrame([], LOG), spark.createDataFrame([], CORE)
     assert neardup.found(log.selectExpr("line_num as id", "content")).count() == 0

@@ -188,7 +188,8 @@ class History:
         shelves["postings"].append(kept.select("rep", "n", "bitmap", "wide", F.posexplode("prefix").alias("pos", "slot")).select("slot", *POSTED), self.ingests, most[1] or 0)
         keys = signed.where("key is not null").join(cases, "id", "left_anti").select("key").distinct()
         shelves["keys"].append(keys.select(F.hash("key").alias("slot"), "key"), self.ingests, most[0])
-        contents = texts.join(kept.select(F.col("rep").alias("id")), "id").select(F.hash("id").alias("slot"), F.col("id").alias("rep"), "content")
+        # hash tables of ids, here and below, so that the wide rows need not be sorted
+        contents = texts.join(kept.select(F.col("rep").alias("id")).hint("shuffle_hash"), "id").select(F.hash("id").alias("slot"), F.col("id").alias("rep"), "content")
         shelves["texts"].append(contents, self.ingests, most[0])
         self._commit()
         return cases.select(F.col("id").alias("line_num"))
@@ -199,15 +200,14 @@ class History:
         ends = links.selectExpr("id_a as rep", "old").unionByName(links.where("not old").selectExpr("id_b as rep", "old"))
         linked = ends.groupBy("rep").agg(F.max("old").alias("old"))
         of_set = sets.select(*CLASS, "rep", "members").join(linked, "rep", "left").where("members > 1 or old is not null").select(*CLASS, "rep", "old")
-        by_set = signed.where("n > 0").select("id", "batch", *CLASS).join(of_set, CLASS).select("id", "batch", "rep", F.col("old").alias("old_set"))
+        by_set = signed.where("n > 0").select("id", "batch", *CLASS).join(of_set.hint("shuffle_hash"), CLASS).select("id", "batch", "rep", F.col("old").alias("old_set"))
         keys = signed.where("key is not null").select("id", "batch", "key")
-        often = keys.groupBy("key").agg(F.count("*").alias("c"))
+        said = keys.select("key", F.lit(1).alias("c"), F.lit(False).alias("known"))
         known = self.shelves["keys"].near(keys.select(F.hash("key").alias("slot")))
-        if known is None:
-            often = often.where("c > 1").select("key", F.lit(False).alias("old_key"))
-        else:
-            often = often.join(known.select("key", F.lit(True).alias("known")), "key", "left").where("c > 1 or known").select("key", F.coalesce("known", F.lit(False)).alias("old_key"))
-        by_key = keys.join(often, "key")
+        if known is not None:
+            said = said.unionByName(known.select("key", F.lit(0).alias("c"), F.lit(True).alias("known")))
+        often = said.groupBy("key").agg(F.sum("c").alias("c"), F.max("known").alias("old_key")).where("c > 1 or c = 1 and old_key").select("key", "old_key")
+        by_key = keys.join(often.hint("shuffle_hash"), "key")
         both = by_set.join(by_key, ["id", "batch"], "full_outer")
         return both.select("id", "batch", "key", "rep", F.expr("coalesce(old_set, false) or coalesce(old_key, false)").alias("old"))
 
@@ -258,7 +258,7 @@ def found(log: DataFrame, portions: int = PORTIONS, bucket_rows: int = BUCKET_RO
     all rows are signed in one pass, and written by portion.
     """
     texts = log.select(F.col("line_num").cast("long").alias("id"), F.col("content").cast("string").alias("content")).where("id is not null")
-    batch_of = batches(log)
+    batch_of = staged(batches(log), "batches")
     cuts = []
     if portions > 1:
         cuts = batch_of.select(F.percentile_approx("batch", [i / portions for i in range(1, portions)], 1000).alias("c")).first()["c"] or []
@@ -268,7 +268,7 @@ def found(log: DataFrame, portions: int = PORTIONS, bucket_rows: int = BUCKET_RO
     portion = F.expr("0")
     for cut in cuts:
         portion = portion + (F.col("batch") > cut).cast("int")
-    signed = staged(signed.join(batch_of, "id").withColumn("portion", portion), "signed", "portion")
+    signed = staged(signed.join(batch_of.hint("shuffle_hash"), "id").withColumn("portion", portion), "signed", "portion")
     span = {r[0]: r for r in signed.groupBy("portion").agg(F.min("id"), F.max("id")).collect()}  # a row for each portion
     out = None
     for k in sorted(span):

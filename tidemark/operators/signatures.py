@@ -39,8 +39,8 @@ _PLAIN = bytes(ord(chr(c).lower()) if chr(c).isalnum() or c == 95 else 32 for c
 def bags(texts: pa.Array, least: int) -> tuple[np.ndarray, np.ndarray]:
     """Word hashes of the texts, one after the other, and the number of each; texts of fewer than
     `least` distinct words have none."""
-    find, digest = _WORD.findall, xxhash.xxh3_64_intdigest
-    flat: list[int] = []
+    find, digest = _WORD.findall, xxhash.xxh3_64_digest
+    flat: list[bytes] = []
     n = np.zeros(len(texts), np.int64)
     for i, text in enumerate(texts.to_pylist()):
         if text is not None:
@@ -51,7 +51,7 @@ def bags(texts: pa.Array, least: int) -> tuple[np.ndarray, np.ndarray]:
             if len(found) >= least:
                 n[i] = len(found)
                 flat += map(digest, found)
-    return np.array(flat, np.uint64), n
+    return np.frombuffer(b"".join(flat), ">u8").astype(np.uint64), n
 
 
 _NOT_KEY = re.compile(r"[\W_]+")
@@ -67,8 +67,16 @@ def stripped(text: str) -> str:
 
 def letter_keys(texts: pa.Array, least: int) -> pa.Array:
     """128-bit digests of the letter keys of `least` or more characters, else null."""
-    keys = (stripped(t) if t is not None else "" for t in texts.to_pylist())
-    return pa.array([hashlib.blake2b(k.encode(), digest_size=16).digest() if len(k) >= least else None for k in keys], pa.binary())
+    digest, out = hashlib.blake2b, []
+    for text in texts.to_pylist():
+        text = text if text is not None else ""
+        if text.isascii():  # stripped(), without the way through a string
+            key = text.lower().encode().translate(None, _NOT_KEY_BYTES)
+            out.append(digest(key, digest_size=16).digest() if len(key) >= least else None)
+        else:
+            key = stripped(text)
+            out.append(digest(key.encode(), digest_size=16).digest() if len(key) >= least else None)
+    return pa.array(out, pa.binary())
 
 
 def _cell(h: np.ndarray) -> np.ndarray:
