@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from tidemark.config import DEFAULT
 from tidemark.functions.fixed import PRIORITY_TYPES, SUFFIXES
 from tidemark.operators import inject, search
+from tidemark.plans import catalog
 
 LOG = "line_num long, type string, content string, tags array<string>, logged_at string, session_id string, source string, extra string"
 CORE = "core_id long, section string, content string, tags array<string>, priority int, type string"
@@ -140,3 +141,20 @@ def test_gate(spark):
 def test_admission(spark):
     p = [(1, "short prompt", "s"), (2, "/run the whole test suite", "s"), (3, "<task-notification> something done here", "s"), (4, "Why does the gateway drop requests", "s"), (5, None, "s")]
     assert [r["query_id"] for r in inject.admitted(spark.createDataFrame(p, "query_id long, prompt string, session_id string")).collect()] == [4]
+
+
+@pytest.fixture(scope="module")
+def tables(spark, tmp_path_factory):
+    """The tables of the read path; no document has an id divisible by 100."""
+    folder = str(tmp_path_factory.mktemp("tables"))
+    said = "We decided using plain billing ledgers needed fewer migrations than storing everything within one giant spreadsheet was costing."
+    docs = [(i, f"Why does the gateway parser deploy break number {i} of the queue service? {said}", "s") for i in (7, 42, 151)]
+    spark.createDataFrame(ROWS, LOG).write.parquet(f"{folder}/memory_log.parquet")
+    spark.createDataFrame(CORES, CORE).write.parquet(f"{folder}/core_tagged.parquet")
+    spark.createDataFrame(ALIASES, ALIAS).write.parquet(f"{folder}/aliases.parquet")
+    spark.createDataFrame(docs, "doc_id long, text string, session_id string").write.parquet(f"{folder}/documents.parquet")
+    return folder
+
+
+def test_ack_markers_ask_for_every_document(spark, tables):
+    assert {r["query_id"] for r in catalog.ack_markers(spark, tables).collect()} == {7, 42, 151}
