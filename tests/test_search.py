@@ -158,3 +158,7 @@ def tables(spark, tmp_path_factory):
 
 def test_ack_markers_ask_for_every_document(spark, tables):
     assert {r["query_id"] for r in catalog.ack_markers(spark, tables).collect()} == {7, 42, 151}
+
+
+def test_assembled_context_serves_every_document(spark, tables):
+    assert {r["query_id"] for r in catalog.assembled_context(spark, tables).collect()} == {7, 42, 151}
