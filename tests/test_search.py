@@ -162,3 +162,7 @@ def test_ack_markers_ask_for_every_document(spark, tables):
 
 def test_assembled_context_serves_every_document(spark, tables):
     assert {r["query_id"] for r in catalog.assembled_context(spark, tables).collect()} == {7, 42, 151}
+
+
+def test_new_decisions_of_every_document(spark, tables):
+    assert {r["doc_id"] for r in catalog.decisions_new(spark, tables).collect()} == {7, 42, 151}
