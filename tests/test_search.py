@@ -1,14 +1,16 @@
 """The whole score against a plain reimplementation on a few entries."""
 
 import math
+import random
 import re
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tidemark.config import DEFAULT
 from tidemark.functions.fixed import PRIORITY_TYPES, SUFFIXES
-from tidemark.operators import inject, search
+from tidemark.operators import inject, score, search, topk
 from tidemark.plans import catalog
 
 LOG = "line_num long, type string, content string, tags array<string>, logged_at string, session_id string, source string, extra string"
@@ -143,6 +145,31 @@ def test_admission(spark):
     assert [r["query_id"] for r in inject.admitted(spark.createDataFrame(p, "query_id long, prompt string, session_id string")).collect()] == [4]
 
 
+@pytest.mark.parametrize("k, least, mode", [(5, 0.0, {}), (1, 0.05, {}), (3, 0.0, {"cached": True}), (5, 0.0, {"only_exact": True})])
+def test_passing_over_loses_nothing(spark, monkeypatch, k, least, mode):
+    """Results from packed parts are those of the scores of all pairs."""
+    monkeypatch.setattr(topk, "PART", 1500)
+    draw = random.Random(7)
+    names = [a + b for a in ("parse", "queue", "deploy", "lock", "cache") for b in ("", "r", "s", "ing", "ment", "line")] + ["the", "and", "for", "when"] * 5
+
+    def text(n):
+        return "The " + " ".join(draw.choice(names) for _ in range(n)) + f" id{draw.randrange(900)}"
+
+    rows = [(i, draw.choice(["USER_CORRECTION", "note", None]), text(draw.randrange(5, 15)), draw.sample(names, 2), f"2026-{draw.randrange(1, 11):02d}-{draw.randrange(1, 29):02d}T00:00:00Z", "a", "x", "") for i in range(4000)]
+    log, _ = search.build(spark.createDataFrame(rows, LOG), spark.createDataFrame(CORES, CORE), spark.createDataFrame(ALIASES, ALIAS))
+    asked = spark.createDataFrame([(i, text(draw.randrange(1, 12))) for i in range(60)] + [(None, "queue")], "query_id long, text string")
+    tokens = search.tokens_of(asked.where("query_id is not null"), log)
+    found = score.evidence(tokens, log.postings, log.aliases, log.weights, log.vocabulary, **{m: v for m, v in mode.items() if m == "only_exact"})
+    if "cached" in mode:
+        found = found.join(found.where("part <> 'p'").select("query_id", "entry_id").distinct(), ["query_id", "entry_id"], "left_semi")
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "entry_id")
+    every = score.scored(tokens, found, log.entries).withColumn("rank", F.row_number().over(order)).where((F.col("rank") <= k) & (F.col("score") >= least))
+    pick = ["query_id", "entry_id", "rank", "match", "n_exact", "score"]
+    want = sorted(every.select(pick).collect())
+    assert len(want) >= 40
+    assert sorted(search.search(asked, log, k, least=least, **mode).select(pick).collect()) == [(*w[:3], pytest.approx(w[3], abs=2e-6), w[4], pytest.approx(w[5], abs=2e-6)) for w in want]
+
+
 @pytest.fixture(scope="module")
 def tables(spark, tmp_path_factory):
     """The tables of the read path; no document has an id divisible by 100."""
